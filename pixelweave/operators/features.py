@@ -244,13 +244,29 @@ def pca_project(df: DataFrame, feature: str, k: int = 3, standardize: bool = Fal
     return out.drop("_v", "_c", "_p"), model.explainedVariance.toArray().tolist()
 
 
-def covariance_matrix(df: DataFrame, feature: str, dims: int) -> DataFrame:
-    """(i, j, cov) for i <= j, sample covariance, as one aggregation."""
-    f = [F.col(feature)[i].cast("double") for i in range(dims)]
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    one = df.agg(*[F.covar_samp(f[i], f[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs])))
+def covariance_matrix(df: DataFrame, feature: str) -> DataFrame:
+    """(i, j, cov) for i <= j, sample covariance. Each task folds its rows
+    into one product matrix, so what is shuffled grows with the dimensions
+    and the task count, not with the rows."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, prods = 0, None, None
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            if not len(x):
+                continue
+            if sums is None:
+                sums, prods = np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+            n, sums, prods = n + len(x), sums + x.sum(0), prods + x.T @ x
+        if sums is not None:
+            i, j = np.triu_indices(len(sums))
+            yield pa.RecordBatch.from_pydict({
+                "i": i.astype(np.int32), "j": j.astype(np.int32), "p": prods[i, j], "si": sums[i], "sj": sums[j],
+                "n": np.full(len(i), n, np.int64)})
+
+    parts = df.select(F.col(feature).cast("array<double>")).mapInArrow(
+        fold, "i int, j int, p double, si double, sj double, n bigint")
+    n = F.sum("n")
+    return parts.groupBy("i", "j").agg(((F.sum("p") - F.sum("si") * F.sum("sj") / n) / (n - 1)).alias("cov"))
 
 
 # --- classification ---------------------------------------------------------

@@ -1 +1 @@
-
+"""End-to-end flows composed from the operators."""
