@@ -72,13 +72,13 @@ def _(spark, sf):
 
 
 def _perimeter_sql() -> str:
-    case = " ".join(f"WHEN code = {c} THEN {w!r}" for c, w in fv.PERIMETER_WEIGHTS.items())
+    case = " ".join(f"WHEN code = {c} THEN CAST({w!r} AS DOUBLE)" for c, w in fv.PERIMETER_WEIGHTS.items())
     return fx.with_(fx.PX, fx.REGIONS, """n4 AS (SELECT a.scene_id, a.label, a.y, a.x, count(*) AS n FROM lab a JOIN lab b ON b.scene_id = a.scene_id AND b.label = a.label
   AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL),
 e AS (SELECT scene_id, label, y, x FROM n4 WHERE n < 5),
 k AS (SELECT a.scene_id, a.label, a.y, a.x, CAST(sum(CASE abs(a.y - b.y) + abs(a.x - b.x) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) AS INT) AS code FROM e a JOIN e b
   ON b.scene_id = a.scene_id AND b.label = a.label AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL)""") + \
-        f"SELECT scene_id, label, round(sum(CASE {case} ELSE 0.0 END), 5) AS perimeter FROM k GROUP BY ALL"
+        f"SELECT scene_id, label, round(sum(CASE {case} ELSE CAST(0 AS DOUBLE) END), 5) AS perimeter FROM k GROUP BY ALL"
 
 
 @query("region_perimeter", _perimeter_sql())
@@ -131,11 +131,11 @@ def _(spark, sf):
     return mk.filter_regions(mk.component_stats(fx.block_regions(spark, sf)), 20).select("scene_id", "label", "area")
 
 
-@query("filter_masks", fx.with_(fx.MASKS) + """SELECT mask_id, area, patch_idx, round(predicted_iou, 6) AS predicted_iou, round(stability_score, 6) AS stability_score
+@query("filter_masks", fx.with_(fx.MASKS) + """SELECT mask_id, area, patch_idx, round(predicted_iou, 9) AS predicted_iou, round(stability_score, 9) AS stability_score
   FROM masks WHERE predicted_iou >= 0.5 AND stability_score >= 0.96 AND area >= 28""")
 def _(spark, sf):
     return mk.filter_masks(fx.masks(spark, sf), 0.5, 0.96, 28).select(
-        "mask_id", "area", "patch_idx", r6("predicted_iou"), r6("stability_score"))
+        "mask_id", "area", "patch_idx", r6("predicted_iou", digits=9), r6("stability_score", digits=9))
 
 
 @query("drop_blank_tiles", fx.with_(fx.PX, "t AS (SELECT *, CAST(y // 2 AS INT) AS ty, CAST(x // 2 AS INT) AS tx, CASE WHEN b1 > 150000 THEN b1 ELSE 0.0 END AS v FROM px)") +

@@ -47,13 +47,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Targets in the neighbouring zone: each image is laid out around the
     place its label pixels have there."""
-    src = _label_scene(spark, sf)
-    s = fx.scenes(spark, sf).select("scene_id", F.lit(20).alias("height"), F.lit(40).alias("width"))
-    east, north = F.lit(500002.0), F.lit(5899996.0) - 6.0 * F.col("scene_id")
-    lat, lon = geo.from_utm(east, north, F.lit(25832))
-    e, n = geo.to_utm(lat, lon, F.lit(32631))
-    targets = s.withColumn("epsg", F.lit(32631)).withColumn("transform", geo.affine(0.2, 0.0, e, 0.0, -0.2, n))
-    got = rs.reproject_nearest(fx.label_map(spark, sf, multi=False).drop("scene_id"), src, targets, fill=-1)
+    s = fx.scenes(spark, sf).select(
+        "scene_id", F.lit(20).alias("height"), F.lit(40).alias("width"), F.lit(500002.0).alias("e0"),
+        (F.lit(5899996.0) - 6.0 * F.col("scene_id")).alias("n0"), F.lit(25832).alias("epsg0"), F.lit(32631).alias("epsg"))
+    s = geo.add_utm(geo.add_latlon(s, "e0", "n0", "epsg0", "lat", "lon"), "lat", "lon", "epsg", "e", "n")
+    targets = s.select("scene_id", "height", "width", "epsg",
+                       geo.affine(0.2, 0.0, F.col("e"), 0.0, -0.2, F.col("n")).alias("transform"))
+    got = rs.reproject_nearest(fx.label_map(spark, sf, multi=False).drop("scene_id"), _label_scene(spark, sf), targets, fill=-1)
     return got.groupBy("scene_id", "label").agg(F.count("*").alias("n"))
 
 
@@ -167,9 +167,9 @@ def _(spark, sf):
 
 
 @query("block_shift", fx.with_(fx.PX1, """o AS (SELECT dy, unnest(range(-3, 4)) AS dx FROM (SELECT unnest(range(-3, 4)) AS dy)),
-c AS (SELECT CAST(r.y // 50 AS INT) AS by, CAST(r.x // 50 AS INT) AS bx, dx, dy, corr(r.b1, t.b1) AS c, count(*) AS n FROM px r JOIN o ON true
-  JOIN px t ON t.y + 2 = r.y + dy AND t.x - 1 = r.x + dx GROUP BY ALL)""") + """SELECT CAST(0 AS BIGINT) AS scene_id, by, bx, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, round(c, 6) AS score FROM
-  (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY round(c, 9) DESC, dx * dx + dy * dy, dy, dx) AS r FROM c WHERE n >= 3 AND c IS NOT NULL) WHERE r = 1""")
+c AS (SELECT CAST(r.y // 50 AS INT) AS block_y, CAST(r.x // 50 AS INT) AS block_x, dx, dy, corr(r.b1, t.b1) AS c, count(*) AS n FROM px r JOIN o ON true
+  JOIN px t ON t.y + 2 = r.y + dy AND t.x - 1 = r.x + dx GROUP BY ALL)""") + """SELECT CAST(0 AS BIGINT) AS scene_id, block_y, block_x, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, round(c, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY block_y, block_x ORDER BY round(c, 9) DESC, dx * dx + dy * dy, dy, dx) AS r FROM c WHERE n >= 3 AND c IS NOT NULL) WHERE r = 1""")
 def _(spark, sf):
     """The scene against itself moved by (-1, 2)."""
     px = fx.pixels(spark, sf, multi=False)

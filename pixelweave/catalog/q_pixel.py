@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar as sc, vectors as vec
 from ..operators import pixels as po
-from ..operators.tiles import pixel_grid  # noqa: F401  (complement uses it)
+from ..session import cut_lineage
 from . import fixtures as fx
 from .registry import query, r6
 
@@ -80,7 +80,7 @@ idx AS (SELECT e.scene_id, y, x, coalesce((exg - mn) / (mx - mn + 1e-6), 0.0) AS
 
 
 def _index(spark, sf):
-    return po.excess_green(_stretched(spark, sf), "b1", "b2", "b3").select(*_KEY, "index")
+    return po.excess_green(cut_lineage(_stretched(spark, sf)), "b1", "b2", "b3").select(*_KEY, "index")
 
 
 @query("excess_green", fx.with_(fx.PX8, _STATS3, _STRETCHED, _EXG) +
@@ -111,7 +111,10 @@ def _(spark, sf):
 def field_index_summary(spark, sf):
     from ..operators.masks import coverage_pct
 
-    mask = po.above_percentile(_index(spark, sf), "index", 75.0)
+    # each statistic reads its input more than once, so stages are kept
+    stretched = cut_lineage(_stretched(spark, sf))
+    index = cut_lineage(po.excess_green(stretched, "b1", "b2", "b3").select(*_KEY, "index"))
+    mask = po.above_percentile(index, "index", 75.0)
     cover = coverage_pct(mask, fx.scenes(spark, sf))
     return mask.groupBy("scene_id").agg(F.count("*").alias("pixels")).join(cover, "scene_id").select(
         "scene_id", "pixels", r6("coverage_pct"))
@@ -159,10 +162,10 @@ def _(spark, sf):
     return po.pad_to_multiple(fx.pixels(spark, sf), fx.scenes(spark, sf), 16, ["b1"])
 
 
-@query("blend_overlay", fx.with_(fx.PX, fx.SPARSE) + """SELECT px.scene_id, px.y, px.x,
-  CAST(CASE WHEN m.y IS NULL THEN b2 % 256 ELSE floor(greatest(0.0, least(255.0, 0.6 * (b2 % 256) + 0.4 * 46.0))) END AS INT) AS r,
-  CAST(CASE WHEN m.y IS NULL THEN b1 % 256 // 1 ELSE floor(greatest(0.0, least(255.0, 0.6 * floor(b1 % 256) + 0.4 * 204.0))) END AS INT) AS g
-  FROM px LEFT JOIN m ON m.scene_id = px.scene_id AND m.y = px.y AND m.x = px.x""")
+@query("blend_overlay", fx.with_(fx.PX, fx.SPARSE, "v AS (SELECT scene_id, y, x, floor(b2 % 256) AS r, floor(b1 % 256) AS g FROM px)") + """SELECT v.scene_id, v.y, v.x,
+  CAST(CASE WHEN m.y IS NULL THEN r ELSE floor(CAST(0.6 AS DOUBLE) * r + CAST(0.4 AS DOUBLE) * 46) END AS INT) AS r,
+  CAST(CASE WHEN m.y IS NULL THEN g ELSE floor(CAST(0.6 AS DOUBLE) * g + CAST(0.4 AS DOUBLE) * 204) END AS INT) AS g
+  FROM v LEFT JOIN m ON m.scene_id = v.scene_id AND m.y = v.y AND m.x = v.x""")
 def _(spark, sf):
     px = fx.pixels(spark, sf).select(*_KEY, (F.col("b2") % 256).cast("int").alias("r"), F.floor(F.col("b1") % 256).cast("int").alias("g"))
     return po.blend_overlay(px, fx.sparse_mask(spark, sf), ["r", "g"], 0.4)

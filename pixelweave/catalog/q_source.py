@@ -27,8 +27,8 @@ _TILES = """scenes AS (SELECT scene_id, max(y) + 1 AS height, max(x) + 1 AS widt
 t AS (SELECT px.*, CAST(least((y // 16) * 16, greatest(0, height - 16)) AS INT) AS ya,
   CAST(greatest(0, height - 16) AS INT) AS yb, CAST((x // 16) * 16 AS INT) AS xa, CAST(width - 16 AS INT) AS xb
   FROM px JOIN scenes USING (scene_id)),
-ty AS (SELECT scene_id, y, x, b1, b2, xa, xb, unnest(list_distinct(list_filter([ya, yb], s -> s <= y AND y < s + 16))) AS y0 FROM t),
-tp AS (SELECT scene_id, y, x, b1, b2, y0, unnest(list_distinct(list_filter([least(xa, xb), xb], s -> s <= x AND x < s + 16))) AS x0 FROM ty)"""
+ty AS (SELECT scene_id, y, x, b1, b2, xa, xb, unnest(list_distinct(list_filter([ya, yb], lambda s: s <= y AND y < s + 16))) AS y0 FROM t),
+tp AS (SELECT scene_id, y, x, b1, b2, y0, unnest(list_distinct(list_filter([least(xa, xb), xb], lambda s: s <= x AND x < s + 16))) AS x0 FROM ty)"""
 
 
 def _tile_pixels(spark, sf):

@@ -11,7 +11,7 @@ _STRIDE = "range(0, greatest(1, {L} - 24 + 1), 10)"
 _STRIDE_EDGE = "list_sort(list_distinct(list_concat(range(0, greatest(1, {L} - 24 + 1), 10), [greatest(0, {L} - 24)])))"
 _SNAPPED = "CASE WHEN 24 >= {L} THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, greatest(1, {L} - 24), 18), [{L} - 24]))) END"
 _PADDED = "range(0, {L}, 18)"
-_SHIFTED = "list_sort(list_distinct(list_transform(range(0, {L}, 24), s -> CASE WHEN s + 24 > {L} THEN greatest(0, {L} - 24) ELSE s END)))"
+_SHIFTED = "list_sort(list_distinct(list_transform(range(0, {L}, 24), lambda s: CASE WHEN s + 24 > {L} THEN greatest(0, {L} - 24) ELSE s END)))"
 
 
 def _grid_sql(starts: str, clip: bool = True) -> str:
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 
 _CENTERS = """CASE WHEN {hi} - {lo} <= {p} THEN [({lo} + {hi}) / 2.0] ELSE list_transform(range(0, CAST(ceil(({hi} - {lo} - {p}) / {s}) AS BIGINT) + 1),
-  i -> greatest({lo} + {p} / 2.0, least({lo} + {p} / 2.0 + i * {s}, {hi} - {p} / 2.0))) END"""
+  lambda i: greatest({lo} + {p} / 2.0, least({lo} + {p} / 2.0 + i * {s}, {hi} - {p} / 2.0))) END"""
 
 
 @query("grid_centers", fx.with_(f"""c AS (SELECT c_custkey, {_CENTERS.format(lo='0.0', hi='w', p='0.6', s='0.5')} AS cs FROM

@@ -138,6 +138,45 @@ def from_utm(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]
     return F.degrees(lat), F.degrees(lon)
 
 
+def add_latlon(df, east: str, north: str, epsg: str, lat: str, lon: str):
+    """``from_utm`` as staged columns: each intermediate is evaluated once per
+    row instead of being repeated inside one large expression."""
+    scale = fv.UTM_K0 * _R
+    xi, eta = F.col("_xi"), F.col("_eta")
+    df = df.withColumn("_xi", (F.col(north) - _false_northing(F.col(epsg))) / scale) \
+        .withColumn("_eta", (F.col(east) - fv.UTM_FALSE_EASTING) / scale)
+    xi1, eta1 = xi, eta
+    for j, c in enumerate(_BACK, 1):
+        xi1 = xi1 - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    df = df.withColumn("_xi1", xi1).withColumn("_eta1", eta1)
+    df = df.withColumn("_chi", F.asin(F.sin("_xi1") / F.cosh("_eta1")))
+    chi = F.col("_chi")
+    phi = chi
+    for j, c in enumerate(_LATITUDE, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return df.withColumn(lat, F.degrees(phi)).withColumn(
+        lon, F.degrees(_central(F.col(epsg)) + F.atan2(F.sinh("_eta1"), F.cos("_xi1")))
+    ).drop("_xi", "_eta", "_xi1", "_eta1", "_chi")
+
+
+def add_utm(df, lat: str, lon: str, epsg: str, east: str, north: str):
+    """``to_utm`` as staged columns."""
+    df = df.withColumn("_s", F.sin(F.radians(lat))).withColumn(
+        "_t", F.sinh(F.atanh("_s") - _ECC * F.atanh(_ECC * F.col("_s"))))
+    df = df.withColumn("_d", F.radians(lon) - _central(F.col(epsg)))
+    df = df.withColumn("_xi", F.atan2("_t", F.cos("_d"))).withColumn(
+        "_eta", F.atanh(F.sin("_d") / F.sqrt(1 + F.col("_t") * F.col("_t"))))
+    xi, eta = F.col("_xi"), F.col("_eta")
+    e, n = eta, xi
+    for j, c in enumerate(_FORWARD, 1):
+        e = e + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        n = n + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    scale = fv.UTM_K0 * _R
+    return df.withColumn(east, fv.UTM_FALSE_EASTING + scale * e).withColumn(
+        north, _false_northing(F.col(epsg)) + scale * n).drop("_s", "_t", "_d", "_xi", "_eta")
+
+
 def centroid_lonlat(transform: Column, width: Column, height: Column,
                     epsg: Column) -> tuple[Column, Column]:
     """Longitude and latitude of the middle of a scene."""

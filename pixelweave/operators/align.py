@@ -60,7 +60,7 @@ def block_shift(reference: DataFrame, target: DataFrame, value: str, block: int
     """Per block of the reference the offset (dx, dy) of the target that
     correlates best: target(y+dy, x+dx) against reference(y, x).
 
-    Columns: scene_id, by, bx, dx, dy, score. A block meets only target pixels
+    Columns: scene_id, block_y, block_x, dx, dy, score. A block meets only target pixels
     within ``max_shift``; all offsets are scored together by Fourier products
     of values and validity, which is the correlation over common pixels. Equal
     scores take the shorter, then lower (dy, dx) offset.
@@ -68,18 +68,18 @@ def block_shift(reference: DataFrame, target: DataFrame, value: str, block: int
     m = int(max_shift)
     full = block + 2 * m
     r = reference.where(F.col(value).isNotNull()).select(
-        "scene_id", F.floor(F.col("y") / block).cast("int").alias("by"),
-        F.floor(F.col("x") / block).cast("int").alias("bx"), "y", "x", F.col(value).cast("double").alias("v"))
+        "scene_id", F.floor(F.col("y") / block).cast("int").alias("block_y"),
+        F.floor(F.col("x") / block).cast("int").alias("block_x"), "y", "x", F.col(value).cast("double").alias("v"))
 
     def cover(pos: str):
         return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(pos) - m) / block)).cast("int"),
                                     F.floor((F.col(pos) + m) / block).cast("int")))
 
     t = target.where(F.col(value).isNotNull()).select("scene_id", "y", "x", F.col(value).cast("double").alias("v")) \
-        .withColumn("by", cover("y")).withColumn("bx", cover("x"))
+        .withColumn("block_y", cover("y")).withColumn("block_x", cover("x"))
 
-    def score(key, ref: pd.DataFrame, tgt: pd.DataFrame) -> pd.DataFrame:
-        cols = {"scene_id": [], "by": [], "bx": [], "dx": [], "dy": [], "score": []}
+    def score(key, ref, tgt):
+        cols = {"scene_id": [], "block_y": [], "block_x": [], "dx": [], "dy": [], "score": []}
         if not len(ref) or not len(tgt):
             return pd.DataFrame(cols)
         scene, by, bx = key
@@ -115,12 +115,12 @@ def block_shift(reference: DataFrame, target: DataFrame, value: str, block: int
         dy, dx = np.meshgrid(np.arange(-m, m + 1), np.arange(-m, m + 1), indexing="ij")
         order = np.lexsort((dx.ravel(), dy.ravel(), (dx ** 2 + dy ** 2).ravel(), -corr.ravel()))
         i = order[0]
-        return pd.DataFrame({"scene_id": [scene], "by": [by], "bx": [bx], "dx": [int(dx.ravel()[i])],
+        return pd.DataFrame({"scene_id": [scene], "block_y": [by], "block_x": [bx], "dx": [int(dx.ravel()[i])],
                              "dy": [int(dy.ravel()[i])], "score": [float(corr.ravel()[i])]})
 
-    g = ["scene_id", "by", "bx"]
+    g = ["scene_id", "block_y", "block_x"]
     return r.groupBy(*g).cogroup(t.groupBy(*g)).applyInPandas(
-        score, "scene_id bigint, by int, bx int, dx int, dy int, score double")
+        score, "scene_id bigint, block_y int, block_x int, dx int, dy int, score double")
 
 
 def shift_scene(pixels: DataFrame, dx: int, dy: int) -> DataFrame:

@@ -18,10 +18,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions import vectors as vec
+from ..session import cut_lineage
 from .stats import order_statistics, top_per_group
 
 
@@ -130,6 +131,7 @@ def kmeans_iterate(df: DataFrame, feature: str, key: str, k: int = 2, iters: int
                    tol: float = 1e-4, seed: int = 0) -> list[list[float]]:
     """Centres after repeated updates from k hashed start rows, until the
     largest centre shift is below ``tol``."""
+    df = cut_lineage(df.select(key, feature))
     start = sample_rows(df, key, k, seed).orderBy(hash52(F.col(key), seed), key).select(feature).collect()
     centers = np.array([r[0] for r in start], float)
     for _ in range(iters):
@@ -185,8 +187,9 @@ def score_clusters(df: DataFrame, feature: str, k: int, cluster: str = "cluster"
         F.avg("len").alias("act"),
         *([(F.avg("g") - F.avg("r")).alias("veg")] if green else [F.lit(0.0).alias("veg")]))
     ids = df.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
-    total = agg.agg(F.sum("pixels").alias("_all")).withColumn("_one", F.lit(1))
-    full = ids.join(agg, "cluster", "left").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    # k rows from here on
+    everything = W.partitionBy(F.lit(0))
+    full = ids.join(agg, "cluster", "left").withColumn("_all", F.sum("pixels").over(everything))
     coverage = F.coalesce(F.col("pixels") / F.col("_all"), F.lit(0.0))
     mean = F.col("s") / F.col("n")
     texture = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
@@ -204,10 +207,9 @@ def pick_cluster(scores: DataFrame, bounds: tuple[float, float] = fv.COVERAGE_BO
     """One row: the best cluster, or, when it covers nothing or nearly all, the
     usable alternative nearest to the middle of the bounds. The input has one
     row per cluster."""
-    best = F.max_by("cluster", F.struct("score", -F.col("cluster")))
-    top = scores.agg(best.alias("_b"), F.max_by("coverage", F.struct("score", -F.col("cluster"))).alias("_c")) \
-        .withColumn("_one", F.lit(1))
-    both = scores.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
+    everything = W.partitionBy(F.lit(0))
+    top = F.max(F.struct("score", (-F.col("cluster")).alias("_n"), "coverage")).over(everything)
+    both = scores.withColumn("_top", top).withColumn("_b", -F.col("_top._n")).withColumn("_c", F.col("_top.coverage"))
     usable = (F.col("cluster") != F.col("_b")) & (F.col("coverage") > 0) & (F.col("coverage") < fv.COVERAGE_EXTREME)
     order = F.struct(F.abs(F.col("coverage") - sum(bounds) / 2), -F.col("score"), F.col("cluster"))
     alt = F.min_by("cluster", F.when(usable, order))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import mean_layers
+from ..session import cut_lineage
 from .stats import number_rows
 from .tiles import pixel_grid
 
@@ -88,7 +89,8 @@ def paint_labels(masks: DataFrame, mask_pixels: DataFrame, bounds: DataFrame | N
         ).drop("height", "width")
     order = ["patch_idx", "area", "mask_id"]
     ranked = px.join(masks.select(*order), "mask_id")
-    won = ranked.groupBy(*PIXEL).agg(F.min(F.struct(*order)).alias("_w")).select(*PIXEL, "_w.*")
+    # used for numbering and for the result: kept, rather than joined twice
+    won = cut_lineage(ranked.groupBy(*PIXEL).agg(F.min(F.struct(*order)).alias("_w")).select(*PIXEL, "_w.*"))
     winners = number_rows(won.select("scene_id", *order).distinct(), order, "label", keys=["scene_id"])
     return won.join(winners.select("scene_id", "mask_id", F.col("label").cast("int").alias("label")),
                     ["scene_id", "mask_id"]).select(*PIXEL, "label", "mask_id")

@@ -45,7 +45,7 @@ def seed_prompts(index: DataFrame, scenes: DataFrame, percentiles: Sequence[floa
     any object get fallback points. Treat tiles as scenes for per-tile
     percentiles.
     """
-    base = index.select("scene_id", "y", "x", clean_nan(F.col(col)).alias("v"))
+    base = cut_lineage(index.select("scene_id", "y", "x", clean_nan(F.col(col)).alias("v")))
     floor = max(min_area // fv.PROMPT_AREA_DIVISOR, floor_area)
     margin = F.greatest(F.floor(F.least("height", "width") * fv.BOX_MARGIN_SHARE), F.lit(fv.BOX_MARGIN_MIN)).cast("int")
     out = None

@@ -119,15 +119,14 @@ def reproject_nearest(labels: DataFrame, label_scene: DataFrame, target_scenes:
     g = pixel_grid(target_scenes).join(
         target_scenes.select("scene_id", F.col("epsg").alias("_te"), "transform"), "scene_id")
     g = g.withColumn("_one", F.lit(1)).join(F.broadcast(src), "_one")   # one georeference row
-    east = geo.map_x(F.col("transform"), F.col("x") + 0.5, F.col("y") + 0.5)
-    north = geo.map_y(F.col("transform"), F.col("x") + 0.5, F.col("y") + 0.5)
-    lat, lon = geo.from_utm(east, north, F.col("_te"))
-    g = g.select("scene_id", "y", "x", "_se", "_te", "_inv", east.alias("_e0"), north.alias("_n0"),
-                 lat.alias("_lat"), lon.alias("_lon"))
-    e2, n2 = geo.to_utm(F.col("_lat"), F.col("_lon"), F.col("_se"))
+    t = F.col("transform")
+    g = g.select("scene_id", "y", "x", "_se", "_te", "_inv",
+                 geo.map_x(t, F.col("x") + 0.5, F.col("y") + 0.5).alias("_e0"),
+                 geo.map_y(t, F.col("x") + 0.5, F.col("y") + 0.5).alias("_n0"))
+    g = geo.add_utm(geo.add_latlon(g, "_e0", "_n0", "_te", "_lat", "_lon"), "_lat", "_lon", "_se", "_e1", "_n1")
     same = F.col("_se") == F.col("_te")
-    g = g.withColumn("_e", F.when(same, F.col("_e0")).otherwise(e2)) \
-        .withColumn("_n", F.when(same, F.col("_n0")).otherwise(n2))
+    g = g.withColumn("_e", F.when(same, F.col("_e0")).otherwise(F.col("_e1"))) \
+        .withColumn("_n", F.when(same, F.col("_n0")).otherwise(F.col("_n1")))
     cells = g.select(
         "scene_id", "y", "x",
         F.floor(geo.map_y(F.col("_inv"), F.col("_e"), F.col("_n"))).cast("int").alias("_sy"),

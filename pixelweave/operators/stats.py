@@ -17,6 +17,7 @@ from ..session import cut_lineage
 
 _PER_OCTAVE = 1024        # first-round buckets per power of two
 _LINEAR = 1 << 20         # second-round buckets inside one first-round bucket
+_FEW_VALUES = 1 << 20     # rows of a bucket whose values may be listed directly
 
 
 def finite(col: Column) -> Column:
@@ -48,9 +49,12 @@ def order_statistics(
     Output: keys, ``_item`` (position in ``values``), slot, rank, value,
     ``skip`` (rank among equal values) and total. NULL and non-finite values
     are left out. Round one counts logarithmic buckets (at most 4.4 million
-    per group for any double input, tens of thousands in practice), round two
-    splits the hit bucket linearly, round three counts distinct values in a
-    bracket of relative width 2**-30 (at most 2**22 doubles).
+    per group for any double input, tens of thousands in practice). If the hit
+    buckets hold one value each that is the answer; if they hold at most 2**20
+    rows their values are counted; else they are split linearly first, which
+    leaves brackets of relative width 2**-30 (at most 2**22 doubles). The
+    input is read once per round, so derived inputs should be cut or persisted
+    by the caller. Round results, a few rows per group, are checkpointed.
     """
     keys = list(keys)
     if len(values) == 1:
@@ -69,7 +73,7 @@ def order_statistics(
     hist = flat.groupBy(*g1).agg(
         F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
-    first = (
+    first = cut_lineage(
         _hits(hist, g0, "_b1")
         .withColumn("total", F.sum("n").over(W.partitionBy(*g0)))
         .withColumn(
@@ -77,44 +81,54 @@ def order_statistics(
             F.explode(F.filter(ranks(F.col("total")), lambda t: (t["rank"] >= F.col("first"))
                                & (t["rank"] <= F.col("last")))),
         )
-        .select(*g1, "lo", "hi", "total", F.col("hit.slot").alias("slot"),
+        .select(*g1, "lo", "hi", "n", "total", F.col("hit.slot").alias("slot"),
                 F.col("hit.rank").alias("rank"),
                 (F.col("hit.rank") - F.col("first")).alias("left"))
     )
+    open_rows = F.when(F.col("hi") > F.col("lo"), F.col("n"))
+    widest = first.agg(F.max(open_rows)).first()[0]
+    if widest is None:       # every hit bucket holds one value (whole-number data)
+        return first.select(*g0, "slot", "rank", "total", F.col("lo").alias("value"),
+                            F.col("left").alias("skip"))
+    group, targets = g1, first
+    if widest > _FEW_VALUES:
+        group = [*g1, "_b2"]
+        targets = _split(flat, first, g1)
+    bracket = targets.select(*group, "lo", "hi").distinct()
+    values_hit = (
+        flat.join(bracket, g1)
+        .where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        .groupBy(*group, "_v").agg(F.count("*").alias("n"))
+    )
+    return (
+        _hits(values_hit, group, "_v")
+        .join(targets.select(*group, "total", "slot", "rank", "left"), group)
+        .where(F.col("left").between(F.col("first"), F.col("last")))
+        .select(*g0, "slot", "rank", "total", F.col("_v").alias("value"),
+                (F.col("left") - F.col("first")).alias("skip"))
+    )
+
 
-    bracket1 = first.select(*g1, "lo", "hi").distinct()
+def _split(flat: DataFrame, first: DataFrame, g1: list[str]) -> DataFrame:
+    """Second round: cut hit buckets into equal parts and find the hit parts."""
     span = F.col("hi") - F.col("lo")
-    inside = flat.join(bracket1, g1).withColumn(
+    inside = flat.join(first.select(*g1, "lo", "hi").distinct(), g1).withColumn(
         "_b2",
-        F.when(span > 0, F.floor((F.col("_v") - F.col("lo")) / span * _LINEAR)).otherwise(0)
-        .cast("bigint"),
+        F.when(span > 0, F.floor((F.col("_v") - F.col("lo")) / F.when(span > 0, span) * _LINEAR))
+        .otherwise(0).cast("bigint"),
     )
     g2 = [*g1, "_b2"]
-    hist2 = inside.groupBy(*g2).agg(
+    hist = inside.groupBy(*g2).agg(
         F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
-    second = (
-        _hits(hist2, g1, "_b2")
+    return cut_lineage(
+        _hits(hist, g1, "_b2")
         .join(first.select(*g1, "total", "slot", "rank", "left"), g1)
         .where(F.col("left").between(F.col("first"), F.col("last")))
         .select(*g2, "lo", "hi", "total", "slot", "rank",
                 (F.col("left") - F.col("first")).alias("left"))
     )
 
-    bracket2 = second.select(*g2, "lo", "hi").distinct()
-    values_hit = (
-        flat.join(bracket2, g1)
-        .where(F.col("_v").between(F.col("lo"), F.col("hi")))
-        .groupBy(*g2, "_v").agg(F.count("*").alias("n"))
-    )
-    return (
-        _hits(values_hit, g2, "_v")
-        .join(second.select(*g2, "total", "slot", "rank", "left"), g2)
-        .where(F.col("left").between(F.col("first"), F.col("last")))
-        .select(*g0, "slot", "rank", "total", F.col("_v").alias("value"),
-                (F.col("left") - F.col("first")).alias("skip"))
-    )
-
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]

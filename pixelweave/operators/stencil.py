@@ -32,7 +32,7 @@ def on_tiles(df: DataFrame, scenes: DataFrame, cols: Sequence[str], halo: int,
         .withColumn("_ty", F.explode(tiles("y"))).withColumn("_tx", F.explode(tiles("x")))
     )
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         scene, ty, tx = key
         out = fn(pdf, int(ty) * tile, int(tx) * tile, int(pdf["height"].iat[0]), int(pdf["width"].iat[0]))
         out.insert(0, "scene_id", scene)

@@ -54,7 +54,8 @@ def crown_regions(raw: DataFrame, clean: DataFrame, scenes: DataFrame, min_area:
 def field_index(px: DataFrame, rgb: Sequence[str], green: str, nir: str) -> DataFrame:
     """Stretched composite, vegetation index and water rule per pixel."""
     raw = px.select(*_KEY, *rgb, F.col(green).alias("_g"), F.col(nir).alias("_n"))
-    indexed = po.excess_green(po.stretch_2_98(raw, rgb), *rgb)
+    # the statistics read their input more than once, so stages are kept
+    indexed = po.excess_green(cut_lineage(po.stretch_2_98(cut_lineage(raw), rgb)), *rgb)
     water = sc.suppress_water(F.col("index"), sc.ndwi(F.col("_g"), F.col("_n")))
     return indexed.withColumn("index", water).drop("_g", "_n")
 
