@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,28 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
     Only when neither the session nor the context names one (tests) is a
     temporary folder taken.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pixelweave-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="pixelweave-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Against ``checkpoint()`` the table also brings true sizes, so small sides
+    of later joins are seen as small, and drops the size estimates and
+    constraints of the old plan, which grow with every join of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/pixelweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
