@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import components as cp, instances as ins, masks as mk, pixels as po, regions as rg
+from ..operators import components as cp, instances as ins, masks as mk, pixels as po, regions as rg, resample as rs
 from ..operators.tiles import tile_shifted, tile_snapped
 from ..plans import flows
 from ..session import cut_lineage
@@ -13,16 +13,28 @@ _KEY = ["scene_id", "y", "x"]
 _TILE = 32
 
 
+def _dense_features(spark, sf):
+    """(features, scenes): a coarse token grid of each scene brought to pixels
+    by bilinear resizing, as dense features are."""
+    base = fx.scenes(spark, sf)
+
+    def sizes(from_h, from_w, to_h, to_w):
+        return base.select("scene_id", from_h.alias("src_h"), from_w.alias("src_w"), F.lit(to_h).alias("dst_h"), F.lit(to_w).alias("dst_w"))
+
+    px = po.normalize_robust(fx.pixels(spark, sf), ["b1", "b2"])
+    coarse = rs.resize_bilinear(px, sizes(F.col("height"), F.col("width"), 10, 34), ["b1", "b2"])
+    fine = rs.resize_bilinear(cut_lineage(coarse), sizes(F.lit(10), F.lit(34), 60, 204), ["b1", "b2"])
+    feats = fine.select(*_KEY, (F.col("scene_id") * 10000000 + F.col("y") * 1000 + F.col("x")).alias("pixel_id"),
+                        F.array("b1", "b2").alias("feature"), F.col("b1").alias("g"), F.col("b2").alias("r"))
+    return cut_lineage(feats), cut_lineage(base.withColumn("height", F.lit(60)).withColumn("width", F.lit(204)))
+
+
 @query("crown_flow")
 def _(spark, sf):
-    """Features from two scaled bands and their local mean, clustered into
-    crowns, split and measured."""
-    sc = cut_lineage(fx.scenes(spark, sf))
-    px = po.normalize_robust(fx.pixels(spark, sf), ["b1", "b2"])
-    feats = cut_lineage(px.select(*_KEY, (F.col("scene_id") * 10000000 + F.col("y") * 1000 + F.col("x")).alias("pixel_id"),
-                                  F.array("b1", "b2").alias("feature"), F.col("b1").alias("g"), F.col("b2").alias("r")))
-    raw, clean = flows.crown_mask(feats, sc, green="g", red="r", min_area=9, tile=_TILE)
-    got = flows.crown_regions(raw, clean, sc, min_area=9, min_distance=3, tile=_TILE)
+    """Dense features, clustered into crowns, cleaned, split and measured."""
+    feats, sc = _dense_features(spark, sf)
+    raw, clean = flows.crown_mask(feats, sc, green="g", red="r", min_area=9, tile=64)
+    got = flows.crown_regions(raw, clean, sc, min_area=9, min_distance=3, tile=64)
     return got.select("scene_id", "label", "area", r6("perimeter", digits=4), r6("eccentricity", digits=4), r6("solidity"), "wkt")
 
 
