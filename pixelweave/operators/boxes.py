@@ -50,11 +50,12 @@ def box_nms(boxes: DataFrame, threshold: float = 0.7, key: str = "mask_id", scor
     """Greedy suppression per group: best score first (lower key on ties), a
     box overlapping a kept one above ``threshold`` is dropped.
 
-    Rounds: a box that is the best undecided one in all cells where a partner
-    may lie is kept; then boxes overlapping a newly kept one are dropped. That
-    is the greedy result. Only kept boxes are joined, and kept boxes of one
-    size in one cell are few since they do not overlap much; equal boxes are
-    first reduced to their best, which is exact.
+    Rounds: a box is kept once no better undecided box overlaps it, and then
+    the boxes it overlaps are dropped; that is the greedy result, in as many
+    rounds as the longest chain of ever better overlapping boxes. Whether a
+    better one exists is a semi join on nearby cells of similar size, which
+    stops at the first hit and passes on one row per box, never the pairs.
+    Equal boxes are first reduced to their best, which is exact.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
@@ -65,19 +66,29 @@ def box_nms(boxes: DataFrame, threshold: float = 0.7, key: str = "mask_id", scor
         .where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
         .select("*", *_own_cell(t)))
     kept = None
+    cell = [group, "_k", "_cx", "_cy"]
+    corners = F.struct("x0", "y0", "x1", "y1")
+
+    def reached(df: DataFrame, name: str, rank: str) -> DataFrame:
+        """The box as ``name`` in every cell where a partner may lie."""
+        return _reach(df, t).select(
+            *place, corners.alias(name), F.col("_r").alias(rank), F.col("_q").alias("_k"),
+            F.col("_qx").alias("_cx"), F.col("_qy").alias("_cy"))
+
     while not todo.isEmpty():
-        cell = todo.groupBy(group, F.col("_k").alias("_q"), F.col("_cx").alias("_qx"), F.col("_cy").alias("_qy")) \
-            .agg(F.max("_r").alias("_top"))
-        seen = _reach(todo, t).join(cell, [group, "_q", "_qx", "_qy"])
-        best = seen.groupBy(*place, "_r", "_k", "_cx", "_cy").agg(F.max("_top").alias("_top")) \
-            .where(F.col("_top") == F.col("_r")).drop("_top")
-        new = cut_lineage(best)
+        here = todo.select(*[F.col(c).alias(f"_h{c}") for c in cell], corners.alias("_b"), F.col("_r").alias("_rb"))
+        near = reached(todo, "_a", "_ra")
+        same = F.lit(True)
+        for c in cell:
+            same = same & (near[c] == here[f"_h{c}"])
+        better = same & (here["_rb"] > near["_ra"]) & (iou("_a", "_b") > t)
+        blocked = cut_lineage(near.join(here, better, "left_semi").select(*place).distinct())
+        new = cut_lineage(todo.join(blocked, place, "left_anti"))
         kept = new if kept is None else kept.unionByName(new)
-        around = _reach(new, t).select(group, F.col("_q").alias("_k"), F.col("_qx").alias("_cx"), F.col("_qy").alias("_cy"),
-                                       F.struct("x0", "y0", "x1", "y1").alias("_a"))
-        rest = todo.withColumn("_b", F.struct("x0", "y0", "x1", "y1"))
-        gone = rest.join(around, [group, "_k", "_cx", "_cy"]).where(iou("_a", "_b") > t).select(*place).distinct()
-        todo = cut_lineage(todo.join(gone, place, "left_anti"))
+        held = todo.join(blocked, place, "left_semi")
+        hits = held.withColumn("_b", corners).join(reached(new, "_a", "_ra").select(*cell, "_a"), cell)
+        gone = hits.where(iou("_a", "_b") > t).select(*place).distinct()
+        todo = cut_lineage(held.join(gone, place, "left_anti"))
     if kept is None:
         return boxes.where(F.lit(False))
     ids = kept.select((-F.col("_r.n")).alias(key))
