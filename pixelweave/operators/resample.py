@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from .tiles import pixel_grid
 
 CUBIC_A = -0.75   # fixed value: cubic convolution parameter
@@ -114,6 +115,9 @@ def reproject_nearest(labels: DataFrame, label_scene: DataFrame, target_scenes:
     transform); target pixel centres go through longitude and latitude into
     the label raster's projection. Targets outside the raster get ``fill``.
     """
+    # the scene list is used twice and may carry long georeference expressions
+    target_scenes = cut_lineage(target_scenes.select("scene_id", "height", "width", "epsg", "transform"))
+    label_scene = cut_lineage(label_scene.select("epsg", "transform"))
     src = label_scene.select(F.col("epsg").alias("_se"), geo.affine_inverse(F.col("transform")).alias("_inv"),
                              F.lit(1).alias("_one"))
     g = pixel_grid(target_scenes).join(

@@ -151,9 +151,9 @@ def test_reprojection_across_zones_keeps_most_labels(spark, make):
     from pixelweave.functions import geo
 
     lab = make.mask(np.ones((50, 50), bool)).withColumn("label", F.lit(4)).drop("scene_id")
-    base = spark.createDataFrame([(0, 40, 40, 25832, 32631)], "scene_id bigint, height int, width int, epsg0 int, epsg int")
+    base = spark.createDataFrame([(0, 40, 40, 25832, 32631, 300250.0, 5899750.0)], "scene_id bigint, height int, width int, epsg0 int, epsg int, e double, n double")
     src = base.select(F.col("epsg0").alias("epsg"), geo.affine(10.0, 0.0, 300000.0, 0.0, -10.0, 5900000.0).alias("transform"))
-    mid = geo.add_latlon(base.withColumn("e", F.lit(300250.0)).withColumn("n", F.lit(5899750.0)), "e", "n", "epsg0", "lat", "lon")
+    mid = geo.add_latlon(base, "e", "n", "epsg0", "lat", "lon")
     tgt = geo.add_utm(mid, "lat", "lon", "epsg", "te", "tn").withColumn(
         "transform", geo.affine(10.0, 0.0, F.col("te") - 200.0, 0.0, -10.0, F.col("tn") + 200.0))
     got = rs.reproject_nearest(lab, src, tgt.select("scene_id", "height", "width", "epsg", "transform"))
