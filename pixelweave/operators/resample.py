@@ -131,10 +131,13 @@ def reproject_nearest(labels: DataFrame, label_scene: DataFrame, target_scenes:
     same = F.col("_se") == F.col("_te")
     g = g.withColumn("_e", F.when(same, F.col("_e0")).otherwise(F.col("_e1"))) \
         .withColumn("_n", F.when(same, F.col("_n0")).otherwise(F.col("_n1")))
+    # The added zero is not deterministic to the optimizer, so join filters stay
+    # above this projection; pushed below, each would repeat its whole formula.
+    zero = F.monotonically_increasing_id() * 0
     cells = g.select(
         "scene_id", "y", "x",
-        F.floor(geo.map_y(F.col("_inv"), F.col("_e"), F.col("_n"))).cast("int").alias("_sy"),
-        F.floor(geo.map_x(F.col("_inv"), F.col("_e"), F.col("_n"))).cast("int").alias("_sx"),
+        (F.floor(geo.map_y(F.col("_inv"), F.col("_e"), F.col("_n"))) + zero).cast("int").alias("_sy"),
+        (F.floor(geo.map_x(F.col("_inv"), F.col("_e"), F.col("_n"))) + zero).cast("int").alias("_sx"),
     )
     source = labels.select(F.col("y").alias("_sy"), F.col("x").alias("_sx"), value)
     return cells.join(source, ["_sy", "_sx"], "left").select(
