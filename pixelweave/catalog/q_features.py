@@ -30,11 +30,13 @@ def _(spark, sf):
     return ft.labels_to_grid(fx.embeddings(spark, sf).drop("feature"), "vec_id", 25)
 
 
-@query("mean_layers", fx.with_(fx.EMB, fx.FLAT, "g AS (SELECT label, CAST(pos - 1 AS INT) AS pos, avg(v) AS v FROM flat GROUP BY ALL)") + "SELECT label, pos, round(v, 6) AS v FROM g")
+@query("mean_layers", fx.with_(fx.EMB, fx.FLAT) + """SELECT vec_id, CAST((pos - 1) % 16 AS INT) AS pos, round(avg(v), 6) AS v
+  FROM flat GROUP BY vec_id, (pos - 1) % 16""")
 def _(spark, sf):
-    """All vectors of a label as layers of one token."""
-    e = fx.embeddings(spark, sf).groupBy("label").agg(F.collect_list("feature").alias("layers"))
-    return e.select("label", F.posexplode(vec.mean_layers(F.col("layers"))).alias("pos", "v")).select("label", "pos", r6("v"))
+    """Each vector read as four layers of 16 values."""
+    layers = F.transform(F.array(*[F.lit(16 * i + 1) for i in range(4)]), lambda s: F.slice("feature", s, F.lit(16)))
+    e = fx.embeddings(spark, sf).select("vec_id", layers.alias("layers"))
+    return e.select("vec_id", F.posexplode(vec.mean_layers(F.col("layers"))).alias("pos", "v")).select("vec_id", "pos", r6("v"))
 
 
 @query("sample_rows", f"""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY {fx.hash_sql('o_orderkey')}, o_orderkey) AS r FROM orders) WHERE r <= 1000""")

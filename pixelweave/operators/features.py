@@ -63,11 +63,11 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     a filter; nothing is sorted or gathered. Equal hashes are cut by key.
     """
     hashed = df.withColumn("_h", hash52(F.col(key), seed))
-    cut = order_statistics(
+    cut = cut_lineage(order_statistics(
         hashed, [], ["_h"],
         lambda total: F.array(F.struct(F.lit(0).alias("slot"),
                                        (F.least(F.lit(n).cast("bigint"), total) - 1).alias("rank"))),
-    ).select(F.col("value").cast("bigint").alias("_t"), F.col("skip").alias("_s"), F.lit(1).alias("_one"))
+    ).select(F.col("value").cast("bigint").alias("_t"), F.col("skip").alias("_s"), F.lit(1).alias("_one")))
     marked = hashed.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one")   # one row
     below = marked.where(F.col("_h") < F.col("_t")).select(*df.columns)
     at = marked.where(F.col("_h") == F.col("_t"))
