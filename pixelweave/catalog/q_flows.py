@@ -71,7 +71,7 @@ def _(spark, sf):
     sc = cut_lineage(fx.scenes(spark, sf))
     labels = cut_lineage(cp.connected_components(fx.sparse_mask(spark, sf), sc, 8, _TILE))
     stats = mk.component_stats(labels)
-    return rg.relax_if_few(lambda area, dist: stats.where(F.col("area") >= area), 64, 10).select("scene_id", "label", "area")
+    return rg.relax_if_few(lambda some, area, dist: stats.join(some.select("scene_id"), "scene_id", "left_semi").where(F.col("area") >= area), sc, 64, 10).select("scene_id", "label", "area")
 
 
 @query("region_table")

@@ -20,7 +20,7 @@ def _grid_sql(starts: str, clip: bool = True) -> str:
     return fx.with_(fx.PX, fx.SCENES, f"""ax AS (SELECT scene_id, height, width, {ys} AS ys, {xs} AS xs FROM scenes),
 ay AS (SELECT *, unnest(ys) AS y0, generate_subscripts(ys, 1) AS iy FROM ax),
 axx AS (SELECT *, unnest(xs) AS x0, generate_subscripts(xs, 1) AS ix FROM ay)""") + f"""SELECT scene_id,
-  CAST((iy - 1) * len(xs) + ix - 1 AS INT) AS tile_id, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0,
+  CAST((iy - 1) * len(xs) + ix - 1 AS BIGINT) AS tile_id, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0,
   CAST({end.format(s='y0', n='height')} AS INT) AS y1, CAST({end.format(s='x0', n='width')} AS INT) AS x1 FROM axx"""
 
 

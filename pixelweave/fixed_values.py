@@ -33,6 +33,7 @@ CHIP_SUFFIXES = ("tif", "TIF", "tiff", "TIFF")
 MIN_PROMPT_AREA, PROMPT_AREA_DIVISOR = 250, 6
 BOX_MARGIN_SHARE, BOX_MARGIN_MIN = 0.01, 6
 FEW_REGIONS = 5
+RELAXED_AREA_FLOOR, RELAXED_DISTANCE_FLOOR = 5, 3
 OUTLINE_TOLERANCE = 0.01                      # share of the outline length
 # boundary pattern code -> length contribution
 PERIMETER_WEIGHTS = {

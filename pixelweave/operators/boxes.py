@@ -55,15 +55,17 @@ def box_nms(boxes: DataFrame, threshold: float = 0.7, key: str = "mask_id", scor
     rounds as the longest chain of ever better overlapping boxes. Whether a
     better one exists is a semi join on nearby cells of similar size, which
     stops at the first hit and passes on one row per box, never the pairs.
-    Equal boxes are first reduced to their best, which is exact.
+    Equal boxes are first reduced to their best, which is exact. Boxes without
+    an inside overlap nothing and are kept, as are boxes with a missing corner.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
     t = float(threshold)
     place = [group, "x0", "y0", "x1", "y1"]
+    inside = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
+    flat = boxes.where(~inside)
     todo = cut_lineage(
-        boxes.groupBy(*place).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("n"))).alias("_r"))
-        .where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+        boxes.where(inside).groupBy(*place).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("n"))).alias("_r"))
         .select("*", *_own_cell(t)))
     kept = None
     cell = [group, "_k", "_cx", "_cy"]
@@ -88,8 +90,8 @@ def box_nms(boxes: DataFrame, threshold: float = 0.7, key: str = "mask_id", scor
         held = todo.join(blocked, place, "left_semi")
         hits = held.withColumn("_b", corners).join(reached(new, "_a", "_ra").select(*cell, "_a"), cell)
         gone = hits.where(iou("_a", "_b") > t).select(*place).distinct()
-        todo = cut_lineage(held.join(gone, place, "left_anti"))
+        todo = cut_lineage(held.join(gone, place, "left_anti"), todo, blocked)
     if kept is None:
-        return boxes.where(F.lit(False))
+        return flat
     ids = kept.select((-F.col("_r.n")).alias(key))
-    return boxes.join(ids, key, "left_semi")
+    return boxes.where(inside).join(ids, key, "left_semi").unionByName(flat)

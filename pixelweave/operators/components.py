@@ -101,7 +101,7 @@ def solve_edges(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("scene_id", "u").agg(F.min("v").alias("_m"))
         small = large.join(low2, ["scene_id", "u"]).select(
             "scene_id", F.col("v").alias("u"), F.col("_m").alias("v")).where(F.col("u") != F.col("v"))
-        e = cut_lineage(small.unionByName(low2.select("scene_id", "u", F.col("_m").alias("v"))).distinct())
+        e = cut_lineage(small.unionByName(low2.select("scene_id", "u", F.col("_m").alias("v"))).distinct(), e)
         now = _fingerprint(e)
         if now == mark:
             break

@@ -2,50 +2,132 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-def _runs(df: DataFrame, fixed: str, along: str, prefix: str) -> DataFrame:
-    """First and last position of the unbroken run each pixel lies in."""
-    w = W.partitionBy("scene_id", fixed).orderBy(along)
-    run = F.col(along) - F.row_number().over(w)
-    g = W.partitionBy("scene_id", fixed, "_run")
-    return df.withColumn("_run", run).withColumn(f"{prefix}0", F.min(along).over(g)) \
-        .withColumn(f"{prefix}1", F.max(along).over(g)).drop("_run")
+_FAR = np.int64(1) << 60     # no background on that side
+_SHIFTS = 48                 # reach up to which shifted minima are used
+
+
+def _runs(line: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """First index of each unbroken run of positions on one line, and the end."""
+    new = np.flatnonzero((line[1:] != line[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
+    return np.concatenate([[0], new, [len(pos)]])
+
+
+def _to_gap(pos: np.ndarray, length: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearer end of the run, ends at the scene's edge left out."""
+    size = np.diff(cuts)
+    first, last = np.repeat(pos[cuts[:-1]], size), np.repeat(pos[cuts[1:] - 1], size)
+    low = np.where(first > 0, pos - first + 1, _FAR)
+    high = np.where(last < length - 1, last - pos + 1, _FAR)
+    near = np.minimum(low, high)
+    return np.where(near < _FAR, np.minimum(near, 1 << 29) ** 2, _FAR)
+
+
+def _envelope(g: np.ndarray) -> np.ndarray:
+    """min over j of g[j] + (i - j)**2 by the lower envelope of parabolas, in linear time."""
+    n, top = len(g), -1
+    at, start = [0] * n, [0.0] * (n + 1)
+    v = g.tolist()
+    for j in range(n):
+        if v[j] >= _FAR:
+            continue
+        while top >= 0:
+            k = at[top]
+            cross = (v[j] + j * j - v[k] - k * k) / (2 * (j - k))
+            if cross > start[top]:
+                break
+            top -= 1
+        top += 1
+        at[top] = j
+        start[top] = cross if top else float("-inf")
+    if top < 0:
+        return g
+    which = np.searchsorted(np.array(start[1:top + 1]), np.arange(n), "left")
+    j = np.array(at[:top + 1])[which]
+    return g[j] + (np.arange(n) - j) ** 2
+
+
+def _nearest(g: np.ndarray, side: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The least of ``side`` and min over j of g[j] + (i - j)**2, j within the run."""
+    best = np.minimum(g, side)
+    run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    for k in range(1, min(_SHIFTS, len(g) - 1) + 1):
+        if best.max() <= k * k:
+            break
+        same = run[k:] == run[:-k]
+        here, there = best[k:], best[:-k]
+        np.minimum(here, np.where(same, g[:-k] + k * k, _FAR), out=here)
+        np.minimum(there, np.where(same, g[k:] + k * k, _FAR), out=there)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > _SHIFTS and best[a:b].max() > _SHIFTS * _SHIFTS:
+            best[a:b] = np.minimum(best[a:b], _envelope(g[a:b]))
+    return best
+
+
+def _by_line(batches: Iterator[pa.RecordBatch], line: str, done) -> Iterator[pa.RecordBatch]:
+    """``done`` on whole lines of rows sorted by (scene, line); a task holds one line and one batch."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from done({c: t.column(c).to_numpy() for c in t.column_names}).to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        scene, at = b.column("scene_id").to_numpy(), b.column(line).to_numpy()
+        same = (scene == scene[-1]) & (at == at[-1])
+        tail = int(np.argmax(same)) if not same.all() else 0
+        if held:
+            last = held[-1]
+            joins = last.column("scene_id")[-1].as_py() == scene[-1] and last.column(line)[-1].as_py() == at[-1]
+            if tail == 0 and joins:          # one line goes on through the whole batch
+                held.append(b)
+                continue
+        if tail:
+            held.append(b.slice(0, tail))
+        if held:
+            yield from flush()
+        held = [b.slice(tail)]
+    if held:
+        yield from flush()
 
 
 def distance_transform(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     """Squared distance ``d2`` (integer) and ``distance`` of each mask pixel to
     the nearest background pixel of its scene; NULL in a scene without one.
 
-    Pass one: distance within the column from the pixel's vertical run.
-    Pass two: within the row only pixels of the same horizontal run can hold
-    the minimum, and only nearer than the best bound known so far, so each
-    pixel scans a short slice of its run. Groups are columns, rows and runs,
-    never scenes.
+    Pass one: distance within the column from the pixel's vertical run. Pass
+    two: within the row only pixels of the same horizontal run can hold the
+    minimum; near ones are compared by shifting, long reaches by the lower
+    envelope, in linear time. Rows are laid out by column, then by row, and
+    streamed line by line: a task holds one line of pixels, never a scene.
     """
-    px = mask.select("scene_id", "y", "x").join(scenes.select("scene_id", "height", "width"), "scene_id")
-    col = _runs(px, "x", "y", "_v")
-    up = F.when(F.col("_v0") > 0, F.col("y") - F.col("_v0") + 1)
-    down = F.when(F.col("_v1") < F.col("height") - 1, F.col("_v1") - F.col("y") + 1)
-    g = F.least(up, down).cast("bigint")
-    cols = col.withColumn("_g2", g * g).select("scene_id", "y", "x", "width", "_g2")
-    row = _runs(cols, "y", "x", "_h")
-    runs = row.groupBy("scene_id", "y", "_h0", "_h1", "width").agg(
-        F.sort_array(F.collect_list(F.struct("x", "_g2"))).alias("_a"))
-    n = F.size("_a")
-    each = runs.select("*", n.alias("_n"), F.posexplode("_a").alias("_i", "_p"))
-    left = F.when(F.col("_h0") > 0, F.col("_i") + 1).cast("bigint")
-    right = F.when(F.col("_h1") < F.col("width") - 1, F.col("_n") - F.col("_i")).cast("bigint")
-    side = F.least(left, right)
-    each = each.withColumn("_m", F.least(F.col("_p._g2"), side * side))
-    reach = F.coalesce(F.ceil(F.sqrt("_m")).cast("int"), F.col("_n"))
-    each = each.withColumn("_lo", F.greatest(F.lit(0), F.col("_i") - reach)).withColumn(
-        "_hi", F.least(F.col("_n") - 1, F.col("_i") + reach))
-    window = F.slice("_a", F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1)
-    best = F.array_min(F.transform(
-        window, lambda e, j: e["_g2"] + (j + F.col("_lo") - F.col("_i")).cast("bigint")
-        * (j + F.col("_lo") - F.col("_i")).cast("bigint")))
-    d2 = F.least(F.col("_m"), best)
-    return each.select("scene_id", "y", F.col("_p.x").alias("x"), d2.alias("d2")).withColumn(
-        "distance", F.sqrt(F.col("d2").cast("double")))
+    px = mask.select("scene_id", "y", "x").join(scenes.select("scene_id", "height", "width"), "scene_id").select(
+        F.col("scene_id").cast("bigint").alias("scene_id"), *[F.col(c).cast("bigint").alias(c) for c in ("y", "x", "height", "width")])
+
+    def down(c: dict) -> pa.Table:
+        line = np.stack([c["scene_id"], c["x"]])
+        new = (line[:, 1:] != line[:, :-1]).any(0)
+        key = np.concatenate([[0], np.cumsum(new)])
+        g = _to_gap(c["y"], c["height"], _runs(key, c["y"]))
+        return pa.table({"scene_id": c["scene_id"], "y": c["y"], "x": c["x"], "width": c["width"], "g": g})
+
+    def along(c: dict) -> pa.Table:
+        line = np.stack([c["scene_id"], c["y"]])
+        key = np.concatenate([[0], np.cumsum((line[:, 1:] != line[:, :-1]).any(0))])
+        cuts = _runs(key, c["x"])
+        d2 = _nearest(c["g"], _to_gap(c["x"], c["width"], cuts), cuts)
+        return pa.table({"scene_id": c["scene_id"], "y": c["y"].astype(np.int32), "x": c["x"].astype(np.int32),
+                         "d2": pa.array(d2, mask=d2 >= _FAR)})
+
+    cols = px.repartition("scene_id", "x").sortWithinPartitions("scene_id", "x", "y").mapInArrow(
+        lambda b: _by_line(b, "x", down), "scene_id bigint, y bigint, x bigint, width bigint, g bigint")
+    rows = cols.repartition("scene_id", "y").sortWithinPartitions("scene_id", "y", "x").mapInArrow(
+        lambda b: _by_line(b, "y", along), "scene_id bigint, y int, x int, d2 bigint")
+    return rows.withColumn("distance", F.sqrt(F.col("d2").cast("double")))

@@ -26,9 +26,12 @@ from ..session import cut_lineage
 from .stats import order_statistics, top_per_group
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, validity of the rows): NULL rows have no vector."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    some = column.drop_null()
+    flat = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return (flat.reshape(len(some), -1) if len(some) else flat.reshape(0, 0)), valid
 
 
 # --- grids ------------------------------------------------------------------
@@ -95,16 +98,17 @@ def _distances(centers: Sequence[Sequence[float]]):
 
     @F.arrow_udf("array<double>")
     def fn(v: pa.Array) -> pa.Array:
-        x = _matrix(v)
+        x, valid = _matrix(v)
         out = np.stack([((x - row) ** 2).sum(1) for row in c], 1) if len(x) else np.zeros((0, len(c)))
-        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(c), dtype=np.int32), out.ravel())
+        ends = np.concatenate([[0], np.cumsum(valid * len(c))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~valid))
 
     return fn
 
 
 def assign_clusters(df: DataFrame, feature: str, centers: Sequence[Sequence[float]],
                     name: str = "cluster") -> DataFrame:
-    """Nearest centre by Euclidean distance, lowest id on ties."""
+    """Nearest centre by Euclidean distance, lowest id on ties; NULL without a vector."""
     d = _distances(centers)(F.col(feature).cast("array<double>"))
     return df.withColumn("_d", d).withColumn(
         name, (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
@@ -115,16 +119,21 @@ def kmeans_step(df: DataFrame, feature: str, centers: Sequence[Sequence[float]],
     """One update: (cluster, n, center). An empty cluster takes the row with
     the lowest hash for that cluster."""
     k = len(centers)
+    df = df.where(F.col(feature).isNotNull())
     got = assign_clusters(df, feature, centers)
     means = got.groupBy("cluster").agg(
         F.count("*").alias("n"),
         vector_to_array(Summarizer.mean(array_to_vector(F.col(feature).cast("array<double>")))).alias("_mean"))
+    means = cut_lineage(means)
+    empty = sorted(set(range(k)) - {r[0] for r in means.select("cluster").collect()})     # at most k ids
+    if not empty:
+        return means.select("cluster", "n", F.col("_mean").alias("center"))
     spare = df.agg(*[
         F.min_by(F.col(feature).cast("array<double>"), F.struct(hash52(F.col(key), seed + 1 + j), F.col(key))).alias(f"s{j}")
-        for j in range(k)
-    ]).select(F.posexplode(F.array(*[f"s{j}" for j in range(k)])).alias("cluster", "_spare"))
-    return spare.join(means, "cluster", "left").select(
-        "cluster", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_mean", "_spare").alias("center"))
+        for j in empty
+    ]).select(F.explode(F.array(*[F.struct(F.lit(j).alias("cluster"), F.lit(0).cast("bigint").alias("n"), F.col(f"s{j}").alias("center"))
+                                  for j in empty])).alias("_s")).select("_s.*")
+    return means.select("cluster", "n", F.col("_mean").alias("center")).unionByName(spare)
 
 
 def kmeans_iterate(df: DataFrame, feature: str, key: str, k: int = 2, iters: int = 20,
@@ -164,32 +173,74 @@ def cluster_counts(labels: DataFrame, label: str, k: int) -> DataFrame:
     return ids.join(n, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def scene_centers(df: DataFrame, feature: str, key: str, k: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """(keys, cluster, center): the k rows of lowest key hash of each group, as start centres."""
+    some = df.where(F.col(feature).isNotNull()).select(*keys, key, F.col(feature).cast("array<double>").alias("center"))
+    return top_per_group(some, keys, [hash52(F.col(key), seed), F.col(key)], k, "_r").select(
+        *keys, (F.col("_r") - 1).cast("int").alias("cluster"), "center")
+
+
+def assign_scene_clusters(df: DataFrame, feature: str, centers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nearest of the group's own centres, lowest id on ties; NULL without a vector.
+    Centres are a table of clusters x dimensions per group and travel as one array."""
+    packed = centers.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_c"))
+    f = F.col(feature).cast("array<double>")
+    gaps = F.transform("_c", lambda c: F.struct(F.aggregate(
+        F.zip_with(c["center"], f, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v).alias("d"), c["cluster"].alias("cluster")))
+    return df.join(packed, list(keys)).withColumn("cluster", F.when(f.isNotNull(), F.array_min(gaps)["cluster"])).drop("_c")
+
+
+def kmeans_per_scene(df: DataFrame, feature: str, centers: DataFrame, keys: Sequence[str], iters: int = 20,
+                     tol: float = 1e-4) -> DataFrame:
+    """(keys, cluster, center) after repeated updates of all groups together,
+    until no centre moves by ``tol``. An empty cluster keeps its centre. An
+    update is one aggregation by (group, cluster) that combines map-side."""
+    by = [*keys, "cluster"]
+    centers = cut_lineage(centers)
+    vector = array_to_vector(F.col(feature).cast("array<double>"))
+    for _ in range(iters):
+        means = assign_scene_clusters(df, feature, centers, keys).where(F.col("cluster").isNotNull()).groupBy(*by).agg(
+            vector_to_array(Summarizer.mean(vector)).alias("_m"))
+        moved = F.sqrt(F.aggregate(F.zip_with("center", "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+        step = cut_lineage(centers.join(means, by, "left").select(
+            *by, F.coalesce("_m", "center").alias("center"), F.when(F.col("_m").isNotNull(), moved).alias("_shift")), centers)
+        shift = step.agg(F.max("_shift")).first()[0]
+        centers = step.drop("_shift")
+        centers._pixelweave_table = step._pixelweave_table
+        if shift is None or shift < tol:
+            break
+    return centers
+
+
 def score_clusters(df: DataFrame, feature: str, k: int, cluster: str = "cluster",
                    green: str | None = None, red: str | None = None,
-                   bounds: tuple[float, float] = fv.COVERAGE_BOUNDS) -> DataFrame:
-    """(cluster, pixels, coverage, score) for clusters 0..k-1.
+                   bounds: tuple[float, float] = fv.COVERAGE_BOUNDS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, cluster, pixels, coverage, score) for clusters 0..k-1 of each group.
 
     Texture is the deviation of all feature values of a cluster, taken from
     per-row sums; activation is the mean vector length. NaN values are left
     out. Coverage outside the bounds damps the score; with bands given, mean
     green minus mean red is added. An empty cluster scores minus infinity.
     """
+    keys = list(keys)
     f = F.col(feature).cast("array<double>")
     real = F.filter(f, lambda e: e.isNotNull() & ~F.isnan(e))
     sums = F.aggregate(
         real, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).cast("bigint").alias("n")),
         lambda a, e: F.struct((a["s"] + e).alias("s"), (a["q"] + e * e).alias("q"), (a["n"] + 1).alias("n")))
     length = F.when(F.size(real) == F.size(f), vec.norm(f))
-    rows = df.select(F.col(cluster).cast("int").alias("cluster"), sums.alias("t"), length.alias("len"),
+    rows = df.select(*keys, F.col(cluster).cast("int").alias("cluster"), sums.alias("t"), length.alias("len"),
                      *([F.col(green).alias("g"), F.col(red).alias("r")] if green else []))
-    agg = rows.groupBy("cluster").agg(
+    agg = rows.groupBy(*keys, "cluster").agg(
         F.count("*").alias("pixels"), F.sum("t.s").alias("s"), F.sum("t.q").alias("q"), F.sum("t.n").alias("n"),
         F.avg("len").alias("act"),
         *([(F.avg("g") - F.avg("r")).alias("veg")] if green else [F.lit(0.0).alias("veg")]))
     ids = df.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
-    # k rows from here on
-    everything = W.partitionBy(F.lit(0))
-    full = ids.join(agg, "cluster", "left").withColumn("_all", F.sum("pixels").over(everything))
+    if keys:
+        ids = agg.select(*keys).distinct().withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    # k rows per group from here on
+    everything = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    full = ids.join(agg, [*keys, "cluster"], "left").withColumn("_all", F.sum("pixels").over(everything))
     coverage = F.coalesce(F.col("pixels") / F.col("_all"), F.lit(0.0))
     mean = F.col("s") / F.col("n")
     texture = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
@@ -199,31 +250,37 @@ def score_clusters(df: DataFrame, feature: str, k: int, cluster: str = "cluster"
         coverage > high, F.when(coverage > min(fv.COVERAGE_EXTREME, high * 1.5), 0.1).otherwise(0.5)).otherwise(1.0)
     veg = F.coalesce(F.col("veg"), F.lit(0.0))
     return full.select(
-        "cluster", F.coalesce("pixels", F.lit(0)).cast("bigint").alias("pixels"), coverage.alias("coverage"),
+        *keys, "cluster", F.coalesce("pixels", F.lit(0)).cast("bigint").alias("pixels"), coverage.alias("coverage"),
         F.when(F.col("pixels").isNull(), F.lit(float("-inf"))).otherwise(base * damp + veg).alias("score"))
 
 
-def pick_cluster(scores: DataFrame, bounds: tuple[float, float] = fv.COVERAGE_BOUNDS) -> DataFrame:
-    """One row: the best cluster, or, when it covers nothing or nearly all, the
-    usable alternative nearest to the middle of the bounds. The input has one
-    row per cluster."""
-    everything = W.partitionBy(F.lit(0))
+def pick_cluster(scores: DataFrame, bounds: tuple[float, float] = fv.COVERAGE_BOUNDS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, cluster), one row per group: the best cluster, or, when it covers
+    nothing or nearly all, the usable alternative nearest to the middle of the
+    bounds. The input has one row per group and cluster."""
+    keys = list(keys)
+    everything = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     top = F.max(F.struct("score", (-F.col("cluster")).alias("_n"), "coverage")).over(everything)
     both = scores.withColumn("_top", top).withColumn("_b", -F.col("_top._n")).withColumn("_c", F.col("_top.coverage"))
     usable = (F.col("cluster") != F.col("_b")) & (F.col("coverage") > 0) & (F.col("coverage") < fv.COVERAGE_EXTREME)
     order = F.struct(F.abs(F.col("coverage") - sum(bounds) / 2), -F.col("score"), F.col("cluster"))
     alt = F.min_by("cluster", F.when(usable, order))
     extreme = (F.max("_c") <= 0) | (F.max("_c") >= fv.COVERAGE_EXTREME)
-    return both.agg(F.when(extreme, F.coalesce(alt, F.max("_b"))).otherwise(F.max("_b")).alias("cluster"))
+    return both.groupBy(*keys).agg(F.when(extreme, F.coalesce(alt, F.max("_b"))).otherwise(F.max("_b")).alias("cluster"))
 
 
 def segment_unsupervised(df: DataFrame, feature: str, key: str, k: int = 2, green: str | None = None,
-                         red: str | None = None, sample: int = 200_000, seed: int = 0) -> DataFrame:
-    """Rows of the cluster most likely to be the target: fit on a sample,
-    label all, score, pick."""
-    _, got = kmeans_fit(df, feature, k, seed, sample=(key, sample))
-    pick = pick_cluster(score_clusters(got, feature, k, green=green, red=red))
-    return got.join(F.broadcast(pick), "cluster", "left_semi")   # one row
+                         red: str | None = None, seed: int = 0, keys: Sequence[str] = ("scene_id",),
+                         centers: DataFrame | None = None, iters: int = 20) -> DataFrame:
+    """Rows of the cluster most likely to be the target, decided per scene:
+    fit on all rows of the scene, label, score, pick. ``centers`` gives start
+    centres (keys, cluster, center) in place of hashed rows."""
+    keys = list(keys)
+    start = centers if centers is not None else scene_centers(df, feature, key, k, keys, seed)
+    # scored and returned, so labelled once
+    got = cut_lineage(assign_scene_clusters(df, feature, kmeans_per_scene(df, feature, start, keys, iters), keys))
+    pick = pick_cluster(score_clusters(got.where(F.col("cluster").isNotNull()), feature, k, green=green, red=red, keys=keys), keys=keys)
+    return got.join(pick, [*keys, "cluster"], "left_semi")
 
 
 # --- projection -------------------------------------------------------------
@@ -248,14 +305,19 @@ def pca_project(df: DataFrame, feature: str, k: int = 3, standardize: bool = Fal
 
 def covariance_matrix(df: DataFrame, feature: str) -> DataFrame:
     """(i, j, cov) for i <= j, sample covariance. Each task folds its rows
-    into one product matrix, so what is shuffled grows with the dimensions
-    and the task count, not with the rows."""
+    into one product matrix about one row of the data, so that large means
+    don't cost digits; what is shuffled grows with the dimensions and the task
+    count, not with the rows."""
+    first = df.where(F.col(feature).isNotNull()).select(F.col(feature).cast("array<double>")).first()
+    origin = np.nan_to_num(np.array(first[0], float)) if first else np.zeros(0)
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, prods = 0, None, None
         for batch in batches:
-            x = _matrix(batch.column(0))
+            x, _ = _matrix(batch.column(0))
             if not len(x):
                 continue
+            x = x - origin
             if sums is None:
                 sums, prods = np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
             n, sums, prods = n + len(x), sums + x.sum(0), prods + x.T @ x
@@ -280,9 +342,11 @@ def linear_probe_predict(df: DataFrame, feature: str, weights: Sequence[Sequence
 
     @F.arrow_udf("int")
     def fn(v: pa.Array) -> pa.Array:
-        x = _matrix(v)
-        best = (x @ w.T + b).argmax(1) if len(x) else np.zeros(0)
-        return pa.array(best.astype(np.int32), pa.int32())
+        x, valid = _matrix(v)
+        best = np.zeros(len(valid), np.int32)
+        if len(x):
+            best[valid] = (x @ w.T + b).argmax(1)
+        return pa.array(best, pa.int32(), mask=~valid)
 
     return df.withColumn(name, fn(F.col(feature).cast("array<double>")))
 
@@ -323,13 +387,21 @@ def knn_classify(queries: DataFrame, train: DataFrame, key: str, feature: str, l
             return pd.DataFrame({key: [], "d": [], "tk": [], "l": []})
         ts = ts.sort_values("_tk")
         x, y = np.stack(qs["_f"].to_numpy()), np.stack(ts["_f"].to_numpy())
+        middle = y.mean(0)          # the expansion below cancels less about the middle
+        x, y = x - middle, y - middle
         lab, ids = ts["_l"].to_numpy(), ts["_tk"].to_numpy()
         keys, n = qs[key].to_numpy(), min(k, len(ts))
         out = []
         for i in range(0, len(x), 256):
             part = x[i:i + 256]
             d = (part ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None] - 2 * part @ y.T
-            best = np.argsort(d, axis=1, kind="stable")[:, :n]
+            near_n = min(len(y), 2 * n + 8)
+            some = np.sort(np.argpartition(d, near_n - 1, axis=1)[:, :near_n], axis=1)
+            exact = ((part[:, None] - y[some]) ** 2).sum(2)
+            inner = np.argsort(exact, axis=1, kind="stable")[:, :n]
+            best = np.take_along_axis(some, inner, 1)
+            d = np.full(d.shape, np.inf)
+            np.put_along_axis(d, best, np.take_along_axis(exact, inner, 1), 1)
             out.append(pd.DataFrame({
                 key: np.repeat(keys[i:i + 256], n),
                 "d": np.take_along_axis(d, best, 1).ravel(), "tk": ids[best].ravel(), "l": lab[best].ravel()}))

@@ -4,7 +4,10 @@ The watershed is the minimum spanning forest rooted in the markers (watershed
 cuts, Cousty et al., 2009). It is found with joins and aggregations: pixels
 follow their steepest neighbour to a peak (pointer jumping), and unmarked
 basins join through their highest pass (Boruvka rounds). No component is
-gathered anywhere, so its size is not bounded. All ties follow (height, id).
+gathered anywhere, so its size is not bounded. An edge weighs as the lower of
+its heights, then as the higher one: of several labelled neighbours a pixel
+takes the label of the highest, where a queue-based flood takes the first one
+flooded. Unique heights thus determine the result; ties follow (height, id).
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ _NODE = ["scene_id", "id"]
 
 def _jump(pointers: DataFrame) -> DataFrame:
     """Follow ``p`` to its end for all (scene_id, id, p)."""
+    used = pointers
     while True:
         ahead = pointers.select("scene_id", F.col("id").alias("p"), F.col("p").alias("_q"))
         stepped = cut_lineage(pointers.join(ahead, ["scene_id", "p"]).select(
-            "scene_id", "id", F.col("_q").alias("p"), (F.col("_q") != F.col("p")).alias("_moved")))
+            "scene_id", "id", F.col("_q").alias("p"), (F.col("_q") != F.col("p")).alias("_moved")), used)
+        used = stepped
         moved = stepped.where("_moved").limit(1).count()
         pointers = stepped.drop("_moved")
         if not moved:
@@ -55,7 +60,7 @@ def marker_watershed(heights: DataFrame, markers: DataFrame, scenes: DataFrame,
                          .otherwise(-F.col("_s.k")).alias("p"))
     basin = cut_lineage(_jump(cut_lineage(pointers)))
 
-    cells = px.join(basin, _NODE)
+    cells = cut_lineage(px.join(basin, _NODE), px)
     # highest pass between touching basins
     forward = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, 0))])
     ahead = cells.select("*", F.explode(forward).alias("o")).select(
@@ -64,7 +69,7 @@ def marker_watershed(heights: DataFrame, markers: DataFrame, scenes: DataFrame,
     passes = ahead.join(cells.select("scene_id", "y", "x", "h", "p"), ["scene_id", "y", "x"]).where(
         F.col("p") != F.col("_p")).select(
         "scene_id", F.least("p", "_p").alias("a"), F.greatest("p", "_p").alias("b"),
-        F.least("h", "_h").alias("w")).groupBy("scene_id", "a", "b").agg(F.max("w").alias("w"))
+        F.struct(F.least("h", "_h").alias("low"), F.greatest("h", "_h").alias("high")).alias("w")).groupBy("scene_id", "a", "b").agg(F.max("w").alias("w"))
     edges = cut_lineage(passes.select("scene_id", F.col("a").alias("ca"), F.col("b").alias("cb"),
                                       F.struct("w", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("k")))
     # group: basin -> current group and the marker it holds

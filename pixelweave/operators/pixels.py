@@ -259,8 +259,13 @@ def nth_acquisition(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def temporal_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median over time per location, missing values ignored."""
-    return exact_quantiles(df, keys, [value], [0.5]).withColumnRenamed(f"{value}_q0", "median")
+    """Median over time per location, missing values ignored.
+
+    A location holds one value per acquisition date, so its values fit one
+    aggregation buffer: one shuffle.
+    """
+    v = finite(F.col(value))
+    return df.where(v.isNotNull()).groupBy(*keys).agg(F.percentile(v, 0.5).alias("median"))
 
 
 def ensemble_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import geo
+from ..session import cut_lineage
 from .stencil import CROSS, RING
 
 REGION = ["scene_id", "label"]
@@ -256,19 +257,20 @@ def region_table(labels: DataFrame, scenes: DataFrame, min_area: int = 25) -> Da
     )
 
 
-def relax_if_few(build, min_area: int, min_distance: int):
-    """Retry with halved limits when fewer than five regions are found.
+def relax_if_few(build, scenes: DataFrame, min_area: int, min_distance: int) -> DataFrame:
+    """Retry the scenes with fewer than five regions under half the limits.
 
-    ``build(min_area, min_distance)`` returns a region table. The retry is kept
-    only if it finds more.
+    ``build(scenes, min_area, min_distance)`` returns the region table of the
+    given scenes. A limit is halved down to its floor. Per scene the retry is
+    kept only if it finds more regions; the decision is a join of counts.
     """
-    first = build(min_area, min_distance)
-    found = first.count()
-    if found >= fv.FEW_REGIONS:
-        return first
-    area = max(5, min_area // 2 if min_area > 5 else min_area)
-    dist = max(3, min_distance // 2 if min_distance > 3 else min_distance)
-    if (area, dist) == (min_area, min_distance):
-        return first
-    second = build(area, dist)
-    return second if second.count() > found else first
+    def counted(table: DataFrame, name: str) -> DataFrame:
+        n = table.groupBy("scene_id").agg(F.count("*").alias(name))
+        return scenes.select("scene_id").join(n, "scene_id", "left").select("scene_id", F.coalesce(name, F.lit(0)).alias(name))
+
+    first = cut_lineage(build(scenes, min_area, min_distance))
+    few = cut_lineage(counted(first, "n").where(F.col("n") < fv.FEW_REGIONS))
+    second = cut_lineage(build(scenes.join(few, "scene_id", "left_semi"), max(fv.RELAXED_AREA_FLOOR, min_area // 2),
+                               max(fv.RELAXED_DISTANCE_FLOOR, min_distance // 2)))
+    better = few.join(counted(second, "more"), "scene_id").where(F.col("more") > F.col("n")).select("scene_id")
+    return first.join(better, "scene_id", "left_anti").unionByName(second.join(better, "scene_id", "left_semi"))

@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
-_PER_OCTAVE = 1024        # first-round buckets per power of two
-_LINEAR = 1 << 20         # second-round buckets inside one first-round bucket
-_FEW_VALUES = 1 << 20     # rows of a bucket whose values may be listed directly
+_PER_OCTAVE = 1 << 14     # buckets per power of two
 
 
 def finite(col: Column) -> Column:
@@ -48,13 +46,11 @@ def order_statistics(
     ``ranks(total)`` returns an array<struct<slot:int, rank:bigint>> column.
     Output: keys, ``_item`` (position in ``values``), slot, rank, value,
     ``skip`` (rank among equal values) and total. NULL and non-finite values
-    are left out. Round one counts logarithmic buckets (at most 4.4 million
-    per group for any double input, tens of thousands in practice). If the hit
-    buckets hold one value each that is the answer; if they hold at most 2**20
-    rows their values are counted; else they are split linearly first, which
-    leaves brackets of relative width 2**-30 (at most 2**22 doubles). The
-    input is read once per round, so derived inputs should be cut or persisted
-    by the caller. Round results, a few rows per group, are checkpointed.
+    are left out. The keys and values are first written as a narrow table, so
+    ``df`` is evaluated once however it was derived. Round one counts
+    logarithmic buckets; round two counts the values of the few buckets that
+    hold a wanted rank (a bucket spans 1/24000 of its values' size, so it holds
+    few distinct values). Both are counts that combine map-side.
     """
     keys = list(keys)
     if len(values) == 1:
@@ -66,7 +62,7 @@ def order_statistics(
             for i, v in enumerate(values)
         ])
         flat = df.select(*keys, F.inline(pairs))
-    flat = flat.where(F.col("_v").isNotNull()).withColumn("_b1", _log_bucket(F.col("_v")))
+    flat = cut_lineage(flat.where(F.col("_v").isNotNull()).withColumn("_b1", _log_bucket(F.col("_v"))))
 
     g0 = [*keys, "_item"]
     g1 = [*g0, "_b1"]
@@ -85,51 +81,18 @@ def order_statistics(
                 F.col("hit.rank").alias("rank"),
                 (F.col("hit.rank") - F.col("first")).alias("left"))
     )
-    open_rows = F.when(F.col("hi") > F.col("lo"), F.col("n"))
-    widest = first.agg(F.max(open_rows)).first()[0]
-    if widest is None:       # every hit bucket holds one value (whole-number data)
-        return first.select(*g0, "slot", "rank", "total", F.col("lo").alias("value"),
-                            F.col("left").alias("skip"))
-    group, targets = g1, first
-    if widest > _FEW_VALUES:
-        group = [*g1, "_b2"]
-        targets = _split(flat, first, g1)
-    bracket = targets.select(*group, "lo", "hi").distinct()
-    values_hit = (
-        flat.join(bracket, g1)
-        .where(F.col("_v").between(F.col("lo"), F.col("hi")))
-        .groupBy(*group, "_v").agg(F.count("*").alias("n"))
-    )
+    bracket = first.select(*g1).distinct()
+    # a hot bucket is split by the session's forced skew splitting where the brackets are not broadcast
+    values_hit = flat.join(bracket, g1, "left_semi").groupBy(*g1, "_v").agg(F.count("*").alias("n"))
     return (
-        _hits(values_hit, group, "_v")
-        .join(targets.select(*group, "total", "slot", "rank", "left"), group)
+        _hits(values_hit, g1, "_v")
+        .join(first.select(*g1, "total", "slot", "rank", "left"), g1)
         .where(F.col("left").between(F.col("first"), F.col("last")))
         .select(*g0, "slot", "rank", "total", F.col("_v").alias("value"),
                 (F.col("left") - F.col("first")).alias("skip"))
     )
 
 
-def _split(flat: DataFrame, first: DataFrame, g1: list[str]) -> DataFrame:
-    """Second round: cut hit buckets into equal parts and find the hit parts."""
-    span = F.col("hi") - F.col("lo")
-    inside = flat.join(first.select(*g1, "lo", "hi").distinct(), g1).withColumn(
-        "_b2",
-        F.when(span > 0, F.floor((F.col("_v") - F.col("lo")) / F.when(span > 0, span) * _LINEAR))
-        .otherwise(0).cast("bigint"),
-    )
-    g2 = [*g1, "_b2"]
-    hist = inside.groupBy(*g2).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
-    return cut_lineage(
-        _hits(hist, g1, "_b2")
-        .join(first.select(*g1, "total", "slot", "rank", "left"), g1)
-        .where(F.col("left").between(F.col("first"), F.col("last")))
-        .select(*g2, "lo", "hi", "total", "slot", "rank",
-                (F.col("left") - F.col("first")).alias("left"))
-    )
-
-
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+
 TILE = 256
 
 
@@ -149,36 +151,66 @@ def label_boundaries(labels: DataFrame, scenes: DataFrame) -> DataFrame:
     return sized.where(edge).select("scene_id", "y", "x", F.col("_c").alias("label"))
 
 
+def _square_max(a: np.ndarray, r: int) -> np.ndarray:
+    """Greatest value within the square of radius r around each cell."""
+    best = a.copy()
+    for axis in (0, 1):
+        src = best.copy()
+        for s in range(1, r + 1):
+            low, high = [slice(None)] * 2, [slice(None)] * 2
+            low[axis], high[axis] = slice(s, None), slice(None, -s)
+            low, high = tuple(low), tuple(high)
+            best[high] = np.maximum(best[high], src[low])
+            best[low] = np.maximum(best[low], src[high])
+    return best
+
+
 def local_peaks(distance: DataFrame, scenes: DataFrame, min_distance: int,
                 exclude_border: bool = True, value: str = "d2", tile: int = TILE) -> DataFrame:
-    """Pixels whose value is the greatest within a square of radius
-    ``min_distance``, equal values decided by lower (y, x); values must be
-    positive, and a border band of that width is left out."""
+    """Peaks of a positive field, at least ``min_distance`` + 1 apart.
+
+    Candidates are pixels whose value is the greatest within a square of radius
+    ``min_distance``; a border band of that width is left out. Candidates that
+    near each other have equal values; of these they are kept in (y, x) order
+    unless a kept one is within the square. Most candidates stand alone and are
+    settled at once; the others (plateaus) are settled in rounds over tiles: a
+    tile decides its candidates in order as far as earlier ones in its halo are
+    decided, so rounds grow with the tiles a plateau crosses, not its pixels.
+    """
     r = int(min_distance)
     full = tile + 2 * r
+    own = (slice(r, r + tile), slice(r, r + tile))
 
-    def fn(pdf, y_low, x_low, height, width):
-        order = np.arange(full * full, dtype=np.int64).reshape(full, full)
-        key = np.full((full, full), -1, np.int64)
-        yy, xx = pdf["y"].to_numpy() - y_low + r, pdf["x"].to_numpy() - x_low + r
-        # row-major order breaks ties: the earlier position gets the higher key
-        key[yy, xx] = pdf[value].to_numpy().astype(np.int64) * (full * full) + (full * full - 1 - order[yy, xx])
-        best = key.copy()
-        for axis in (0, 1):
-            src = best.copy()
-            for s in range(1, r + 1):
-                a, b = [slice(None)] * 2, [slice(None)] * 2
-                a[axis], b[axis] = slice(s, None), slice(None, -s)
-                a, b = tuple(a), tuple(b)
-                best[b] = np.maximum(best[b], src[a])
-                best[a] = np.maximum(best[a], src[b])
-        own = (slice(r, r + tile), slice(r, r + tile))
-        hit = (key[own] == best[own]) & (key[own] >= full * full)
-        ys, xs = np.nonzero(hit)
+    def grid(pdf, y_low, x_low, values, fill):
+        a = np.full((full, full), fill, np.asarray(values).dtype)
+        a[pdf["y"].to_numpy() - y_low + r, pdf["x"].to_numpy() - x_low + r] = values
+        return a
+
+    def candidates(pdf, y_low, x_low, height, width):
+        v = grid(pdf, y_low, x_low, pdf[value].to_numpy(float), -np.inf)
+        ys, xs = np.nonzero((v[own] == _square_max(v, r)[own]) & (v[own] > 0))
         ys, xs = ys + y_low, xs + x_low
         if exclude_border:
             ok = (ys >= r) & (ys < height - r) & (xs >= r) & (xs < width - r)
             ys, xs = ys[ok], xs[ok]
         return pd.DataFrame({"y": ys.astype("int32"), "x": xs.astype("int32")})
 
-    return on_tiles(distance.where(F.col(value).isNotNull()), scenes, [value], r, fn, "y int, x int", tile)
+    def settle(pdf, y_low, x_low, height, width):
+        """state 1: kept, 0: open; dropped ones are left out."""
+        state = grid(pdf, y_low, x_low, pdf["state"].to_numpy(np.int8), -1)
+        for y, x in zip(*np.nonzero(state[own] == 0)):
+            near = state[y:y + 2 * r + 1, x:x + 2 * r + 1]
+            if (near == 1).any():
+                state[y + r, x + r] = -1
+            elif not ((near[:r] == 0).any() or (near[r, :r] == 0).any()):
+                state[y + r, x + r] = 1
+        ys, xs = np.nonzero(state[own] >= 0)
+        return pd.DataFrame({"y": (ys + y_low).astype("int32"), "x": (xs + x_low).astype("int32"), "state": state[own][ys, xs].astype("int32")})
+
+    kind = "y int, x int, state int"
+    found = on_tiles(distance.where(F.col(value).isNotNull()), scenes, [value], r, candidates, "y int, x int", tile)
+    found = cut_lineage(found.withColumn("state", F.lit(0)))
+    while True:
+        found = cut_lineage(on_tiles(found, scenes, ["state"], r, settle, kind, tile), found)
+        if found.where("state = 0").isEmpty():
+            return found.select("scene_id", "y", "x")

@@ -119,7 +119,7 @@ def list_tiles(scenes: DataFrame, grid: Grid) -> DataFrame:
     rows = s.select("*", F.size(grid.starts(w)).alias("_nx"), F.posexplode(grid.starts(h)).alias("_iy", "y0"))
     cells = rows.select("*", F.posexplode(grid.starts(w)).alias("_ix", "x0"))
     return cells.select(
-        "scene_id", (F.col("_iy") * F.col("_nx") + F.col("_ix")).cast(I).alias("tile_id"),
+        "scene_id", (F.col("_iy").cast("bigint") * F.col("_nx") + F.col("_ix")).alias("tile_id"),
         F.col("y0").cast(I).alias("y0"), F.col("x0").cast(I).alias("x0"),
         grid.end(F.col("y0"), h).cast(I).alias("y1"), grid.end(F.col("x0"), w).cast(I).alias("x1"),
     )
@@ -234,24 +234,20 @@ def snap_grid(boxes: DataFrame, cell: int) -> DataFrame:
         "cell_y", F.explode(lows("min_y", "max_y")))
 
 
-def clamp_center(center: Column, low: Column, high: Column, half: Column) -> Column:
-    lower, upper = low + half, high - half
-    return F.when(lower > upper, (low + high) / 2.0).otherwise(
-        F.greatest(lower, F.least(center, upper)))
-
-
 def grid_centers(low: Column, high: Column, patch: Column, step: Column) -> Column:
     """Array of centres so that patches of ``patch`` every ``step`` cover low..high."""
-    half = patch / 2.0
+    half, middle = patch / 2.0, (low + high) / 2.0
     span = F.greatest(F.lit(0.0), high - low)
     count = F.ceil((span - patch) / step).cast(I)
-    many = F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(0))),
-        lambda i: clamp_center(low + half + i * step, low, high, half),
-    )
+
+    def inside(centre: Column) -> Column:
+        """The nearest centre whose patch stays within low..high; the middle if none does."""
+        return F.when(span < patch, middle).otherwise(F.greatest(low + half, F.least(centre, high - half)))
+
+    many = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: inside(low + half + i * step))
     apart = F.filter(many, lambda c, i: (i == 0) | (
         F.abs(c - many[F.greatest(i - 1, F.lit(0))]) >= fv.CENTRE_EPS))
-    return F.when(span <= patch, F.array((low + high) / 2.0)).otherwise(apart)
+    return F.when(span <= patch, F.array(middle)).otherwise(apart)
 
 
 def latlon_patches(boxes: DataFrame, edge_size: int, resolution_m: float) -> DataFrame:

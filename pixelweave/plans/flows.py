@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalar as sc
 from ..operators import components as cp, features as ft, instances as ins, masks as mk, merge as mg, pixels as po
 from ..operators import prompts as pr, regions as rg
+from ..operators.stats import number_rows
 from ..operators.stencil import TILE
 from ..operators.tiles import Grid, assign_tiles, list_tiles
 from ..session import cut_lineage
@@ -22,10 +23,18 @@ _KEY = ["scene_id", "y", "x"]
 
 def crown_mask(features: DataFrame, scenes: DataFrame, key: str = "pixel_id", feature: str = "feature",
                green: str | None = None, red: str | None = None, min_area: int = 25, max_area: int = 10000,
-               sample: int = 200_000, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(raw mask, clean mask) from dense features, unsupervised: cluster, pick,
-    clean, and take the complement per scene where it is the better mask."""
-    picked = cut_lineage(ft.segment_unsupervised(features, feature, key, 2, green, red, sample).select(*_KEY))
+               probe: tuple[Sequence[Sequence[float]], Sequence[float]] | None = None,
+               tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(raw mask, clean mask) from dense features.
+
+    Unsupervised: cluster and pick per scene, clean, and take the complement
+    in the scenes where it is the better mask. With ``probe`` (weights and bias
+    of a linear probe) class 1 is the mask, and polarity is not in question.
+    """
+    if probe is not None:
+        raw = cut_lineage(ft.linear_probe_predict(features, feature, *probe).where("prediction = 1").select(*_KEY))
+        return raw, cut_lineage(cp.clean_tree_mask(raw, scenes, min_area, max_area, tile))
+    picked = cut_lineage(ft.segment_unsupervised(features, feature, key, 2, green, red).select(*_KEY))
     other = po.complement(picked, scenes)
     clean = cut_lineage(cp.clean_tree_mask(picked, scenes, min_area, max_area, tile))
     clean_other = cut_lineage(cp.clean_tree_mask(other, scenes, min_area, max_area, tile))
@@ -42,13 +51,13 @@ def crown_mask(features: DataFrame, scenes: DataFrame, key: str = "pixel_id", fe
 
 def crown_regions(raw: DataFrame, clean: DataFrame, scenes: DataFrame, min_area: int = 25,
                   max_area: int = 10000, min_distance: int = 10, tile: int = TILE) -> DataFrame:
-    """Region table of split crowns, relaxed once when too few are found."""
-    def build(area: int, dist: int) -> DataFrame:
-        mask = clean if area == min_area else cp.clean_tree_mask(raw, scenes, area, max_area, tile)
-        labels = cut_lineage(ins.split_instances(mask, scenes, dist, tile))
-        return cut_lineage(rg.region_table(labels, scenes, area))
+    """Region table of split crowns; scenes in which too few are found are relaxed once."""
+    def build(some: DataFrame, area: int, dist: int) -> DataFrame:
+        mask = clean if area == min_area else cp.clean_tree_mask(raw.join(some, "scene_id", "left_semi"), some, area, max_area, tile)
+        labels = cut_lineage(ins.split_instances(mask.join(some.select("scene_id"), "scene_id", "left_semi"), some, dist, tile))
+        return rg.region_table(labels, some, area)
 
-    return rg.relax_if_few(build, min_area, min_distance)
+    return rg.relax_if_few(build, scenes, min_area, min_distance)
 
 
 def field_index(px: DataFrame, rgb: Sequence[str], green: str, nir: str) -> DataFrame:
@@ -61,9 +70,10 @@ def field_index(px: DataFrame, rgb: Sequence[str], green: str, nir: str) -> Data
 
 
 def tiles_as_scenes(df: DataFrame, scenes: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """(rows, scenes) with each tile as a scene of its own; ``tile_scene`` names
-    keep the way back as scene_id0, y0, x0."""
-    tiles = list_tiles(scenes, grid).withColumn("_sid", F.col("scene_id") * (1 << 20) + F.col("tile_id"))
+    """(rows, scenes) with each tile as a scene of its own; the scenes keep the
+    way back as scene_id0, y0, x0. Tiles are numbered through all scenes, so ids
+    cannot collide however many tiles a scene has."""
+    tiles = number_rows(list_tiles(scenes, grid), ["scene_id", "tile_id"], "_sid")
     rows = assign_tiles(df, scenes, grid).join(tiles.select("scene_id", "y0", "x0", "_sid"), ["scene_id", "y0", "x0"])
     keep = [c for c in df.columns if c not in _KEY]
     own = rows.select(F.col("_sid").alias("scene_id"), (F.col("y") - F.col("y0")).alias("y"),

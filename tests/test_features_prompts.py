@@ -158,3 +158,33 @@ def test_reprojection_across_zones_keeps_most_labels(spark, make):
         "transform", geo.affine(10.0, 0.0, F.col("te") - 200.0, 0.0, -10.0, F.col("tn") + 200.0))
     got = rs.reproject_nearest(lab, src, tgt.select("scene_id", "height", "width", "epsg", "transform"))
     assert got.count() == 1600 and got.where("label = 4").count() > 1500
+
+
+def test_null_vectors_stay_null(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [9.0, 9.0]), (4, None)], "id int, f array<double>").coalesce(1)
+    got = {r["id"]: r["cluster"] for r in ft.assign_clusters(df, "f", [[0.0, 0.0], [9.0, 9.0]]).collect()}
+    assert got == {1: 0, 2: None, 3: 1, 4: None}
+    got = {r["id"]: r["prediction"] for r in ft.linear_probe_predict(df, "f", [[0.0, 0.0], [1.0, 1.0]], [1.0, 0.0]).collect()}
+    assert got == {1: 0, 2: None, 3: 1, 4: None}
+    assert ft.covariance_matrix(df, "f").count() == 3
+    assert ft.kmeans_step(df, "f", [[0.0, 0.0], [50.0, 50.0]], "id").orderBy("cluster").select("n").collect()[1][0] in (0, 1)
+
+
+def test_scenes_are_segmented_apart(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(s, i, [float(c + rng.normal(0, 0.1)), float(rng.normal(0, 0.1))], float(c == s), 0.0)
+            for s in (0, 1) for i, c in enumerate([0] * 30 + [1] * 30)]
+    df = spark.createDataFrame(rows, "scene_id bigint, id int, f array<double>, g double, r double")
+    got = ft.segment_unsupervised(df, "f", "id", green="g", red="r").collect()
+    assert {(r["scene_id"], r["id"]) for r in got} == {(0, i) for i in range(30)} | {(1, i) for i in range(30, 60)}
+
+
+def test_tile_scenes_do_not_collide(spark):
+    from pixelweave.operators.tiles import tile_stride
+    from pixelweave.plans import flows
+    sc = spark.createDataFrame([(0, 1100, 1100), (1, 3, 3)], "scene_id bigint, height int, width int")
+    px = spark.createDataFrame([(0, 1099, 1099), (1, 0, 0)], "scene_id bigint, y int, x int")
+    rows, sized = flows.tiles_as_scenes(px, sc, tile_stride(1, 1))
+    assert sized.select("scene_id").distinct().count() == sized.count() == 1100 * 1100 + 9
+    assert rows.join(sized.select("scene_id", "scene_id0"), "scene_id").select("scene_id0").distinct().count() == 2

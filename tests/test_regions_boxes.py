@@ -120,12 +120,23 @@ def test_blank_tiles_and_areas(spark):
     assert {r["t"] for r in mk.drop_blank_tiles(df, ["t"], ["v"]).collect()} == {1, 2}
 
 
-def test_relax_runs_once_and_keeps_the_larger(spark):
+def test_degenerate_boxes_are_kept(spark):
+    rows = [(0, 0, 0, 5, 5, 1, 1.0), (0, 9, 9, 9, 20, 2, 0.5), (0, 30, 3, 40, 3, 3, 0.1), (0, 1, 0, 5, 5, 4, 0.9), (1, 7, 7, 7, 7, 5, 0.0)]
+    df = spark.createDataFrame(rows, "patch_idx int, x0 int, y0 int, x1 int, y1 int, mask_id bigint, score double")
+    assert sorted(r["mask_id"] for r in bx.box_nms(df, 0.7).collect()) == [1, 2, 3, 5]
+    assert sorted(r["mask_id"] for r in bx.box_nms(df.where("x0 = x1"), 0.7).collect()) == [2, 5]
+
+
+def test_relax_is_decided_per_scene(spark):
     calls = []
+    found = {(0, 24): 6, (1, 24): 1, (1, 12): 3, (2, 24): 2, (2, 12): 2, (3, 12): 1}
 
-    def build(area, dist):
+    def build(some, area, dist):
         calls.append((area, dist))
-        return spark.range(2 if area == 24 else 4)
+        ids = [r["scene_id"] for r in some.collect()]
+        return spark.createDataFrame([(s, area) for s in ids for _ in range(found.get((s, area), 0))], "scene_id bigint, area int")
 
-    assert rg.relax_if_few(build, 24, 10).count() == 4 and calls == [(24, 10), (12, 5)]
-    assert rg.relax_if_few(lambda a, d: spark.range(9), 24, 10).count() == 9
+    scenes = spark.createDataFrame([(i,) for i in range(4)], "scene_id bigint")
+    got = rg.relax_if_few(build, scenes, 24, 10).groupBy("scene_id", "area").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(0, 24): 6, (1, 12): 3, (2, 24): 2, (3, 12): 1}
+    assert calls == [(24, 10), (12, 5)]

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pixelweave.operators import stats
 
 
-@pytest.mark.parametrize("few", [1 << 20, 3])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, few):
-    monkeypatch.setattr(stats, "_FEW_VALUES", few)
+@pytest.mark.parametrize("octave", [1 << 14, 2])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, octave):
+    monkeypatch.setattr(stats, "_PER_OCTAVE", octave)
     rng = np.random.default_rng(1)
     parts = {0: rng.normal(0, 1e4, 901), 1: rng.integers(-3, 4, 500).astype(float), 2: np.array([5.0]),
              3: np.concatenate([rng.uniform(1.0, 1.001, 400), -np.exp(rng.normal(0, 20, 100)), [0.0] * 50])}

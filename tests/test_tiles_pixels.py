@@ -54,11 +54,11 @@ def test_degrees_and_centres(spark):
     one = spark.range(1)
     v = one.select(geo.meters_to_lat_deg(F.lit(111320.0)).alias("a"), geo.meters_to_lon_deg(F.lit(111320.0), F.lit(0.0)).alias("b"),
                    geo.meters_to_lon_deg(F.lit(111320.0), F.lit(60.0)).alias("c"),
-                   tl.clamp_center(F.lit(5.0), F.lit(0.0), F.lit(10.0), F.lit(3.0)).alias("d"),
-                   tl.clamp_center(F.lit(1.0), F.lit(0.0), F.lit(4.0), F.lit(3.0)).alias("e"),
+                   tl.grid_centers(F.lit(0.0), F.lit(10.0), F.lit(6.0), F.lit(5.0)).alias("d"),
+                   tl.grid_centers(F.lit(0.0), F.lit(4.0), F.lit(6.0), F.lit(5.0)).alias("e"),
                    tl.grid_centers(F.lit(0.0), F.lit(1.0), F.lit(0.6), F.lit(0.5)).alias("f"),
                    tl.grid_centers(F.lit(0.0), F.lit(0.0), F.lit(0.6), F.lit(0.5)).alias("g")).first()
-    assert [round(x, 3) for x in v[:5]] == [1.0, 1.0, 2.0, 5.0, 2.0]
+    assert [round(x, 3) for x in v[:3]] == [1.0, 1.0, 2.0] and v[3:5] == ([3.0, 7.0], [2.0])
     assert np.allclose(v["f"], [0.3, 0.7]) and v["g"] == [0.0]
     with pytest.raises(Exception, match="degree length"):
         one.select(geo.meters_to_lon_deg(F.lit(1.0), F.lit(120.0))).collect()
