@@ -86,15 +86,36 @@ def _(spark, sf):
     return rg.region_perimeter(fx.block_regions(spark, sf)).select("scene_id", "label", r6("perimeter", digits=5))
 
 
-@query("region_solidity")
+_HULL = """sp AS (SELECT scene_id, label, y, min(x) AS lo, max(x) AS hi, count(*) AS n FROM lab GROUP BY ALL),
+pt AS (SELECT scene_id, label, y + dy AS py, lo - 0.5 + abs(dy) AS px FROM sp JOIN (SELECT unnest([-0.5, 0.0, 0.5]) AS dy) ON true
+  UNION ALL SELECT scene_id, label, y + dy, hi + 0.5 - abs(dy) FROM sp JOIN (SELECT unnest([-0.5, 0.0, 0.5]) AS dy) ON true),
+cut AS (SELECT a.scene_id, a.label, s.y, CASE WHEN a.py = b.py THEN a.px ELSE a.px + (s.y - a.py) / (b.py - a.py) * (b.px - a.px) END AS x
+  FROM pt a JOIN pt b ON a.scene_id = b.scene_id AND a.label = b.label AND a.py <= b.py
+  JOIN (SELECT scene_id, label, unnest(range(low, high + 1)) AS y FROM (SELECT scene_id, label, min(y) AS low, max(y) AS high FROM sp GROUP BY ALL)) s ON s.scene_id = a.scene_id AND s.label = a.label AND s.y BETWEEN a.py AND b.py),
+cv AS (SELECT scene_id, label, y, CAST(floor(max(x) + 1e-9) - ceil(min(x) - 1e-9) + 1 AS BIGINT) AS n FROM cut GROUP BY ALL),
+ar AS (SELECT scene_id, label, CAST(sum(n) AS BIGINT) AS area FROM sp GROUP BY ALL)"""
+
+
+@query("region_solidity", fx.with_(fx.PX, fx.REGIONS, _HULL) + """SELECT scene_id, label, any_value(area) AS area, CAST(sum(n) AS BIGINT) AS convex_area,
+  round(any_value(area) / sum(n), 6) AS solidity FROM cv JOIN ar USING (scene_id, label) GROUP BY ALL""")
 def _(spark, sf):
+    """SQL: a hull's row is what pairs of its points span there."""
     return rg.region_solidity(fx.block_regions(spark, sf)).withColumn("solidity", r6("solidity"))
 
 
-@query("polygonize")
+@query("polygonize", fx.with_(fx.PX, fx.REGIONS) + """SELECT scene_id, label, count(*) AS area, true AS on_region, true AS wkt_matches FROM lab
+  GROUP BY ALL HAVING count(*) >= 10""")
 def _(spark, sf):
-    p = rg.polygonize(fx.block_regions(spark, sf), fx.scenes(spark, sf), min_area=10)
-    return p.select("scene_id", "label", "area", F.size("ring").alias("points"), "wkt")
+    """Every corner of a ring is a pixel of its region, and the text has the ring's corners and the first again."""
+    labels, sc = fx.block_regions(spark, sf), fx.scenes(spark, sf)
+    p = rg.polygonize(labels, sc, min_area=10)
+    at = p.select("scene_id", "label", F.explode("ring").alias("c")).select(
+        "scene_id", "label", F.round((5900000.0 - F.col("c.y")) / 0.2).cast("int").alias("y"),
+        F.round((F.col("c.x") - 500000.0 - 1000.0 * F.col("scene_id")) / 0.2).cast("int").alias("x"))
+    on = at.join(labels.withColumn("hit", F.lit(True)), ["scene_id", "label", "y", "x"], "left").groupBy("scene_id", "label").agg(
+        F.bool_and(F.coalesce("hit", F.lit(False))).alias("on_region"))
+    return p.join(on, ["scene_id", "label"]).select(
+        "scene_id", "label", "area", "on_region", (F.size(F.split("wkt", ",")) == F.size("ring") + 1).alias("wkt_matches"))
 
 
 @query("label_boundaries", fx.with_(fx.PX, fx.REGIONS, fx.SCENES, """o AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)),
@@ -204,7 +225,17 @@ def _(spark, sf):
 _BOXES = fx.MASK_PIXELS + """, bx AS (SELECT mask_id, CAST(mask_id % 8 AS INT) AS patch_idx, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM mpx GROUP BY ALL)"""
 
 
-@query("box_nms")
+_NMS = """rk AS MATERIALIZED (SELECT mask_id, bx.patch_idx, CAST(area AS DOUBLE) AS score, x0, y0, x1, y1, row_number() OVER (PARTITION BY bx.patch_idx ORDER BY area DESC, mask_id) AS r
+  FROM bx JOIN masks USING (mask_id)),
+g(patch_idx, r, kept) AS (SELECT DISTINCT patch_idx, CAST(0 AS BIGINT), CAST([] AS STRUCT(m BIGINT, x0 INT, y0 INT, x1 INT, y1 INT)[]) FROM rk
+  UNION ALL SELECT g.patch_idx, k.r, CASE WHEN len(list_filter(kept, lambda b: CAST(greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0)) AS DOUBLE)
+      / ((b.x1 - b.x0) * (b.y1 - b.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0))) > 0.7)) > 0
+    THEN kept ELSE list_append(kept, {'m': k.mask_id, 'x0': k.x0, 'y0': k.y0, 'x1': k.x1, 'y1': k.y1}) END
+  FROM g JOIN rk k ON k.patch_idx = g.patch_idx AND k.r = g.r + 1),
+kp AS (SELECT patch_idx, unnest(max_by(kept, r)) AS b FROM g GROUP BY patch_idx)"""
+
+
+@query("box_nms", fx.with_(_BOXES, fx.MASKS, _NMS, recursive=True) + "SELECT mask_id, x0, y0, x1, y1, patch_idx, score FROM rk WHERE (patch_idx, mask_id) IN (SELECT (patch_idx, b.m) FROM kp)")
 def _(spark, sf):
     """Boxes of the line item masks per patch, scored by mask size."""
     m = fx.masks(spark, sf).select("mask_id", "patch_idx", F.col("area").cast("double").alias("score"))

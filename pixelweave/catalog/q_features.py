@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import features as ft
+from ..operators.stats import top_per_group
+from ..session import cut_lineage
 from . import fixtures as fx
 from .registry import query, r6
 
@@ -63,17 +65,40 @@ def _(spark, sf):
     return s.select("cluster", "n", F.posexplode("center").alias("pos", "v")).select("cluster", "pos", "n", r6("v"))
 
 
-@query("kmeans_iterate")
+def _lloyd(start: str, key: str, steps: int) -> list[str]:
+    """Unrolled updates: s{i}(key, cid, pos, c) from s{i-1}; rows are f(key, vec_id, pos, v)."""
+    out = [f"s0 AS MATERIALIZED ({start})"]
+    for i in range(1, steps + 1):
+        out += [f"d{i} AS (SELECT f.{key}, vec_id, cid, sum((v - c) * (v - c)) AS d FROM f JOIN s{i - 1} s ON s.{key} = f.{key} AND s.pos = f.pos GROUP BY ALL)",
+                f"a{i} AS MATERIALIZED (SELECT {key}, vec_id, cid FROM (SELECT *, row_number() OVER (PARTITION BY {key}, vec_id ORDER BY d, cid) AS r FROM d{i}) WHERE r = 1)"]
+        if i < steps:
+            out.append(f"s{i} AS MATERIALIZED (SELECT f.{key}, cid, pos, avg(v) AS c FROM a{i} JOIN f ON f.{key} = a{i}.{key} AND f.vec_id = a{i}.vec_id GROUP BY ALL)")
+    return out
+
+
+_F1 = "f AS MATERIALIZED (SELECT 0 AS one, vec_id, pos, v FROM flat)"
+_START4 = f"SELECT 0 AS one, CAST(r - 1 AS INT) AS cid, pos, v AS c FROM f JOIN (SELECT vec_id, row_number() OVER (ORDER BY {fx.hash_sql('vec_id')}, vec_id) AS r FROM emb) USING (vec_id) WHERE r <= 4"
+
+
+@query("kmeans_iterate", fx.with_(fx.EMB, fx.FLAT, _F1, *_lloyd(_START4, "one", 4)) + "SELECT vec_id, cid AS cluster FROM a4")
 def _(spark, sf):
+    """Four clusters after three updates of hashed start rows."""
     e = fx.embeddings(spark, sf)
-    got = ft.assign_clusters(e, "feature", ft.kmeans_iterate(e, "feature", "vec_id", k=4, iters=5))
-    return ft.cluster_counts(got, "cluster", 4)
+    return ft.assign_clusters(e, "feature", ft.kmeans_iterate(e, "feature", "vec_id", k=4, iters=3, tol=0.0)).select("vec_id", "cluster")
 
 
-@query("kmeans_fit")
+@query("kmeans_fit", "SELECT count(*) AS n, count(*) AS at_nearest, CAST(8 AS BIGINT) AS clusters, CAST(8 AS BIGINT) AS centres_are_means FROM embeddings")
 def _(spark, sf):
-    _, got = ft.kmeans_fit(fx.embeddings(spark, sf), "feature", 8, seed=8, normalize=True)
-    return ft.cluster_counts(got, "cluster", 8)
+    """Every row is at its nearest centre, every centre is the mean of its rows."""
+    model, got = ft.kmeans_fit(fx.embeddings(spark, sf), "feature", 8, seed=8, normalize=True)
+    centers = [c.tolist() for c in model.clusterCenters()]
+    unit = cut_lineage(got.select("vec_id", F.col("cluster").alias("own"), vec.l2_normalize(F.col("feature")).alias("u")))
+    near = ft.assign_clusters(unit, "u", centers).agg(F.count("*").alias("n"), F.count_if(F.col("cluster") == F.col("own")).alias("at_nearest"))
+    at = spark.createDataFrame([(i, j, v) for i, c in enumerate(centers) for j, v in enumerate(c)], "own int, pos int, c double")
+    means = unit.select("own", F.posexplode("u").alias("pos", "v")).groupBy("own", "pos").agg(F.avg("v").alias("m")).join(at, ["own", "pos"])
+    same = means.groupBy("own").agg(F.max(F.abs(F.col("m") - F.col("c"))).alias("gap")).agg(
+        F.count("*").alias("clusters"), F.count_if(F.col("gap") < 0.01).alias("centres_are_means"))
+    return near.join(same)
 
 
 @query("cluster_counts", "SELECT CAST(r AS INT) AS label, count(vec_id) AS n FROM range(12) t(r) LEFT JOIN embeddings ON label = r GROUP BY r")
@@ -105,21 +130,41 @@ def _(spark, sf):
     return ft.pick_cluster(_scores(spark, sf), (0.1, 0.105))
 
 
-@query("segment_unsupervised")
+_SCENE = "e3 AS (SELECT vec_id % 3 AS scene_id, * FROM emb), f AS MATERIALIZED (SELECT vec_id % 3 AS scene_id, vec_id, pos, v FROM flat)"
+_START2 = "SELECT scene_id, CAST(r - 1 AS INT) AS cid, pos, v AS c FROM f JOIN (SELECT vec_id, row_number() OVER (PARTITION BY scene_id ORDER BY vec_id) AS r FROM e3) USING (vec_id) WHERE r <= 2"
+_PICK = """rw AS (SELECT a.scene_id, cid, a.vec_id, sum(v) AS s, sum(v * v) AS q, count(v) AS n FROM a4 a JOIN f USING (scene_id, vec_id) GROUP BY ALL),
+ag AS (SELECT scene_id, cid, count(*) AS pixels, sum(s) AS s, sum(q) AS q, sum(n) AS n, avg(sqrt(q)) AS act FROM rw GROUP BY ALL),
+cv AS (SELECT *, pixels / sum(pixels) OVER (PARTITION BY scene_id) AS cover FROM ag),
+sc AS (SELECT *, (sqrt(greatest(0.0, q / n - (s / n) * (s / n))) + 0.1 * act) * CASE WHEN cover < 0.01 THEN 0.5 WHEN cover > 0.7 THEN CASE WHEN cover > 0.95 THEN 0.1 ELSE 0.5 END ELSE 1.0 END AS score FROM cv),
+tp AS (SELECT scene_id, cid, cover FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, cid) AS r FROM sc) WHERE r = 1),
+al AS (SELECT sc.scene_id, arg_min(sc.cid, abs(sc.cover - 0.355)) AS cid FROM sc JOIN tp USING (scene_id) WHERE sc.cid <> tp.cid AND sc.cover < 0.95 GROUP BY ALL),
+pk AS (SELECT tp.scene_id, CASE WHEN tp.cover >= 0.95 THEN coalesce(al.cid, tp.cid) ELSE tp.cid END AS cid FROM tp LEFT JOIN al USING (scene_id))"""
+
+
+@query("segment_unsupervised", fx.with_(fx.EMB, fx.FLAT, _SCENE, *_lloyd(_START2, "scene_id", 4), _PICK) +
+       "SELECT a4.scene_id, vec_id, cid AS cluster FROM a4 JOIN pk USING (scene_id, cid)")
 def _(spark, sf):
-    return ft.segment_unsupervised(fx.embeddings(spark, sf), "feature", "vec_id", k=2).select("vec_id", "cluster")
+    """Three scenes, each fitted and decided on its own from given start centres."""
+    e = fx.embeddings(spark, sf).withColumn("scene_id", F.col("vec_id") % 3)
+    first = top_per_group(e, ["scene_id"], [F.col("vec_id")], 2).select(
+        "scene_id", (F.col("rank") - 1).cast("int").alias("cluster"), F.col("feature").alias("center"))
+    return ft.segment_unsupervised(e, "feature", "vec_id", centers=first, iters=3).select("scene_id", "vec_id", "cluster")
 
 
-@query("pca_project")
+@query("pca_project", fx.with_(fx.EMB, fx.FLAT, "mu AS (SELECT pos, avg(v) AS m FROM flat GROUP BY pos)") +
+       "SELECT vec_id, round(sum((v - m) * (v - m)), 5) AS length2 FROM flat JOIN mu USING (pos) GROUP BY vec_id")
 def _(spark, sf):
-    got, _ = ft.pca_project(fx.embeddings(spark, sf), "feature", 3)
-    return got.select("vec_id", *[r6(F.abs(F.col("projection")[i]), f"p{i + 1}", 4) for i in range(3)])
+    """With as many components as dimensions a projection keeps the length of the centred vector."""
+    got, _ = ft.pca_project(fx.embeddings(spark, sf), "feature", 64)
+    return got.select("vec_id", r6(F.aggregate("projection", F.lit(0.0), lambda a, v: a + v * v), "length2", 5))
 
 
-@query("pca_whitened")
+@query("pca_whitened", """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov
+  FROM range(5) a(i), range(5) b(j) WHERE i <= j AND (SELECT count(*) FROM embeddings) > 1""")
 def _(spark, sf):
-    got, _ = ft.pca_project(fx.embeddings(spark, sf), "feature", 3, standardize=True, whiten=True)
-    return got.select("vec_id", *[r6(F.abs(F.col("projection")[i]), f"p{i + 1}", 4) for i in range(3)])
+    """Whitened components have unit variance and no covariance."""
+    got, _ = ft.pca_project(fx.embeddings(spark, sf), "feature", 5, standardize=True, whiten=True)
+    return ft.covariance_matrix(got, "projection").select("i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
 
 
 @query("covariance_matrix", fx.with_(fx.EMB, fx.FLAT) + """SELECT CAST(a.pos - 1 AS INT) AS i, CAST(b.pos - 1 AS INT) AS j, round(covar_samp(a.v, b.v), 8) AS cov
@@ -135,11 +180,20 @@ def _(spark, sf):
     return ft.linear_probe_predict(e, "feature", _centers(e)[:2], [0.0, 0.0]).select("vec_id", "prediction")
 
 
-@query("linear_probe_fit")
+@query("linear_probe_fit", "SELECT CAST(k AS INT) AS k, true AS flat FROM range(2) t(k) WHERE (SELECT count(*) FROM embeddings) > 0")
 def _(spark, sf):
+    """At the fitted weights the gradient of the mean loss vanishes, for the bias and every dimension."""
     e = fx.embeddings(spark, sf).withColumn("y", (F.col("label") >= 5).cast("int"))
-    w, b = ft.linear_probe_fit(e, "feature", "y")
-    return ft.linear_probe_predict(e, "feature", w, b).groupBy("y", "prediction").agg(F.count("*").alias("n"))
+    w, b = ft.linear_probe_fit(e, "feature", "y", 200)
+    f = F.col("feature")
+
+    def logit(k):
+        return F.aggregate(F.zip_with(f, F.array(*map(F.lit, w[k])), lambda a, c: a * c), F.lit(float(b[k])), lambda a, v: a + v)
+
+    p1 = 1 / (1 + F.exp(logit(0) - logit(1)))
+    off = e.select(f, (p1 - F.col("y")).alias("g")).select(F.posexplode(F.concat(F.array(F.lit(1.0)), f)).alias("pos", "v"), "g")
+    worst = off.groupBy("pos").agg(F.avg(F.col("v") * F.col("g")).alias("g")).agg(F.max(F.abs(F.col("g"))).alias("g"))
+    return worst.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), (F.col("g") < 1e-3).alias("flat"))
 
 
 _PART = f"""e2 AS (SELECT *, {fx.hash_sql('vec_id')} % 100 < 80 AS train FROM emb),

@@ -140,13 +140,20 @@ def _(spark, sf):
     return d.select(*_KEY, "d2", r6("distance"))
 
 
-@query("local_peaks", fx.with_(fx.PX, fx.SCENES, """v AS (SELECT scene_id, y, x, CAST(b2 AS BIGINT) // 30 + 1 AS v FROM px),
-bt AS (SELECT DISTINCT a.scene_id, a.y, a.x FROM v a JOIN (SELECT dy, unnest(range(-3, 4)) AS dx FROM (SELECT unnest(range(-3, 4)) AS dy)) o ON NOT (dy = 0 AND dx = 0)
-  JOIN v n ON n.scene_id = a.scene_id AND n.y = a.y + dy AND n.x = a.x + dx WHERE n.v > a.v OR (n.v = a.v AND (dy < 0 OR (dy = 0 AND dx < 0))))""") +
-       """SELECT v.scene_id, v.y, v.x FROM v JOIN scenes USING (scene_id) ANTI JOIN bt ON bt.scene_id = v.scene_id AND bt.y = v.y AND bt.x = v.x
-  WHERE v.y >= 3 AND v.y < height - 3 AND v.x >= 3 AND v.x < width - 3""")
+_PEAKS = """cd AS MATERIALIZED (SELECT v.scene_id, v.y, v.x, row_number() OVER (PARTITION BY v.scene_id ORDER BY v.v DESC, v.y, v.x) AS r FROM v JOIN scenes USING (scene_id)
+  WHERE v.y >= 3 AND v.y < height - 3 AND v.x >= 3 AND v.x < width - 3 AND v.v > 0
+  AND NOT EXISTS (SELECT 1 FROM v n WHERE n.scene_id = v.scene_id AND n.y BETWEEN v.y - 3 AND v.y + 3 AND n.x BETWEEN v.x - 3 AND v.x + 3 AND n.v > v.v)),
+gr(scene_id, r, kept) AS (SELECT DISTINCT scene_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(y INT, x INT)[]) FROM cd
+  UNION ALL SELECT g.scene_id, c.r, CASE WHEN len(list_filter(kept, lambda k: abs(k.y - c.y) <= 3 AND abs(k.x - c.x) <= 3)) > 0 THEN kept ELSE list_append(kept, {'y': c.y, 'x': c.x}) END
+  FROM gr g JOIN cd c ON c.scene_id = g.scene_id AND c.r = g.r + 1),
+pk AS (SELECT scene_id, unnest(max_by(kept, r)) AS k FROM gr GROUP BY scene_id)"""
+
+
+@query("local_peaks", fx.with_(fx.PX, fx.SCENES, "v AS MATERIALIZED (SELECT scene_id, y, x, CAST(b2 AS BIGINT) // 30 / 2 AS v FROM px)", _PEAKS, recursive=True) +
+       "SELECT scene_id, k.y AS y, k.x AS x FROM pk")
 def _(spark, sf):
-    v = fx.pixels(spark, sf).select(*_KEY, (F.floor(F.col("b2") / 30) + 1).alias("d2"))
+    """Values in halves, with plateaus; the SQL keeps candidates greedily."""
+    v = fx.pixels(spark, sf).select(*_KEY, (F.floor(F.col("b2") / 30) / 2).alias("d2"))
     return st.local_peaks(v, fx.scenes(spark, sf), 3, tile=_TILE)
 
 

@@ -121,6 +121,37 @@ def _(spark, sf):
     return mg.mosaic(fx.chips(spark, sf), "value", "source_order", nodata=7.0)
 
 
+def _placed_sql(method: str) -> str:
+    """Weights per axis are worked out from the target side: j takes i with weight w."""
+    def axis(name: str, sources: str, targets: str, shift: str) -> str:
+        low, high, centre = f"(2 * j - {shift})", f"(2 * j + 2 - {shift})", f"(2 * j + 1 - {shift})"      # in source pixels
+        w = {"nearest": f"CASE WHEN i = floor({centre}) THEN 1.0 ELSE 0.0 END",
+             "average": f"(least({high}, i + 1.0) - greatest({low}, CAST(i AS DOUBLE))) / 2",
+             "bilinear": f"1 - abs({centre} - 0.5 - i)"}[method]
+        return (f"{name} AS MATERIALIZED (SELECT k, i, j, w FROM (SELECT k, i, CAST(j AS INT) AS j, {w} AS w FROM range(1, 8) a(k), range({sources}) b(i), range({targets}) c(j) "
+                f"WHERE i BETWEEN {low} - 2 AND {high} + 2) WHERE w > 1e-9)")
+
+    rows = "(SELECT max(y) + 1 FROM chips)"
+    return fx.with_(fx.CHIPS, axis("wx", "100", "50", "0.35 * k"), axis("wy", rows, f"{rows} // 2", "0.15 * k"),
+                    "pl AS (SELECT c.source_order, wy.j AS y, wx.j AS x, sum(wy.w * wx.w * value) / sum(wy.w * wx.w) AS value FROM chips c JOIN wy ON wy.k = source_order AND wy.i = c.y "
+                    "JOIN wx ON wx.k = source_order AND wx.i = c.x WHERE value IS NOT NULL GROUP BY ALL)") + \
+        "SELECT y, x, round(max_by(value, source_order), 8) AS value FROM pl GROUP BY y, x"
+
+
+def _mosaic_placed(spark, sf, method):
+    """Seven chips with origins of their own, on a grid of twice their pixel size."""
+    px = fx.chips(spark, sf).withColumnRenamed("source_order", "chip")
+    n, rows = F.col("chip"), px.agg((F.floor((F.max("y") + 1) / 2)).cast("int").alias("height"))
+    chips = px.select("chip").distinct().select("chip", n.alias("source_order"), geo.affine(
+        0.2, 0.0, F.lit(500000.0) + n * 0.07, 0.0, -0.2, F.lit(5900000.0) - n * 0.03).alias("transform"))
+    grid = rows.select("height", F.lit(50).alias("width"), geo.affine(0.4, 0.0, 500000.0, 0.0, -0.4, 5900000.0).alias("transform"))
+    return mg.mosaic_placed(px, chips, grid, "value", method).select("y", "x", r6("value", digits=8))
+
+
+for _method in ("nearest", "average", "bilinear"):
+    query(f"mosaic_placed_{_method}", _placed_sql(_method))(lambda spark, sf, m=_method: _mosaic_placed(spark, sf, m))
+
+
 @query("paint_labels", fx.with_(fx.MASKS, fx.MASK_PIXELS, """p AS (SELECT mpx.*, patch_idx, area FROM mpx JOIN masks USING (mask_id)),
 w AS (SELECT y, x, mask_id, patch_idx, area, row_number() OVER (PARTITION BY y, x ORDER BY patch_idx, area, mask_id) AS r FROM p),
 ids AS (SELECT mask_id, row_number() OVER (ORDER BY patch_idx, area, mask_id) AS label FROM (SELECT DISTINCT mask_id, patch_idx, area FROM w WHERE r = 1))""") +

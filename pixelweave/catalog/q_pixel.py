@@ -184,7 +184,8 @@ def _(spark, sf):
     return po.colorize_labels(labels, lut)
 
 
-@query("colorize_labels_hashed")
+@query("colorize_labels_hashed", fx.with_(fx.PX, "lb AS (SELECT scene_id, y, x, CAST(b2 AS BIGINT) AS label, md5(CAST(CAST(b2 AS BIGINT) AS VARCHAR)) AS h FROM px)") +
+       "SELECT scene_id, y, x, label, " + ", ".join(f"CASE WHEN label = 0 THEN 0 ELSE CAST('0x' || substr(h, {2 * i + 1}, 2) AS INT) % 255 END AS {c}" for i, c in enumerate("rgb")) + " FROM lb")
 def _(spark, sf):
     return po.colorize_labels(fx.pixels(spark, sf).select(*_KEY, F.col("b2").cast("bigint").alias("label")))
 
@@ -248,11 +249,15 @@ def _(spark, sf):
     return s.select("site_id", r6(lat + 0.0, "lat"), r6(lon + 0.0, "lon"))
 
 
-@query("centroid_lonlat")
+@query("centroid_lonlat", fx.with_(fx.PX, fx.SCENES) + """SELECT scene_id, round(500000.0 + 1000.0 * scene_id + 0.2 * width / 2.0, 3) AS east,
+  round(5900000.0 - 0.2 * height / 2.0, 3) AS north FROM scenes""")
 def _(spark, sf):
+    """Projected again, the place is the middle of the scene."""
     s = fx.scenes(spark, sf)
     lon, lat = geo.centroid_lonlat(F.col("transform"), F.col("width"), F.col("height"), F.col("epsg"))
-    return s.select("scene_id", r6(lon, "lon", 9), r6(lat, "lat", 9))
+    s = s.select("scene_id", "epsg", lon.alias("lon"), lat.alias("lat"))
+    e, n = geo.to_utm(F.col("lat"), F.col("lon"), F.col("epsg"))
+    return s.select("scene_id", r6(e, "east", 3), r6(n, "north", 3))
 
 
 @query("parse_epsg", fx.with_(fx.SITES) + f"""SELECT site_id, CASE WHEN s_acctbal > 5000 THEN 20000 + CAST(site_id AS INT) ELSE {_EPSG} END AS epsg

@@ -1,23 +1,48 @@
 """Sources, sinks and names."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import sources as src
 from ..functions import geo
+from ..functions.scalar import response_ok
 from ..operators.pixels import pick_bands
 from ..operators.tiles import assign_tiles, tile_shifted
+from ..session import checkpoint_folder
 from . import fixtures as fx
 from .registry import query, r6
 
 
-@query("read_manifest")
+def _folder(spark) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/products/{uuid.uuid4().hex}"
+
+
+_CHIPS = """ch AS (SELECT '/chips/' || lower(c_mktsegment) || '/c' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.tif' WHEN 1 THEN '.TIFF' WHEN 2 THEN '.tif.aux.xml' WHEN 3 THEN '.png' ELSE '_tif' END AS path,
+  CAST(c_nationkey * 1000 + c_custkey AS BIGINT) AS length FROM customer)"""
+
+
+@query("read_manifest", fx.with_(_CHIPS) + "SELECT path, length FROM ch WHERE path LIKE '%.tif' OR path LIKE '%.TIFF'")
 def _(spark, sf):
-    """The parquet files of the data folder, as chips would be listed."""
-    return src.read_manifest(spark, sf, suffixes=("parquet",)).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """The chips of a listing with sidecars, other images and names without an ending."""
+    c, k = fx.table(spark, sf, "customer"), F.col("c_custkey") % 5
+    end = F.when(k == 0, ".tif").when(k == 1, ".TIFF").when(k == 2, ".tif.aux.xml").when(k == 3, ".png").otherwise("_tif")
+    files = c.select(F.concat(F.lit("/chips/"), F.lower("c_mktsegment"), F.lit("/c"), "c_custkey", end).alias("path"),
+                     (F.col("c_nationkey") * 1000 + F.col("c_custkey")).cast("bigint").alias("length"))
+    return src.chip_manifest(files)
 
 
-@query("read_pixels", fx.with_(fx.PX8) + "SELECT scene_id, y, x, b1, b3, b8 FROM px")
+@query("read_pixels", fx.with_(fx.PX8) + "SELECT scene_id, y, x, b1, CASE WHEN b3 <> 50 THEN b3 END AS b3, CASE WHEN b8 <> 50 THEN b8 END AS b8 FROM px")
+def _(spark, sf):
+    """Pixels are written with a nodata value and NaN and read back with three of eight bands."""
+    px = fx.pixels(spark, sf, lines=True)
+    at = _folder(spark)
+    src.write_pixels(px.withColumn("b3", F.coalesce("b3", F.lit(float("nan")))), at)
+    return src.read_pixels(spark, at, [1, 3, 8], nodata=50.0)
+
+
+@query("pick_bands", fx.with_(fx.PX8) + "SELECT scene_id, y, x, b1, b3, b8 FROM px")
 def _(spark, sf):
     px = fx.band_array(fx.pixels(spark, sf, lines=True))
     return pick_bands(px, [1, 3, 8], ["b1", "b3", "b8"])
@@ -40,7 +65,10 @@ def _tile_pixels(spark, sf):
   count(*) AS n, CAST(sum(CAST(b2 AS BIGINT) % 2) AS BIGINT) AS positives,
   round(sum(b1 / 255.0 + b2 / 255.0), 3) AS total FROM tp GROUP BY scene_id, y0, x0""")
 def _(spark, sf):
-    tiles = src.scale_training_tiles(src.training_tiles(_tile_pixels(spark, sf), ["b1", "b2"]))
+    """Tiles are stored and read back scaled."""
+    at = _folder(spark)
+    src.write_training_tiles(src.training_tiles(_tile_pixels(spark, sf), ["b1", "b2"]), at)
+    tiles = src.read_training_tiles(spark, at)
     return tiles.select(
         "tile_name", F.size("image").cast("bigint").alias("n"),
         F.aggregate("label", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("positives"),
@@ -51,19 +79,24 @@ def _(spark, sf):
   CAST(max(y) - min(y) + 1 AS INT) AS height, CAST(max(x) - min(x) + 1 AS INT) AS width, count(*) AS n
   FROM tp GROUP BY scene_id, y0, x0""")
 def _(spark, sf):
-    """The records as they are stored."""
-    return src.training_tiles(_tile_pixels(spark, sf), ["b1", "b2"]).select(
+    """Half of the tiles are stored first; a second write adds those that are not there yet."""
+    at, tiles = _folder(spark), src.training_tiles(_tile_pixels(spark, sf), ["b1", "b2"])
+    src.write_training_tiles(tiles.where(F.crc32(F.col("tile_name").cast("binary")) % 2 == 0), at)
+    src.write_training_tiles(tiles, at, done=spark.read.parquet(at))
+    return spark.read.parquet(at).select(
         "tile_name", "height", "width", F.size("label").cast("bigint").alias("n"))
 
 
 @query("write_products", """SELECT CAST(o_orderkey // 100 AS INT) AS y, CAST(o_orderkey % 100 AS INT) AS x,
   (o_custkey * 977 + o_orderkey) % 65536 AS label FROM orders""")
 def _(spark, sf):
-    """Label ids as a 16-bit label image stores them."""
+    """Label ids are stored as a 16-bit label image has them, and read back."""
     labels = fx.table(spark, sf, "orders").select(
         F.floor(F.col("o_orderkey") / 100).cast("int").alias("y"), (F.col("o_orderkey") % 100).cast("int").alias("x"),
-        (F.col("o_custkey") * 977 + F.col("o_orderkey")).alias("label"))
-    return src.wrap_label_ids(labels)
+        (F.col("o_custkey") * 977 + F.col("o_orderkey")).alias("label")).withColumn("scene_id", F.lit(0).cast("bigint"))
+    at = _folder(spark)
+    src.write_products(at, labels=labels, mask=labels.drop("label"), wrap_labels=True)
+    return src.read_product(spark, at, "labels").join(src.read_product(spark, at, "mask"), ["scene_id", "y", "x"]).select("y", "x", "label")
 
 
 _PATHS = """files AS (SELECT '/patches/p' || printf('%03d', CAST(c_custkey % 37 AS INT)) || CASE WHEN c_acctbal < 0 THEN '/logs/' ELSE '/outputs/' END
@@ -110,12 +143,30 @@ def _(spark, sf):
     return src.fetch_summary(log)
 
 
-@query("quarantine")
+_STATES = """tn AS (SELECT 'scene' || scene_id || '_y' || y0 || '_x' || x0 AS tile_name, (max(y) - min(y) + 1) * (max(x) - min(x) + 1) AS area, count(*) AS n,
+  count(*) FILTER (WHERE b1 > 480000) AS holes, scene_id * 7 + y0 + x0 AS k FROM tp GROUP BY scene_id, y0, x0)"""
+
+
+@query("response_ok", """SELECT event_id, event_type <> 'error' AND event_id % 3 = 0 AS ok FROM events""")
+def _(spark, sf):
+    """Responses by status and body: only images with status 200 count."""
+    e, k = fx.table(spark, sf, "events"), F.col("event_id") % 3
+    status = F.when(F.col("event_type") == "error", 404).otherwise(200)
+    body = F.when(k == 0, "image/png").when(k == 1, "text/xml")
+    return e.select("event_id", response_ok(status, body).alias("ok"))
+
+
+@query("quarantine", fx.with_(fx.PX, _TILES, _STATES) + """SELECT tile_name, CASE WHEN n <> area OR k % 9 = 0 THEN 'size' WHEN k % 9 = 1 THEN 'bands' WHEN holes > 0 THEN 'missing' ELSE 'good' END AS state FROM tn""")
 def _(spark, sf):
-    """All stored files of the data folder by outcome."""
-    good, bad = src.quarantine(spark, sf)
-    return good.withColumn("state", F.lit("good")).unionByName(bad.withColumn("state", F.lit("corrupt"))).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "state")
+    """Tiles with a label too few, a pixel with a band too few, or missing values."""
+    px = _tile_pixels(spark, sf).withColumn("k", F.col("scene_id") * 7 + F.col("y0") + F.col("x0"))
+    px = px.withColumn("b1", F.when(F.col("b1") > 480000, F.lit(float("nan"))).otherwise(F.col("b1")))
+    k = px.groupBy("scene_id", "y0", "x0").agg(F.first("k").alias("k")).select(
+        F.format_string("scene%d_y%d_x%d", "scene_id", F.col("y0").cast("bigint"), F.col("x0").cast("bigint")).alias("tile_name"), "k")
+    t = src.training_tiles(px, ["b1", "b2"]).join(k, "tile_name")
+    t = t.withColumn("label", F.when(F.col("k") % 9 == 0, F.slice("label", 2, F.size("label") - 1)).otherwise(F.col("label")))
+    t = t.withColumn("image", F.when(F.col("k") % 9 == 1, F.transform("image", lambda v, i: F.when(i == 0, F.slice(v, 1, 1)).otherwise(v))).otherwise(F.col("image")))
+    return src.check_tiles(t).select("tile_name", "state")
 
 
 _CELL = "CAST(500000 + 1000 * (s_suppkey % 40) AS BIGINT) AS cx, CAST(5900000 + 1000 * (s_suppkey // 40) AS BIGINT) AS cy"

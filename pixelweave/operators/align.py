@@ -20,10 +20,10 @@ def crop_to_bounds(labels: DataFrame, label_scene: DataFrame, images: DataFrame)
     one-row georeference ``label_scene``; images share its projection.
 
     Bounds become row and column ranges once per image, so pixels are tested
-    on plain integers; the images side is a scene list and the join key is the
-    block of rows, so it stays an equi join.
+    on plain integers; the images side is a scene list and the join key is a
+    block about the size of an image (one small aggregate over the list), so it
+    stays an equi join in which an image meets a few blocks and a block few images.
     """
-    block = 1024
     inv = geo.affine_inverse(F.col("_t"))
     im = images.withColumn("_one", F.lit(1)).join(
         F.broadcast(label_scene.select(F.col("transform").alias("_t"), F.lit(1).alias("_one"))), "_one")  # one row
@@ -43,6 +43,9 @@ def crop_to_bounds(labels: DataFrame, label_scene: DataFrame, images: DataFrame)
     im = im.withColumn("_r0", F.greatest("_r0", F.lit(0))).withColumn("_c0", F.greatest("_c0", F.lit(0))).where(
         (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")))
 
+    side = im.agg(F.avg(F.greatest(F.col("_r1") - F.col("_r0"), F.col("_c1") - F.col("_c0")) + 1)).first()[0]
+    block = max(16, int(side or 16))
+
     def blocks(lo: str, hi: str):
         return F.explode(F.sequence(F.floor(F.col(lo) / block).cast("int"), F.floor(F.col(hi) / block).cast("int")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import mean_layers
 from ..session import cut_lineage
@@ -72,6 +72,62 @@ def mosaic(chips: DataFrame, value: str, order: str, keys: Sequence[str] = ("y",
     return chips.groupBy(*keys).agg(best.alias(value))
 
 
+def place_chips(pixels: DataFrame, chips: DataFrame, grid: DataFrame, value: str, method: str = "nearest") -> DataFrame:
+    """(chip, y, x, value) of georeferenced chips on one common grid.
+
+    ``chips`` has (chip, transform) and ``grid`` one row (transform, height,
+    width); transforms are axis-parallel. ``nearest`` takes the source pixel
+    under a target centre, ``average`` weighs source pixels by the area they
+    share with the target, ``bilinear`` by their distance to its centre; weights
+    of missing pixels are left out. Every source pixel knows the targets it
+    feeds, so this is one aggregation, and for ``nearest`` none.
+    """
+    if method not in ("nearest", "average", "bilinear"):
+        raise ValueError(method)
+    def scaled(axis: str, start: str, step: str) -> list[Column]:
+        return [(F.col(f"_s.{step}") / F.col(f"_t.{step}")).alias(f"_r{axis}"),
+                ((F.col(f"_s.{start}") - F.col(f"_t.{start}")) / F.col(f"_t.{step}")).alias(f"_o{axis}")]
+
+    to = grid.select(F.col("transform").alias("_t"), "height", "width")
+    laid = chips.select("chip", F.col("transform").alias("_s")).join(F.broadcast(to)).select(      # one row
+        "chip", "height", "width", *scaled("y", "f", "e"), *scaled("x", "c", "a"))
+    px = pixels.where(F.col(value).isNotNull()).join(laid, "chip")
+
+    def targets(pos: str, size: str) -> Column:
+        scale, origin = F.col(f"_r{pos}"), F.col(f"_o{pos}")
+        low, high = origin + F.col(pos) * scale, origin + (F.col(pos) + 1) * scale
+        if method == "nearest":
+            first, last = F.ceil(low - 0.5), F.ceil(high - 0.5) - 1
+        elif method == "average":
+            first, last = F.floor(low), F.ceil(high) - 1
+        else:
+            first, last = F.floor(low - scale / 2 - 0.5), F.ceil(high + scale / 2 - 0.5)
+        first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.col(size) - 1).cast("int")
+
+        def weight(j: Column) -> Column:
+            if method == "average":
+                return F.least(high, j + 1.0) - F.greatest(low, j.cast("double"))
+            if method == "bilinear":
+                return 1 - F.abs((j + 0.5 - origin) / scale - 0.5 - F.col(pos))
+            return F.lit(1.0)
+
+        pairs = F.when(first <= last, F.transform(F.sequence(first, last), lambda j: F.struct(j.alias("j"), weight(j).alias("w"))))
+        return F.explode(F.filter(pairs, lambda p: p["w"] > 1e-9))
+
+    fed = px.withColumn("_y", targets("y", "height")).withColumn("_x", targets("x", "width"))
+    out = fed.select("chip", F.col("_y.j").alias("y"), F.col("_x.j").alias("x"), (F.col("_y.w") * F.col("_x.w")).alias("_w"), value)
+    if method == "nearest":
+        return out.drop("_w")
+    return out.groupBy("chip", "y", "x").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value))
+
+
+def mosaic_placed(pixels: DataFrame, chips: DataFrame, grid: DataFrame, value: str, method: str = "nearest") -> DataFrame:
+    """Mosaic of chips with transforms of their own: (y, x, value), the last
+    chip in ``source_order`` with data wins."""
+    placed = place_chips(pixels, chips, grid, value, method).join(chips.select("chip", "source_order"), "chip")
+    return mosaic(placed, value, "source_order")
+
+
 def paint_labels(masks: DataFrame, mask_pixels: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Paint masks in the order (patch, area, mask_id); the first mask to reach
     a pixel keeps it, and only masks that win a pixel get a number from 1.

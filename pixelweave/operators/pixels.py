@@ -192,26 +192,23 @@ def blend_overlay(df: DataFrame, mask: DataFrame, bands: Sequence[str], alpha: f
     return out.drop("_hit")
 
 
+def _hash_colour() -> list[Column]:
+    """r, g, b of ``label`` from the first bytes of its md5; label 0 is black."""
+    h = F.md5(F.col("label").cast("bigint").cast("string").cast("binary"))
+    return [F.when(F.col("label") == 0, 0).otherwise(F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 255).cast("int").alias(c)
+            for i, c in enumerate(("r", "g", "b"))]
+
+
 def label_colours(labels: DataFrame) -> DataFrame:
     """A colour per label from its hash; label 0 is black."""
-    h = F.xxhash64(F.col("label").cast("bigint"))
-    return labels.select("label").distinct().select("label", *[
-        F.when(F.col("label") == 0, 0).otherwise(
-            F.pmod(F.shiftright(h, 8 * i), F.lit(255))).cast("int").alias(c)
-        for i, c in enumerate(("r", "g", "b"))
-    ])
+    return labels.select("label").distinct().select("label", *_hash_colour())
 
 
 def colorize_labels(labels: DataFrame, lut: DataFrame | None = None) -> DataFrame:
     """r, g, b per labelled pixel, from a lookup table or, without one, from
     the label's hash (no join at all). Labels missing from the table are black."""
     if lut is None:
-        h = F.xxhash64(F.col("label").cast("bigint"))
-        return labels.select("*", *[
-            F.when(F.col("label") == 0, 0).otherwise(
-                F.pmod(F.shiftright(h, 8 * i), F.lit(255))).cast("int").alias(c)
-            for i, c in enumerate(("r", "g", "b"))
-        ])
+        return labels.select("*", *_hash_colour())
     black = [F.coalesce(F.when(F.col("label") != 0, F.col(c)), F.lit(0)).cast("int").alias(c) for c in "rgb"]
     return labels.join(lut.select("label", "r", "g", "b"), "label", "left").select(
         *labels.columns, *black)

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions.scalar import fetch_ok
-from ..operators.pixels import pick_bands
 
-PIXELS = "scene_id bigint, y int, x int, bands array<double>"
+BLOCK = 256                   # rows and columns of a block of stored pixels
 SCENES = ("scene_id bigint, height int, width int, n_bands int, dtype string, epsg int, "
           "transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, nodata double, "
           "acquired timestamp, path string")
@@ -22,23 +21,26 @@ TRAINING_TILES = ("tile_name string, height int, width int, image array<array<do
 def read_manifest(spark: SparkSession, folder: str, recursive: bool = True, limit: int | None = None,
                   suffixes: Sequence[str] = fv.CHIP_SUFFIXES) -> DataFrame:
     """Paths and lengths of raster chips, sorted. Contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()) \
-        .option("pathGlobFilter", "*.{%s}" % ",".join(suffixes)).load(folder).select("path", "length")
-    out = files.orderBy("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
+    return chip_manifest(files, limit, suffixes)
+
+
+def chip_manifest(files: DataFrame, limit: int | None = None, suffixes: Sequence[str] = fv.CHIP_SUFFIXES) -> DataFrame:
+    """The raster chips of a listing, sorted by path."""
+    ending = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    out = files.where(ending.isin(*suffixes)).orderBy("path")
     return out.limit(limit) if limit is not None else out
 
 
 def read_pixels(spark: SparkSession, path: str, bands: Sequence[int] | None = None,
                 nodata: float | None = None) -> DataFrame:
-    """Pixel table with the chosen 1-based bands as columns b1, b2, ...
+    """Pixel table with the chosen 1-based bands (else all) as columns b1, b2, ...
 
-    Without ``bands`` the array is kept. NaN and nodata become NULL.
+    Bands are stored as columns, so bands that are not asked for are not read.
+    NaN and nodata become NULL.
     """
-    df = spark.read.schema(PIXELS).parquet(path)
-    if bands is None:
-        return df.withColumn("bands", F.transform("bands", lambda v: _missing(v, nodata)))
-    names = [f"b{i}" for i in bands]
-    df = pick_bands(df, bands, names)
+    df = spark.read.parquet(path)
+    names = [f"b{i}" for i in bands] if bands is not None else [c for c in df.columns if c[:1] == "b" and c[1:].isdigit()]
     return df.select("scene_id", "y", "x", *[_missing(F.col(n), nodata).alias(n) for n in names])
 
 
@@ -51,8 +53,19 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCENES).parquet(path)
 
 
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Rows laid out by scene and block, sorted within: few files, and footers
+    whose ranges let readers skip blocks."""
+    by = [F.floor(F.col(c) / BLOCK).cast("int").alias(f"_{c}") for c in ("y", "x") if c in df.columns]
+    keyed = df.select("*", *by)
+    names = ["scene_id", *[c for c in ("_y", "_x") if c in keyed.columns]]
+    order = [*names, *[c for c in ("y", "x") if c in df.columns]]
+    return keyed.repartition(*names).sortWithinPartitions(*order).select(*df.columns)
+
+
 def write_pixels(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("scene_id").option("compression", "zstd").parquet(path)
+    """Pixels with one column per band (b1, b2, ...)."""
+    _in_blocks(df).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_training_tiles(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +88,7 @@ def training_tiles(tile_pixels: DataFrame, bands: Sequence[str], base: str = "sc
                     F.col("label").cast("bigint").alias("l"))
     g = tile_pixels.groupBy("scene_id", "y0", "x0").agg(
         F.sort_array(F.collect_list(item)).alias("_p"),
-        *([F.first(features).alias("features")] if features else []))
+        *([F.min_by(features, F.struct("y", "x")).alias("features")] if features else []))
     last = F.element_at("_p", -1)
     return g.select(
         F.format_string("%s%d_y%d_x%d", F.lit(base), "scene_id", F.col("y0").cast("bigint"), F.col("x0").cast("bigint"))
@@ -98,14 +111,19 @@ def write_training_tiles(tiles: DataFrame, path: str, done: DataFrame | None = N
 def write_products(path: str, mask: DataFrame | None = None, labels: DataFrame | None = None,
                    regions: DataFrame | None = None, boxes: DataFrame | None = None,
                    points: DataFrame | None = None, wrap_labels: bool = False) -> None:
-    """Write result tables under ``path``, partitioned by scene. ``wrap_labels``
-    stores label ids modulo 65536, as 16-bit label images do."""
+    """Write result tables under ``path``, laid out by scene and block.
+    ``wrap_labels`` stores label ids modulo 65536, as 16-bit label images do."""
     if labels is not None and wrap_labels:
         labels = wrap_label_ids(labels)
     tables = {"mask": mask, "labels": labels, "regions": regions, "boxes": boxes, "points": points}
     for name, df in tables.items():
         if df is not None:
-            df.write.mode("overwrite").partitionBy("scene_id").option("compression", "zstd").parquet(f"{path}/{name}")
+            _in_blocks(df).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def read_product(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the tables of ``write_products``."""
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def wrap_label_ids(labels: DataFrame) -> DataFrame:
@@ -156,15 +174,26 @@ def _parquet_opens(content: bytes) -> bool:
 
 
 def quarantine(spark: SparkSession, folder: str, opens: Callable[[bytes], bool] = _parquet_opens,
-               glob: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
-    """(good, corrupt) stored tile files, by trying to decode each."""
+               glob: str = "*.parquet") -> DataFrame:
+    """(path, length, state) of stored tile files: 'good' or 'corrupt', by
+    trying to decode each once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "length": b["length"],
-                                "ok": [bool(opens(c)) for c in b["content"]]})
+                                "state": ["good" if opens(c) else "corrupt" for c in b["content"]]})
+
+    return files.mapInPandas(check, "path string, length bigint, state string")
+
 
-    checked = files.mapInPandas(check, "path string, length bigint, ok boolean")
-    return checked.where("ok").drop("ok"), checked.where(~F.col("ok")).drop("ok")
+def check_tiles(tiles: DataFrame) -> DataFrame:
+    """Training tiles with ``state``: 'size' if the image or label has not
+    height * width pixels, 'bands' if pixels differ in their number of bands,
+    'missing' if a value is NULL or NaN, else 'good'. One pass, no decoding."""
+    n = F.col("height") * F.col("width")
+    bad = F.coalesce((F.size("image") != n) | (F.size("label") != n), F.lit(True))
+    uneven = F.array_min(F.transform("image", F.size)) != F.array_max(F.transform("image", F.size))
+    hole = F.exists("image", lambda px: px.isNull() | F.exists(px, lambda v: v.isNull() | F.isnan(v))) | F.exists("label", lambda v: v.isNull())
+    return tiles.withColumn("state", F.when(bad, "size").when(uneven, "bands").when(hole, "missing").otherwise("good"))

@@ -25,18 +25,21 @@ def test_manifest_lists_four_spellings(spark, tmp_path):
 
 
 def test_pixels_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(0, 0, 0, [1.0, float("nan")]), (1, 0, 1, [0.0, 4.0])], src.io.PIXELS)
+    rows = [(0, 0, 0, 1.0, float("nan"), 7.0), (1, 0, 1, 0.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "scene_id bigint, y int, x int, b1 double, b2 double, b3 double")
     src.write_pixels(df, str(tmp_path / "px"))
-    got = src.read_pixels(spark, str(tmp_path / "px"), [2, 1], nodata=0.0).orderBy("scene_id").collect()
-    assert [(r["b2"], r["b1"]) for r in got] == [(None, 1.0), (4.0, None)]
-    assert src.read_pixels(spark, str(tmp_path / "px")).where("scene_id = 0").first()["bands"] == [1.0, None]
+    read = src.read_pixels(spark, str(tmp_path / "px"), [2, 1], nodata=0.0)
+    assert [(r["b2"], r["b1"]) for r in read.orderBy("scene_id").collect()] == [(None, 1.0), (4.0, None)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "b3" not in plan[plan.index("ReadSchema"):]
+    assert tuple(src.read_pixels(spark, str(tmp_path / "px")).where("scene_id = 0").first())[3:] == (1.0, None, 7.0)
 
 
-def test_products_are_written_per_scene(spark, tmp_path):
+def test_products_round_trip(spark, tmp_path):
     lab = spark.createDataFrame([(0, 0, 0, 65537), (1, 0, 0, 9)], "scene_id bigint, y int, x int, label bigint")
     src.write_products(str(tmp_path), mask=lab.drop("label"), labels=lab, wrap_labels=True)
-    assert {r["label"] for r in spark.read.parquet(str(tmp_path / "labels")).collect()} == {1, 9}
-    assert sorted(p for p in os.listdir(tmp_path / "mask") if p.startswith("scene")) == ["scene_id=0", "scene_id=1"]
+    assert {r["label"] for r in src.read_product(spark, str(tmp_path), "labels").collect()} == {1, 9}
+    assert src.read_product(spark, str(tmp_path), "mask").count() == 2
 
 
 def test_training_tiles_resume(spark, make, tmp_path):
@@ -55,8 +58,9 @@ def test_training_tiles_resume(spark, make, tmp_path):
 def test_corrupt_files_are_separated(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "t"))
     (tmp_path / "t" / "bad.parquet").write_bytes(b"nothing")
-    good, bad = src.quarantine(spark, str(tmp_path / "t"))
-    assert good.count() == 1 and [os.path.basename(r["path"]) for r in bad.collect()] == ["bad.parquet"]
+    got = src.quarantine(spark, str(tmp_path / "t")).collect()
+    assert sorted(r["state"] for r in got) == ["corrupt", "good"]
+    assert [os.path.basename(r["path"]) for r in got if r["state"] == "corrupt"] == ["bad.parquet"]
 
 
 def test_entry(spark):
