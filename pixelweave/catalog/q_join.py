@@ -132,10 +132,10 @@ def _placed_sql(method: str) -> str:
                 f"WHERE i BETWEEN {low} - 2 AND {high} + 2) WHERE w > 1e-9)")
 
     rows = "(SELECT max(y) + 1 FROM chips)"
-    return fx.with_(fx.CHIPS, axis("wx", "100", "50", "0.35 * k"), axis("wy", rows, f"{rows} // 2", "0.15 * k"),
+    return fx.with_(fx.CHIPS, axis("wx", "100", "50", "0.3565 * k"), axis("wy", rows, f"{rows} // 2", "0.1585 * k"),
                     "pl AS (SELECT c.source_order, wy.j AS y, wx.j AS x, sum(wy.w * wx.w * value) / sum(wy.w * wx.w) AS value FROM chips c JOIN wy ON wy.k = source_order AND wy.i = c.y "
                     "JOIN wx ON wx.k = source_order AND wx.i = c.x WHERE value IS NOT NULL GROUP BY ALL)") + \
-        "SELECT y, x, round(max_by(value, source_order), 8) AS value FROM pl GROUP BY y, x"
+        "SELECT y, x, round(max_by(value, source_order), 5) AS value FROM pl GROUP BY y, x"
 
 
 def _mosaic_placed(spark, sf, method):
@@ -143,9 +143,9 @@ def _mosaic_placed(spark, sf, method):
     px = fx.chips(spark, sf).withColumnRenamed("source_order", "chip")
     n, rows = F.col("chip"), px.agg((F.floor((F.max("y") + 1) / 2)).cast("int").alias("height"))
     chips = px.select("chip").distinct().select("chip", n.alias("source_order"), geo.affine(
-        0.2, 0.0, F.lit(500000.0) + n * 0.07, 0.0, -0.2, F.lit(5900000.0) - n * 0.03).alias("transform"))
-    grid = rows.select("height", F.lit(50).alias("width"), geo.affine(0.4, 0.0, 500000.0, 0.0, -0.4, 5900000.0).alias("transform"))
-    return mg.mosaic_placed(px, chips, grid, "value", method).select("y", "x", r6("value", digits=8))
+        0.2, 0.0, n * 0.0713, 0.0, -0.2, n * -0.0317).alias("transform"))
+    grid = rows.select("height", F.lit(50).alias("width"), geo.affine(0.4, 0.0, 0.0, 0.0, -0.4, 0.0).alias("transform"))
+    return mg.mosaic_placed(px, chips, grid, "value", method).select("y", "x", r6("value", digits=5))
 
 
 for _method in ("nearest", "average", "bilinear"):
