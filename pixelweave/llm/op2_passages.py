@@ -42,7 +42,7 @@ from .text import WordHash, as_bytes, mix, spaced_words
 
 NAME = "op2_repeated_passages"
 WINDOW, GRAM = 50, 10
-BLOCK_WORDS = 2_000_000       # words of the documents of a block
+BLOCK_WORDS = 500_000         # words of the documents of a block
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -160,27 +160,44 @@ class PhraseAutomaton:
             self.find.add_word(key, where)
         self.find.make_automaton()
 
-    def removed(self, order: int, words: list[bytes]) -> np.ndarray:
-        """Which words lie in a window of a passage owned by a smaller id."""
-        gone = np.zeros(len(words), bool)
+    def removed(self, order: int, words: list[bytes], window: np.ndarray) -> np.ndarray:
+        """Which words lie in a window of a passage owned by a smaller id.
+
+        ``window`` has the document's window hashes: a window that repeats within
+        the document is decided once, at its first place, and a hit around which
+        no window is left to decide is passed over.
+        """
         if len(words) < WINDOW or not self.text:
-            return gone
+            return np.zeros(len(words), bool)
+        half = WINDOW // 2
         ids = tuple(map(self.word.get, words, repeat(0)))
         doc, seen = np.array(ids, np.int32), set()
+        _, first, same = np.unique(window, return_index=True, return_inverse=True)
+        undecided, hit = bytearray(len(window)), np.zeros(len(window), bool)
+        for i in first.tolist():
+            undecided[i] = 1
         for end, where in self.find.iter(ids):
+            start = end - half + 1
+            if undecided.find(1, max(0, start - half), start + 1) < 0:
+                continue
             for p, at in where:
-                shift = end - WINDOW // 2 + 1 - at           # of the passage in the document
+                shift = start - at           # of the passage in the document
                 if self.owner[p] >= order or (p, shift) in seen:
                     continue
                 seen.add((p, shift))
                 text = self.text[p]
                 low, high = max(0, shift), min(len(doc), shift + len(text))
-                same = doc[low:high] == text[low - shift:high - shift]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]]).astype(np.int8)))
-                for a, e in zip(edge[::2], edge[1::2], strict=True):
+                equal = doc[low:high] == text[low - shift:high - shift]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], equal, [0]]).astype(np.int8)))
+                for a, e in zip((edge[::2] + low).tolist(), (edge[1::2] + low).tolist(), strict=True):
                     if e - a >= WINDOW:
-                        gone[low + a:low + e] = True
-        return gone
+                        hit[a:e - WINDOW + 1] = True
+                        undecided[a:e - WINDOW + 1] = bytes(e - WINDOW + 1 - a)
+        cover = np.zeros(len(words) + 1, np.int64)
+        starts = np.flatnonzero(hit[first][same])
+        cover[starts] += 1
+        cover[starts + WINDOW] -= 1
+        return np.cumsum(cover)[:-1] > 0
 
 
 def _located(rows: DataFrame) -> DataFrame:
@@ -191,6 +208,7 @@ def _located(rows: DataFrame) -> DataFrame:
             yield from zip(*(b.column(c).to_pylist() for c in ("block", "ord", "passages", "text")), strict=True)
 
     def run(batches):
+        windows = Windows()
         for _, part in groupby(each(batches), key=lambda r: r[0]):
             passages, automaton = [], None
             out = {c: [] for c in ("ord", "fp", "n_removed", "kept_sha256")}
@@ -202,7 +220,7 @@ def _located(rows: DataFrame) -> DataFrame:
                     automaton = PhraseAutomaton(passages)
                     passages = []
                 words = spaced_words(text)
-                gone = automaton.removed(o, words)
+                gone = automaton.removed(o, words, windows.of(words)[1])
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 for c, v in zip(out.values(), (o, _fingerprint(words), int(gone.sum()), _sha(kept)), strict=True):
                     c.append(v)
