@@ -67,10 +67,11 @@ class Subwords(dict):
 
     def learn(self, words) -> None:
         """Encode the new words together: an id that starts with a space starts a word."""
-        new = [w for w in set(words) if w not in self]
+        words = set(words)
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(words))
+            new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             ids = np.array(self.encoding.encode_ordinary(b"".join(b" " + w for w in part).decode()))
