@@ -6,9 +6,9 @@ from ..operators import components as cp, instances as ins, masks as mk, pixels
 from ..operators.tiles import tile_shifted, tile_snapped
 from ..plans import flows
 from ..session import cut_lineage
-from . import fixtures as fx
+from . import fixtures as fx, q_aggregate  # noqa: F401  (its SQL is composed here)
 from .q_iterative import _N4, _N8, _PEAKS, _TREE, _parts
-from .registry import query, r6
+from .registry import ORACLES, query, r6
 
 _KEY = ["scene_id", "y", "x"]
 _TILE = 32
@@ -105,11 +105,16 @@ def _(spark, sf):
     return rg.relax_if_few(lambda some, area, dist: stats.join(some.select("scene_id"), "scene_id", "left_semi").where(F.col("area") >= area), sc, 22, 10).select("scene_id", "label", "area")
 
 
-@query("region_table")
+_TABLE = " JOIN ".join(f"({ORACLES[n]}) t{i}" + (" USING (scene_id, label)" if i else "") for i, n in enumerate(
+    ("region_props", "region_points", "region_perimeter", "region_solidity", "polygonize")))
+
+
+@query("region_table", f"SELECT scene_id, label, t0.area AS area, px, py, perimeter, eccentricity, solidity, true AS outlined FROM {_TABLE} WHERE t0.area >= 10")
 def _(spark, sf):
+    """All region measures side by side; the SQL joins those of the single queries."""
     got = rg.region_table(fx.block_regions(spark, sf), fx.scenes(spark, sf), 10)
-    return got.select("scene_id", "label", "area", r6("px", digits=4), r6("py", digits=4), r6("perimeter", digits=4),
-                      r6("eccentricity", digits=4), r6("solidity"), "wkt")
+    return got.select("scene_id", "label", "area", r6("px", digits=4), r6("py", digits=4), r6("perimeter", digits=5),
+                      r6("eccentricity", digits=5), r6("solidity"), (F.size("ring") >= 3).alias("outlined"))
 
 
 @query("marker_watershed", fx.with_(fx.PX, fx.SCENES, "v AS MATERIALIZED (SELECT scene_id, y, x, CAST(b2 AS BIGINT) + 1 AS v FROM px)", _PEAKS, recursive=True) +

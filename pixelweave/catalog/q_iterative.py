@@ -157,12 +157,23 @@ def _(spark, sf):
     return st.local_peaks(v, fx.scenes(spark, sf), 3, tile=_TILE)
 
 
-@query("split_instances")
+_SPLIT = [fx.SPARSE.replace("0.75", "0.88"), *_TREE, _parts("s4", "p4", _N4),
+          "k4 AS MATERIALIZED (SELECT scene_id, y, x FROM p4 WHERE (scene_id, label) IN (SELECT (scene_id, label) FROM p4 GROUP BY ALL HAVING count(*) >= 12))",
+          "bg AS (SELECT px.scene_id, px.y, px.x FROM px ANTI JOIN k4 ON k4.scene_id = px.scene_id AND k4.y = px.y AND k4.x = px.x)",
+          "v AS MATERIALIZED (SELECT k4.scene_id, k4.y, k4.x, min((k4.y - bg.y) * (k4.y - bg.y) + (k4.x - bg.x) * (k4.x - bg.x)) AS v FROM k4 JOIN bg ON bg.scene_id = k4.scene_id GROUP BY ALL)",
+          _PEAKS, _parts("k4", "p5", _N4)]
+
+
+@query("split_instances", fx.with_(fx.PX, fx.SCENES, *_SPLIT, recursive=True) + """SELECT p5.scene_id, count(*) AS pixels, any_value(n) AS instances FROM p5
+  JOIN (SELECT scene_id, count(*) AS n FROM pk GROUP BY scene_id) USING (scene_id)
+  WHERE (p5.scene_id, label) IN (SELECT (q.scene_id, q.label) FROM p5 q JOIN pk ON pk.scene_id = q.scene_id AND pk.k.y = q.y AND pk.k.x = q.x) GROUP BY p5.scene_id""")
 def _(spark, sf):
-    """Touching blobs: the closed and opened mask."""
+    """Touching blobs: the closed and opened mask. One instance per peak of the
+    distance, over all parts that hold a peak."""
     sc = fx.scenes(spark, sf)
     mask = cp.clean_tree_mask(_seeds(spark, sf), sc, 12, 10000, _TILE)
-    return ins.split_instances(mask, sc, 3, _TILE)
+    return ins.split_instances(mask, sc, 3, _TILE).groupBy("scene_id").agg(
+        F.count("*").alias("pixels"), F.count_distinct("label").alias("instances"))
 
 
 def _level_sql(q: float, name: str) -> list[str]:
