@@ -12,8 +12,10 @@ returned. Copies with equal sets are reduced to one set first.
   with which it shares most signature tokens. Large groups are split into parts
   of bounded size. The token-group matrix has a row for each token in the union
   of the signatures of a group.
-* Bound: a set can link into a group only if the group's union has at least L
-  tokens of its signature and its sizes fit. Only such groups are opened.
+* Bound: sets of two groups can link only if the groups' unions share at least L
+  signature tokens and their sizes fit. Only such groups are opened to each
+  other, the one of less volume as queries; and a query is compared only if the
+  opened group's union of whole sets holds enough of its tokens.
 * Opened groups: one task holds a group's sets (bounded by the split) and streams
   the sets that query it past them, in slices of bounded volume; intersections
   are counted exactly, by sorted lookups or block products of membership
@@ -39,7 +41,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.components import solve_edges
 from ..session import cut_lineage
@@ -130,34 +132,38 @@ def _signatures(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Da
 
 
 def _routes(tokens: DataFrame, percent: int) -> DataFrame:
-    """(sid, routes): the opened groups each set goes to, as member or query, from (token, sid, n, pivot)."""
+    """(sid, routes): the opened groups each set goes to, as member or query, from (token, sid, n, pivot).
+
+    Of two groups that may hold a link the one of less volume queries the other.
+    """
     best = tokens.groupBy("sid", "n", "pivot").agg(F.count("*").alias("c")).groupBy("sid", "n").agg(
         F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
-    volume = best.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count("*") / PART_SETS)).alias("parts"))
-    member = cut_lineage(best.join(volume, "pivot").select(
+    parts = best.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count("*") / PART_SETS)).alias("parts"))
+    member = cut_lineage(best.join(parts, "pivot").select(
         "sid", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("sid"), "parts")).alias("g")))
-    sizes = member.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"))
-    held = tokens.select("token", "sid").join(member, "sid")
-    matrix = held.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "to")
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    met = held.join(matrix, "token").where((F.col("to") < F.col("g")) & fits).groupBy("sid", "n", "to").agg(
-        F.count("*").alias("c")).join(sizes.withColumnRenamed("g", "to"), "to")
-    needed = F.least(_floor_depth(F.col("n")), _floor_depth(F.greatest(F.col("least"), F.floor((F.col("n") * percent + 99) / 100))))
-    asks = cut_lineage(met.where(F.col("c") >= needed).select("sid", "n", F.col("to").alias("g")))
-    slices = asks.groupBy("g").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("slices"))
-    opened = sizes.select("g", "sets").join(slices, "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
+    groups = cut_lineage(member.groupBy("g").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"), F.sum("n").alias("volume")))
+    # the token-group matrix
+    matrix = cut_lineage(tokens.select("token", "sid").join(member, "sid").select("token", "g").distinct().join(groups, "g"))
+    small, large = (matrix.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("g", "least", "most", "volume")]) for p in "ab")
+    fits = (F.col("b_most") * 100 >= F.col("a_least") * percent) & (F.col("a_most") * 100 >= F.col("b_least") * percent)
+    met = small.join(large, "token").where((F.struct("b_volume", "b_g") > F.struct("a_volume", "a_g")) & fits)
+    # no set that links can be smaller than this
+    size = F.least(F.greatest(F.col("a_least"), F.floor(F.col("b_least") * percent / 100)),
+                   F.greatest(F.col("b_least"), F.floor(F.col("a_least") * percent / 100)))
+    pairs = cut_lineage(met.groupBy("a_g", "b_g", "a_volume", size.alias("size")).agg(F.count("*").alias("c")).where(
+        F.col("c") >= F.floor(F.col("size") * 3 / 100) + 1).select("a_g", "b_g", "a_volume"))
+    slices = pairs.groupBy(F.col("b_g").alias("g")).agg(F.ceil(F.sum("a_volume") / PART_SHINGLES).cast("int").alias("slices"))
+    opened = groups.select("g", "sets").join(slices, "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
         "g", F.coalesce("slices", F.lit(1)).alias("slices"))
     as_member = member.join(opened, "g").select(
         "sid", "g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
+    asks = member.join(pairs, F.col("g") == F.col("a_g")).select("sid", F.col("b_g").alias("g"))
     as_query = asks.join(opened, "g").select(
         "sid", "g", F.pmod(F.xxhash64("sid", "g"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"))
     return as_member.unionByName(as_query).groupBy("sid").agg(F.collect_list(F.struct("g", "slice", "asks")).alias("routes"))
 
 
-def _floor_depth(n: Column) -> Column:
-    return F.floor(n * 3 / 100) + 1
-
-
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all sets of ``a`` with all of ``b``."""
     out = np.zeros((len(a), len(b)), np.int64)
@@ -203,8 +209,15 @@ def _classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(members, queries, percent: int):
-    """Links (u, v) that join the classes among members, and of queries with members."""
+def _forest(members, queries, percent: int, among: bool):
+    """Links (u, v) that join the classes among members, and of queries with members.
+
+    A query of which the group's union holds too few tokens is not compared.
+    """
+    if queries:
+        union = np.unique(np.concatenate([s for _, s in members]))
+        overlap = [np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s) for _, s in queries]
+        queries = [q for q, c in zip(queries, overlap, strict=True) if 100 * c >= percent * len(q[1])]
     ids = np.array([s for s, _ in members + queries])
     links = [np.zeros((2, 0), np.int64)]
     m = [s for _, s in members]
@@ -215,7 +228,7 @@ def _forest(members, queries, percent: int):
         i, j = np.nonzero((100 * common >= percent * union) & (common > 0))
         links.append(np.stack([i, j + offset]))
 
-    if len(m) > 1 and not queries:
+    if among:
         add(m, 0)
     for at in range(0, len(queries), PART_SETS):
         add([s for _, s in queries[at:at + PART_SETS]], len(members) + at)
@@ -263,12 +276,12 @@ def _links(docs: DataFrame, needed: DataFrame, k: int, percent: int) -> DataFram
                 if asks and first:             # all members are there
                     first = False
                     if slice_ == 0:
-                        got.append(_forest(members, [], percent))
+                        got.append(_forest(members, [], percent, True))
                 (queries if asks else members).append((sid, np.frombuffer(tokens, np.uint64)))
             if first and slice_ == 0:
-                got.append(_forest(members, [], percent))
+                got.append(_forest(members, [], percent, True))
             if queries:
-                got.append(_forest(members, queries, percent))
+                got.append(_forest(members, queries, percent, False))
             for a, b in got:
                 u.append(a)
                 v.append(b)
