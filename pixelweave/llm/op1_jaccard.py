@@ -49,6 +49,7 @@ from .text import WordHash, as_bytes, gram_hashes, spaced_words
 
 NAME = "op1_jaccard_groups"
 SKETCH = 1 << 18          # counters of document frequency
+FAN_IN = 32               # sketches that a task sums
 PART_SHINGLES = 1 << 19   # shingles of a group's part, and of the queries of a slice
 PART_SETS = 1024          # sets of a group's part
 FEW = 64                  # pairs that are looked up one by one
@@ -90,7 +91,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _frequencies(sketches: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches, in two levels; its size is fixed."""
+    """The sum of the tasks' sketches, in levels; its size is fixed."""
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
@@ -98,7 +99,11 @@ def _frequencies(sketches: DataFrame) -> np.ndarray:
                 total += np.frombuffer(s, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
 
-    rows = sketches.repartition(64).mapInArrow(run, "sketch binary").coalesce(1).mapInArrow(run, "sketch binary").collect()
+    n = sketches.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        sketches = sketches.repartition(n).mapInArrow(run, "sketch binary")
+    rows = sketches.coalesce(1).mapInArrow(run, "sketch binary").collect()
     return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(SKETCH, np.int64)
 
 
