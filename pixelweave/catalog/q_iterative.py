@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import components as cp, distance as ds, instances as ins, prompts as pr, stencil as st
-from ..operators.pixels import complement
 from ..operators.stats import exact_quantiles, with_group_stats
 from . import fixtures as fx
 from .registry import query, r6
