@@ -34,8 +34,6 @@ def test_labels_and_places(spark):
     ]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)] + [(None, texts[0], "c", 1)] * 2,
                                "doc_id bigint, text string, spans string, places int")
-    from pyspark.sql import functions as F
-
     got = {r["doc_id"]: r for r in op5.scan(df).collect()}
     label = lambda i: {s["label"] for s in got[i]["spans"]}
     assert label(0) == {"mit"} and label(1) == {"apache-2"} and label(2) == {"cc-by-nc"} and label(3) == {"gpl-3"}
