@@ -36,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
@@ -44,47 +45,76 @@ from .text import WordHash, as_bytes, spaced_words
 NAME = "op4_attention_lm"
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HALF, WIDTH = 8, 16             # scored positions of a window; width of embeddings
-SINGLE, CLUSTERS = 112, 16      # ids with a class of their own; classes of the others
-EVERY, ROUNDS, SHARD_IDS = 64, 2, 400_000
+SINGLE, CLUSTERS = 80, 16       # ids with a class of their own; classes of the others
+EVERY, ROUNDS, SHARD_IDS = 64, 2, 1_600_000
+FAN_IN = 32                     # shards whose weights a task averages
 FREQUENT = 200_000              # words whose counts are broadcast, at most
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PATTERN = r" [^ ]+"          # a word and the space before it is one piece
 _END_WORD = b"\n"               # no word has a line end
 
 
-class Subwords(dict):
-    """Word -> subword ids, remembered for up to ``limit`` words."""
+class Subwords:
+    """Subword ids of words, remembered for up to ``limit`` words.
 
-    def __init__(self, file: bytes, limit: int = 300_000):
+    A word's number leads to its ids, which lie one after the other in one array,
+    and to ``hashes``; so a text becomes arrays with one look-up per word.
+    """
+
+    def __init__(self, file: bytes, limit: int = 400_000):
         import tiktoken
 
-        super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         self.encoding = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.spaced = np.zeros(self.end, bool)
         self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words but the end of a text, number 0."""
+        self.number = {_END_WORD: 0}
+        self.flat, self.used = np.full(1 << 18, self.end, np.int32), 1
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.hashes = np.zeros(1 << 16, np.uint64)
+        self.hashes[0] = WordHash(0).of([_END_WORD])[0]
 
-    def learn(self, words) -> None:
-        """Encode the new words together: an id that starts with a space starts a word."""
+    def learn(self, words) -> bool:
+        """Encode the new words; True if all others were forgotten for it.
+
+        They are encoded together: an id that starts with a space starts a word.
+        """
         words = set(words)
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
+        new = [w for w in words if w not in self.number]
+        full = len(self.number) + len(new) > self.limit
+        if full:
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            ids = np.array(self.encoding.encode_ordinary(b"".join(b" " + w for w in part).decode()))
+            new = [w for w in words if w != _END_WORD]
+        for at in range(0, len(new), 32_768):
+            part = new[at:at + 32_768]
+            ids = np.array(self.encoding.encode_ordinary(b"".join(b" " + w for w in part).decode()), np.int32)
             start = np.flatnonzero(self.spaced[ids])
-            if len(start) == len(part):
-                ids, stop = ids.tolist(), [*start[1:].tolist(), len(ids)]
-                self.update((w, tuple(ids[a:b])) for w, a, b in zip(part, start.tolist(), stop, strict=True))
-            else:        # other white space next to a word start
-                self.update((w, tuple(self.encoding.encode_ordinary(" " + w.decode()))) for w in part)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of known words and the end."""
-        return np.array([*chain.from_iterable(map(self.__getitem__, words)), self.end], np.int32)
+            n = len(self.number)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.tile(self.flat, 2)
+            while n + len(part) > len(self.start):
+                self.start, self.size, self.hashes = (np.tile(a, 2) for a in (self.start, self.size, self.hashes))
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start[n:n + len(part)] = start + self.used
+            self.size[n:n + len(part)] = np.diff(np.append(start, len(ids)))
+            self.hashes[n:n + len(part)] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
+            self.number.update(zip(part, range(n, n + len(part))))
+            self.used += len(ids)
+        return full
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of known words and the end."""
+        return np.fromiter(map(self.number.__getitem__, [*words, _END_WORD]), np.int64, len(words) + 1)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return np.take(self.flat, np.repeat(self.start[numbers] - ends + size, size) + np.arange(ends[-1]))
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -95,6 +125,16 @@ def _words(text: bytes | None) -> list[bytes]:
     return spaced_words(text.lower() if text else None)
 
 
+def _portions(batch: pa.RecordBatch, most: int = 1 << 21):
+    """Slices of about ``most`` bytes of text, or one longer text."""
+    size = np.cumsum([len(t or b"") for t in batch.column("text").to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, word, c) over all texts, the end included. Tasks send partial counts."""
     def run(batches):
@@ -124,10 +164,11 @@ def subword_counts(counts: DataFrame, file) -> np.ndarray:
         sub = Subwords(file.value)
         total = np.zeros(sub.end + 1, np.int64)
         for b in batches:
-            words, c = b.column("word").to_pylist(), b.column("c").to_pylist()
-            sub.learn(w for w in words if w != _END_WORD)
-            for w, n in zip(words, c, strict=True):
-                total[list(sub[w]) if w != _END_WORD else sub.end] += n
+            words = b.column("word").to_pylist()
+            sub.learn(words)
+            at = sub.numbers(words)[:-1]
+            c = np.repeat(b.column("c").to_numpy(), sub.size[at])
+            total += np.bincount(sub.ids(at), c, len(total)).astype(np.int64) if len(at) else 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
 
@@ -163,7 +204,7 @@ class Attention:
         at = 0
         for k in self.NAMES:
             old = getattr(self, k)
-            setattr(self, k, flat[at:at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, k, flat[at:at + old.size].reshape(old.shape).astype(np.float32, copy=True))
             at += old.size
 
     def windows(self, docs: list[np.ndarray]):
@@ -208,18 +249,19 @@ class Attention:
 
     def class_scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probability of class ``y`` (w, HALF) after inputs ``x``, by batched masked attention."""
-        s = self.q[x[:, HALF:]] @ self.k[x].transpose(0, 2, 1)
+        own = x[:, HALF:]
+        s = np.take(self.q, own, 0) @ np.take(self.k, x, 0).transpose(0, 2, 1)
         s += self.bias
-        s += self.hide[x][:, None]
+        s += np.take(self.hide, x)[:, None]
         np.exp(s, out=s)
-        seen = s @ self.v[x]
+        seen = s @ np.take(self.v, x, 0)
         seen /= s.sum(2, keepdims=True)
-        seen += self.e[x[:, HALF:]]
+        seen += np.take(self.e, own, 0)
         z = seen.reshape(-1, WIDTH) @ self.u
         z += self.c
-        at = z[np.arange(len(z)), y.ravel()]
+        at = np.take(z, np.arange(0, z.size, z.shape[1]) + y.ravel())
         np.exp(z, out=z)
-        return (at - np.log(z.sum(1))).reshape(y.shape)
+        return (at - np.log(z @ np.ones(z.shape[1], z.dtype))).reshape(y.shape)
 
     def steps(self, x: np.ndarray, y: np.ndarray, rate: float = 0.2, batch: int = 128) -> None:
         """One pass of Adagrad steps; ``y`` are classes, -1 for none."""
@@ -232,7 +274,7 @@ class Attention:
                 getattr(self, k)[rows] -= rate * g / np.sqrt(state[k][rows])
 
     def _gradients(self, x, y):
-        e = self.e[x]
+        e = np.take(self.e, x, 0)
         eq = e[:, HALF:]
         q, k, v = eq @ self.wq / math.sqrt(WIDTH), e @ self.wk, e @ self.wv
         s = q @ k.transpose(0, 2, 1) + self.near[self.gap] + self.later + np.where(x == self.n + 1, np.float32(-1e9), np.float32(0))[:, None]
@@ -316,12 +358,10 @@ def train(texts: DataFrame, count: np.ndarray, file) -> tuple[Attention, np.ndar
 
     def encode(batches):
         sub = Subwords(file.value)
-        for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                words = _words(t)
-                sub.learn(words)
-                out.append(sub.ids(words).tobytes())
+        for b in chain.from_iterable(map(_portions, batches)):
+            texts = [_words(t) for t in b.column("text").to_pylist()]
+            sub.learn(chain.from_iterable(texts))
+            out = [sub.ids(sub.numbers(words)).tobytes() for words in texts]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0).select("text")
@@ -332,13 +372,15 @@ def train(texts: DataFrame, count: np.ndarray, file) -> tuple[Attention, np.ndar
     shards = max(1, -(-volume // SHARD_IDS))
     laid = cut_lineage(sample.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("ids"))
 
-    def total(batches):
+    def mean(batches):
+        """The mean of the weights, by ids seen."""
         weights, n = 0.0, 0
         for b in batches:
             for w, k in zip(b.column("weights").to_pylist(), b.column("n").to_pylist(), strict=True):
-                weights, n = weights + np.frombuffer(w, np.float64), n + k
+                weights, n = weights + np.frombuffer(w, np.float32).astype(np.float64) * k, n + k
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+            flat = (weights / n).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
     for _ in range(ROUNDS):
         begun = spark.sparkContext.broadcast((model, cls))
@@ -352,14 +394,17 @@ def train(texts: DataFrame, count: np.ndarray, file) -> tuple[Attention, np.ndar
                 x, y, _ = own.windows(mine)
                 own.steps(x, np.where(y >= 0, classes[y], -1))
                 n = int(sum(map(len, mine)))
-                yield pa.RecordBatch.from_arrays([pa.array([(own.flat().astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())],
-                                                 names=["weights", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([own.flat().tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
         kind = "weights binary, n bigint"
-        # two levels, so no task sums more than a 32nd of the shards
-        got = laid.select("ids").mapInArrow(steps, kind).repartition(min(32, shards)).mapInArrow(total, kind).coalesce(1).mapInArrow(total, kind).collect()
+        got = laid.select("ids").mapInArrow(steps, kind)
+        n = shards
+        while n > FAN_IN:          # levels, so that no task averages many shards
+            n = -(-n // FAN_IN)
+            got = got.repartition(n).mapInArrow(mean, kind)
+        got = got.coalesce(1).mapInArrow(mean, kind).collect()
         if got:
-            model.load(np.frombuffer(got[0]["weights"], np.float64) / got[0]["n"])
+            model.load(np.frombuffer(got[0]["weights"], np.float32))
     return model, cls, within
 
 
@@ -396,29 +441,32 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches):
         model, cls, within, (known, c) = shared.value
         model.tables()
-        sub, memo = Subwords(file.value), WordHash()
-        known = np.append(known, np.uint64((1 << 64) - 1))
-        worth = np.append(np.log10(c + 0.5), 0.0)
+        sub = Subwords(file.value)
+        hit, worth = np.zeros(0, bool), np.zeros(0)      # of the words' numbers: broadcast count, its logarithm
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for part in _portions(b):
                 words = [_words(t) for t in part.column("text").to_pylist()]
-                sub.learn(chain.from_iterable(words))
-                x, y, owner = model.windows([sub.ids(w) for w in words])
+                if sub.learn(chain.from_iterable(words)):
+                    hit, worth = hit[:0], worth[:0]
+                new = sub.hashes[len(hit):len(sub.number)]
+                i = np.searchsorted(known, new)
+                ok = np.append(known, np.uint64(0))[i] == new
+                ok &= i < len(known)
+                hit, worth = np.append(hit, ok), np.append(worth, np.where(ok, np.append(np.log10(c + 0.5), 0.0)[i], 0.0))
+                numbers = [sub.numbers(w) for w in words]
+                x, y, owner = model.windows([sub.ids(k) for k in numbers])
                 total = np.zeros(len(words))
                 for s in range(0, len(x), 256):
                     ys = y[s:s + 256]
                     ok, safe = ys >= 0, np.maximum(ys, 0)
-                    got = model.class_scores(x[s:s + 256], cls[safe]) + within[safe]
+                    got = model.class_scores(x[s:s + 256], np.take(cls, safe)) + np.take(within, safe)
                     total += np.bincount(owner[s:s + 256], np.where(ok, got, 0).sum(1, dtype=np.float64), len(words))
                 out = {k: [] for k in ("n_tokens", "n", "base", "rare")}
-                for w in words:
-                    h = memo.of([*w, _END_WORD])
-                    i = np.searchsorted(known, h)
-                    hit = known[i] == h
-                    hit &= i < len(c)
-                    for k, value in zip(out, (len(h), int(hit.sum()), float(worth[i[hit]].sum()), h[~hit].view(np.int64)), strict=True):
-                        out[k].append(value)
+                for k in numbers:
+                    mine = hit[k]
+                    row = (len(k), int(mine.sum()), float(worth[k].sum()), sub.hashes[k[~mine]].view(np.int64))
+                    for name, value in zip(out, row, strict=True):
+                        out[name].append(value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), part.column("doc_id"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n"], pa.int64()),
                      pa.array(out["base"], pa.float64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(total / math.log(10))],
