@@ -75,11 +75,10 @@ def mix(sizes: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFram
 def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """The documents of the mix: each as often as an epoch takes words of it.
     Texts stay whole. Documents are matched by doc_id."""
-    plan = mix(sized(docs), repeats).where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    plan = plan.groupBy("_id").agg(F.max("_n").alias("_n"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn(
-        "_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    plan = mix(sized(docs), repeats).where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("__mix_id")).agg(
+        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__mix_copies"))
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__mix_id"])).withColumn(
+        "__mix_copies", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

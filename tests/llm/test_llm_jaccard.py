@@ -57,7 +57,7 @@ def corpus(seed, n=260):
                    (rows[9][0], rows[9][1]), (2000, "One"), (2001, "one"), (2002, "a B"), (2003, "A b")]
 
 
-@pytest.mark.parametrize("seed,k,percent,parts", [(1, 3, 90, 1024), (2, 5, 80, 1024), (3, 3, 90, 8), (4, 2, 60, 16)])
+@pytest.mark.parametrize("seed,k,percent,parts", [(2, 5, 80, 1024), (3, 3, 90, 8), (4, 2, 60, 16)])
 def test_matches_brute_force(spark, monkeypatch, seed, k, percent, parts):
     monkeypatch.setattr(op1, "PART_SETS", parts)
     monkeypatch.setattr(op1, "FEW", 4 if parts < 100 else 64)

@@ -51,7 +51,8 @@ def test_mix_edge_cases(spark):
     assert len(got) == 5 and sum(g["taken"] for g in got) == 100_000
     assert op3_mix.mix(op3_mix.sized(df.limit(0))).count() == 0
     assert op3_mix.mix(op3_mix.sized(df.where("text is null"))).where("taken > 0 or target > 0").count() == 0
-    assert op3_mix.mixed(docs(spark, rows)).where("doc_id is null").count() == 0
+    whole = op3_mix.mixed(df.withColumn("_id", F.lit(1)))
+    assert whole.columns == [*df.columns, "_id"] and whole.where("doc_id is null").count() == 0 and whole.count() == 2
 
 
 def smallest_capacity(sizes, shards):
