@@ -12,10 +12,11 @@ returned. Copies with equal sets are reduced to one set first.
   with which it shares most signature tokens. Large groups are split into parts
   of bounded size. The token-group matrix has a row for each token in the union
   of the signatures of a group.
-* Bound: sets of two groups can link only if the groups' unions share at least L
-  signature tokens and their sizes fit. Only such groups are opened to each
-  other, the one of less volume as queries; and a query is compared only if the
-  opened group's union of whole sets holds enough of its tokens.
+* Bound: a set can link into a group only if the group's union has at least L
+  tokens of its signature and the sizes fit. Only such groups are opened to it,
+  and of two groups only the sets of the smaller one ask the larger one. In the
+  opened group a set is compared only if the union of the whole sets holds
+  enough of its tokens.
 * Opened groups: one task holds a group's sets (bounded by the split) and streams
   the sets that query it past them, in slices of bounded volume; intersections
   are counted exactly, by sorted lookups or block products of membership
@@ -36,6 +37,7 @@ ids are returned as often as they occur; other columns don't matter.
 
 from __future__ import annotations
 
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -48,7 +50,7 @@ from ..session import cut_lineage
 from .text import WordHash, as_bytes, gram_hashes, spaced_words
 
 NAME = "op1_jaccard_groups"
-SKETCH = 1 << 18          # counters of document frequency
+SKETCH = 1 << 20          # counters of document frequency
 FAN_IN = 32               # sketches that a task sums
 PART_SHINGLES = 1 << 19   # shingles of a group's part, and of the queries of a slice
 PART_SETS = 1024          # sets of a group's part
@@ -71,7 +73,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     schema = f"doc_id {kind}, n bigint, fp binary, sketch binary"
 
     def run(batches):
-        memo, sketch, ids = WordHash(), np.zeros(SKETCH, np.int64), None
+        memo, sketch, ids = WordHash(), np.zeros(SKETCH, np.uint32), None
         for b in batches:
             n, fp, ids = [], [], b.schema.field("doc_id").type
             for t in b.column("text").to_pylist():
@@ -84,27 +86,36 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 names=["doc_id", "n", "fp", "sketch"])
         if ids is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sketch.tobytes()], pa.binary())],
+                [pa.nulls(1, ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_packed(sketch)], pa.binary())],
                 names=["doc_id", "n", "fp", "sketch"])
 
     return docs.select("doc_id", as_bytes().alias("text")).mapInArrow(run, schema)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed 32-bit numbers; higher ones stay at the largest."""
+    return zlib.compress(np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
+
+
 def _frequencies(sketches: DataFrame) -> np.ndarray:
     """The sum of the tasks' sketches, in levels; its size is fixed."""
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
             for s in b.column("sketch").to_pylist():
-                total += np.frombuffer(s, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+                total += _unpacked(s)
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], names=["sketch"])
 
     n = sketches.count()
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         sketches = sketches.repartition(n).mapInArrow(run, "sketch binary")
     rows = sketches.coalesce(1).mapInArrow(run, "sketch binary").collect()
-    return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(SKETCH, np.int64)
+    return _unpacked(rows[0][0]) if rows else np.zeros(SKETCH, np.int64)
 
 
 def _depth(n):
@@ -139,7 +150,8 @@ def _signatures(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Da
 def _routes(tokens: DataFrame, percent: int) -> DataFrame:
     """(sid, routes): the opened groups each set goes to, as member or query, from (token, sid, n, pivot).
 
-    Of two groups that may hold a link the one of less volume queries the other.
+    Of two groups the sets of the one of less volume ask the other, so those of
+    a large group don't ask the many small ones around it.
     """
     best = tokens.groupBy("sid", "n", "pivot").agg(F.count("*").alias("c")).groupBy("sid", "n").agg(
         F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
@@ -148,22 +160,20 @@ def _routes(tokens: DataFrame, percent: int) -> DataFrame:
         "sid", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("sid"), "parts")).alias("g")))
     groups = cut_lineage(member.groupBy("g").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"), F.sum("n").alias("volume")))
+    held = cut_lineage(tokens.select("token", "sid").join(member.join(groups.select("g", "volume"), "g"), "sid"))
     # the token-group matrix
-    matrix = cut_lineage(tokens.select("token", "sid").join(member, "sid").select("token", "g").distinct().join(groups, "g"))
-    small, large = (matrix.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("g", "least", "most", "volume")]) for p in "ab")
-    fits = (F.col("b_most") * 100 >= F.col("a_least") * percent) & (F.col("a_most") * 100 >= F.col("b_least") * percent)
-    met = small.join(large, "token").where((F.struct("b_volume", "b_g") > F.struct("a_volume", "a_g")) & fits)
-    # no set that links can be smaller than this
-    size = F.least(F.greatest(F.col("a_least"), F.floor(F.col("b_least") * percent / 100)),
-                   F.greatest(F.col("b_least"), F.floor(F.col("a_least") * percent / 100)))
-    pairs = cut_lineage(met.groupBy("a_g", "b_g", "a_volume", size.alias("size")).agg(F.count("*").alias("c")).where(
-        F.col("c") >= F.floor(F.col("size") * 3 / 100) + 1).select("a_g", "b_g", "a_volume"))
-    slices = pairs.groupBy(F.col("b_g").alias("g")).agg(F.ceil(F.sum("a_volume") / PART_SHINGLES).cast("int").alias("slices"))
+    matrix = held.select("token", "g").distinct().join(groups, "g").select(
+        "token", F.col("g").alias("to"), "least", "most", F.col("volume").alias("to_volume"))
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
+    met = held.join(matrix, "token").where((F.struct("to_volume", "to") > F.struct("volume", "g")) & fits)
+    depth = F.floor(F.least(F.col("n"), F.greatest(F.col("least"), F.floor((F.col("n") * percent + 99) / 100))) * 3 / 100) + 1
+    asks = cut_lineage(met.groupBy("sid", "n", "to", "least").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select(
+        "sid", "n", F.col("to").alias("g")))
+    slices = asks.groupBy("g").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("slices"))
     opened = groups.select("g", "sets").join(slices, "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
         "g", F.coalesce("slices", F.lit(1)).alias("slices"))
     as_member = member.join(opened, "g").select(
         "sid", "g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
-    asks = member.join(pairs, F.col("g") == F.col("a_g")).select("sid", F.col("b_g").alias("g"))
     as_query = asks.join(opened, "g").select(
         "sid", "g", F.pmod(F.xxhash64("sid", "g"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"))
     return as_member.unionByName(as_query).groupBy("sid").agg(F.collect_list(F.struct("g", "slice", "asks")).alias("routes"))
