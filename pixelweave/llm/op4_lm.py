@@ -12,10 +12,9 @@ windows of 2 * HALF positions that overlap by half: each window scores its last
 HALF ids, so every id is scored once and sees HALF to 2 * HALF - 1 ids before it;
 a mask hides later ids and the padding before a text.
 
-What is learnt from the corpus: word counts and subword counts over all training
-documents; attention weights by rounds of distributed gradient steps over every
-``EVERY``-th training document (by hash, so the sample grows with the corpus).
-In a round each shard of bounded volume starts from the common weights, and the
+What is learnt from the corpus, each from all training documents: word counts and
+subword counts; the classes that ids follow; attention weights by rounds of
+distributed gradient steps. In a round each shard of bounded volume starts from the common weights, and the
 shards' weights are averaged on the executors. The driver holds tables of the
 vocabulary's size only.
 
@@ -46,7 +45,7 @@ NAME = "op4_attention_lm"
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HALF, WIDTH = 8, 16             # scored positions of a window; width of embeddings
 SINGLE, CLUSTERS = 80, 16       # ids with a class of their own; classes of the others
-EVERY, ROUNDS, SHARD_IDS = 64, 2, 1_600_000
+EVERY, ROUNDS, SHARD_IDS = 1, 2, 1_600_000     # every training document; rounds; ids of a shard
 FAN_IN = 32                     # shards whose weights a task averages
 FREQUENT = 200_000              # words whose counts are broadcast, at most
 _PATTERN = r" [^ ]+"          # a word and the space before it is one piece
@@ -333,27 +332,34 @@ def _single_classes(count: np.ndarray) -> np.ndarray:
     return np.minimum(class_table(count, np.zeros((len(count), SINGLE + 1)))[0], SINGLE)
 
 
-def _followed(sample: DataFrame, count: np.ndarray) -> np.ndarray:
-    """For every id the classes before it, summed over the sample."""
-    single = sample.sparkSession.sparkContext.broadcast(_single_classes(count))
+def _followed(encoded: DataFrame, count: np.ndarray) -> np.ndarray:
+    """For every id the classes before it, summed over the texts."""
+    single = encoded.sparkSession.sparkContext.broadcast(_single_classes(count))
 
     def run(batches):
-        total = Counter()
+        total = np.zeros(len(single.value) * (SINGLE + 1), np.int64)
         for b in batches:
             for raw in b.column("ids").to_pylist():
                 ids = np.frombuffer(raw, np.int32).astype(np.int64)
-                pair, c = np.unique(ids[1:] * (SINGLE + 1) + single.value[ids[:-1]], return_counts=True)
-                total.update(dict(zip(pair.tolist(), c.tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pair", "c"])
+                np.add.at(total, ids[1:] * (SINGLE + 1) + single.value[ids[:-1]], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "c"])
 
-    got = sample.select("ids").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    got = encoded.select("ids").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(len(count) * (SINGLE + 1))
     out[got["pair"].to_numpy(np.int64)] = got["c"].to_numpy()
     return out.reshape(len(count), SINGLE + 1)
 
 
+def laid_out(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """The texts dealt by the hash of their row number, so that copies spread, and the number of shards."""
+    volume = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
+    shards = max(1, -(-volume // SHARD_IDS))
+    return encoded.repartition(shards, "row").sortWithinPartitions("row"), shards
+
+
 def train(texts: DataFrame, count: np.ndarray, file) -> tuple[Attention, np.ndarray, np.ndarray]:
-    """(weights, class of each id, log share of each id) from every EVERY-th training text."""
+    """(weights, class of each id, log share of each id) from all training texts."""
     spark = texts.sparkSession
 
     def encode(batches):
@@ -362,15 +368,14 @@ def train(texts: DataFrame, count: np.ndarray, file) -> tuple[Attention, np.ndar
             texts = [_words(t) for t in b.column("text").to_pylist()]
             sub.learn(chain.from_iterable(texts))
             out = [sub.ids(sub.numbers(words)).tobytes() for words in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.binary())], names=["row", "ids"])
 
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0).select("text")
-    sample = cut_lineage(some.mapInArrow(encode, "ids binary"))
-    cls, within, share = class_table(count, _followed(sample, count))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "text").where(F.col("row") % EVERY == 0)
+    encoded = cut_lineage(rows.mapInArrow(encode, "row bigint, ids binary"))
+    cls, within, share = class_table(count, _followed(encoded, count))
     model = Attention(len(count), SINGLE + CLUSTERS, share)
-    volume = (sample.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
-    shards = max(1, -(-volume // SHARD_IDS))
-    laid = cut_lineage(sample.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("ids"))
+    laid, shards = laid_out(encoded)
+    laid = cut_lineage(laid)
 
     def mean(batches):
         """The mean of the weights, by ids seen."""

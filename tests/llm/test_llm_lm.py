@@ -54,6 +54,20 @@ def test_few_frequent_words_give_the_same_base(spark, monkeypatch):
     assert {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 6)) for r in op4.score(df).collect()} == a
 
 
+def test_all_training_documents_learn(spark, monkeypatch):
+    data = [(i, f"word{i} the of") for i in range(50)] + [(None, "only here"), (None, "x"), *[(None, "one text of many copies")] * 200]
+    seen, whole = [], op4._followed
+    monkeypatch.setattr(op4, "_followed", lambda encoded, count: seen.append(encoded) or whole(encoded, count))
+    monkeypatch.setattr(op4, "SHARD_IDS", 200)
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = op4.score(df).collect()
+    training = [i for i, _ in data if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(got) == len(data) and seen[0].count() == len(training)
+    laid, shards = op4.laid_out(seen[0])
+    sizes = [len(p) for p in laid.select("ids").rdd.glom().collect()]
+    assert shards > 4 and sum(sizes) == len(training) and max(sizes) < len(training) / 2      # copies don't meet in one shard
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "doc_id bigint, text string")
     got = op4.score(df).collect()
