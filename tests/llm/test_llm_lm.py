@@ -129,6 +129,12 @@ def test_gradients(model):
         assert abs((up - down) / (2 * step) - whole[at]) < 0.02 * abs(whole[at]) + 2e-3, k
 
 
+def test_128_classes():
+    count = np.arange(400, 0, -1)
+    cls = op4.class_table(count, np.zeros((400, op4.SINGLE + 1)))[0]
+    assert op4.SINGLE + op4.CLUSTERS >= 128 and len(set(cls[:111].tolist())) == 111 and cls[399] not in cls[:111]
+
+
 def test_shares_add_up():
     r = np.random.default_rng(6)
     count, follows = r.integers(0, 50, 400), r.integers(0, 3, (400, op4.SINGLE + 1))
