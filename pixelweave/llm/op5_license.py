@@ -2,9 +2,10 @@
 
 The automaton holds every run of words of the templates below. A document is
 streamed through it once, which gives its matching statistics: for each word
-the longest run ending there that some template has. Runs that can't be
-extended to the right and have at least ``MIN_MATCH`` words are the long
-matches. Matches of one template that follow each other, in the document and in
+the longest run ending there that some template has; the suffix links give the
+shorter runs that other places of the templates have. For each place of each
+template, a run that can't be extended there and has at least ``MIN_MATCH`` words
+is a long match. Matches of one template that follow each other, in the document and in
 the template, with gaps of at most ``MAX_GAP`` words are chained; a chain that
 covers at least ``MIN_COVER`` of its template's words is a span of the
 template's label, and its coverage is the span's score. Words that no template
@@ -135,22 +136,33 @@ class Scanner:
         known = sorted({w for s in seqs for w in s} | {w for p in phrases for w in p.encode().split()})
         self.vocabulary = {w: i for i, w in enumerate(known, 1)}
         self.labels, self.sizes = [label for label, _ in templates], [len(s) for s in seqs]
-        self.automaton = SuffixAutomaton([[self.vocabulary[w] for w in s] for s in seqs])
+        self.automaton = a = SuffixAutomaton([[self.vocabulary[w] for w in s] for s in seqs])
+        # of each state: (template, end, word that follows there, length of the run, 0 for the length at hand)
+        self.runs: list[list[tuple[int, int, int, int]]] = []
+        for state in range(len(a.next)):
+            places, s, had, length = [], state, set(), 0
+            while s > 0 and (not length or length >= MIN_MATCH):
+                for t, e in sorted(a.ends[s] - had):
+                    places.append((t, e, self.vocabulary[seqs[t][e]] if e < len(seqs[t]) else -1, length))
+                had, s = a.ends[s], a.link[s]
+                length = a.length[s]
+            self.runs.append(places)
         self.phrases = [([self.vocabulary[w] for w in p.encode().split()], label) for p, label in phrases.items()]
 
     def _matches(self, ids: np.ndarray):
-        """(first, end, state) of the long matches, first to last."""
+        """(first, end, template, template end, start of the longest run at hand) of the long matches, by their end."""
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             if b - a < MIN_MATCH:
                 continue
-            before = (0, 0)
-            for i, here in enumerate(self.automaton.statistics(ids[a:b].tolist()), int(a)):
-                if before[1] >= MIN_MATCH and here[1] <= before[1]:
-                    yield i - before[1], i, before[0]
-                before = here
-            if before[1] >= MIN_MATCH:
-                yield int(b) - before[1], int(b), before[0]
+            part = ids[a:b].tolist()
+            for i, (state, longest) in enumerate(self.automaton.statistics(part), 1):
+                if longest < MIN_MATCH:
+                    continue
+                follows, end = part[i] if i < len(part) else 0, int(a) + i
+                for t, t_end, word, length in self.runs[state]:
+                    if word != follows:
+                        yield end - (length or longest), end, t, t_end, end - longest
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, str, float]]:
         """(first word, end, label, coverage) of the chains that cover enough of a template.
@@ -159,23 +171,22 @@ class Scanner:
         """
         recent: dict[int, deque] = defaultdict(deque)   # per template: (document end, template end, first word, covered)
         out: dict[tuple[int, int], tuple[int, int, str, float]] = {}
-        for first, end, state in self._matches(ids):
-            n = end - first
-            for t, t_end in self.automaton.ends[state]:
-                near = recent[t]
-                while near and near[0][0] < first - MAX_GAP:
-                    near.popleft()
-                start, covered = first, n
-                for d_end, e_end, d_start, c in near:
-                    lap = max(0, d_end - first, e_end - (t_end - n))       # words that both would count
-                    if lap < n and d_end < end and 0 < t_end - e_end and t_end - n - e_end <= MAX_GAP and c + n - lap > covered:
-                        start, covered = d_start, c + n - lap
-                near.append((end, t_end, start, covered))
-                share = min(1.0, covered / self.sizes[t])
-                if share >= MIN_COVER:
-                    old = out.get((t, start))
-                    if old is None or old[3] <= share:
-                        out[t, start] = (start, end, self.labels[t], share)
+        for first, end, t, t_end, earliest in self._matches(ids):
+            n, near = end - first, recent[t]
+            while near and near[0][0] < earliest - MAX_GAP:      # later matches don't start before
+                near.popleft()
+            start, covered = first, n
+            for d_end, e_end, d_start, c in near:
+                lap = max(0, d_end - first, e_end - (t_end - n))       # words that both would count
+                if (lap < n and d_end < end and first - d_end <= MAX_GAP and 0 < t_end - e_end and t_end - n - e_end <= MAX_GAP
+                        and c + n - lap > covered):
+                    start, covered = d_start, c + n - lap
+            near.append((end, t_end, start, covered))
+            share = min(1.0, covered / self.sizes[t])
+            if share >= MIN_COVER:
+                old = out.get((t, start))
+                if old is None or old[3] <= share:
+                    out[t, start] = (start, end, self.labels[t], share)
         return sorted(out.values())
 
     def places(self, ids: np.ndarray) -> list[tuple[int, str]]:

@@ -47,6 +47,60 @@ def test_labels_and_places(spark):
     assert op5.scan(df).count() == len(texts) + 2
 
 
+def brute_spans(templates, words):
+    """Runs of every template by plain loops, each chained to the best of all before it."""
+    out = {}
+    for t, (label, text) in enumerate(templates):
+        own, runs = text.encode().split(), []
+        for i in range(len(words)):
+            for j in range(len(own)):
+                if words[i] == own[j] and (i == 0 or j == 0 or words[i - 1] != own[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                        n += 1
+                    if n >= op5.MIN_MATCH:
+                        runs.append((i + n, j + n, n))
+        chains = []
+        for end, t_end, n in sorted(runs):
+            start, covered = end - n, n
+            for d_end, e_end, d_start, c in chains:
+                lap = max(0, d_end - (end - n), e_end - (t_end - n))
+                near = end - n - d_end <= op5.MAX_GAP and t_end - n - e_end <= op5.MAX_GAP
+                if near and lap < n and d_end < end and e_end < t_end and c + n - lap > covered:
+                    start, covered = d_start, c + n - lap
+            chains.append((end, t_end, start, covered))
+            share = min(1.0, covered / len(own))
+            if share >= op5.MIN_COVER and share >= out.get((t, start), (0, 0, "", 0))[3]:
+                out[t, start] = (start, end, label, share)
+    return sorted(out.values())
+
+
+def test_spans_match_chains_of_each_template():
+    def spans(s, words):
+        return s.spans(np.array([s.vocabulary.get(w, 0) for w in words], np.int32))
+
+    whole = op5.Scanner()
+    words = alnum_words(b"Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International")
+    got = spans(whole, words)
+    assert ("cc-by-sa", 1.0) in {x[2:] for x in got} and got == brute_spans(op5.TEMPLATES, words)
+    r, found = random.Random(8), 0
+    for k in range(150):
+        if k % 3:
+            templates = [(str(i), " ".join(r.choice("abcd") for _ in range(r.randint(3, 14)))) for i in range(5)]
+            s = op5.Scanner(templates, {})
+        else:
+            templates, s = op5.TEMPLATES, whole
+        words = []
+        for _ in range(8):                                   # mixed pieces of the templates
+            w = r.choice(templates)[1].encode().split()
+            a = r.randrange(len(w))
+            words += w[a if r.random() < 0.5 else 0:a + r.randint(1, 12)] + [b"x"] * r.choice([0, 0, 1, 9])
+        got = spans(s, words)
+        found += len(got)
+        assert got == brute_spans(templates, words)
+    assert found > 100
+
+
 def test_repeated_line_is_linear():
     s = op5.Scanner()
     ids = np.array([s.vocabulary[w] for w in b"licensed under cc by nc 4 0".split()] * 20_000, np.int32)
