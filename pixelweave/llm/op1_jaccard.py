@@ -41,6 +41,7 @@ import zlib
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -314,8 +315,8 @@ def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["u", "v"])
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def _named(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, fp) of every row, and (fp, first, root) of every set with words: its smallest id and its class."""
     described = cut_lineage(_described(docs, k))
     counts = _frequencies(described.where("sketch is not null").select("sketch"))
     rows = described.where("sketch is null").select("doc_id", "n", "fp")
@@ -328,7 +329,12 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     needed = sets.join(_routes(tokens, percent), "sid").select("first", "fp", "sid", "routes")
     links = cut_lineage(_links(docs, needed, k, percent))
     root = solve_edges(links.select(F.lit(0).alias("scene_id"), "u", "v")).select(F.col("u").alias("sid"), F.col("v").alias("root"))
-    named = sets.join(root, "sid", "left").select("fp", "first", F.coalesce("root", "sid").alias("root"))
+    return rows, sets.join(root, "sid", "left").select("fp", "first", F.coalesce("root", "sid").alias("root"))
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    rows, named = _named(docs, k, percent)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -336,11 +342,24 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without those of whose class a smaller id stays.
-    Rows that repeat an id and text stay once."""
-    gone = classes(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One row of each class, all columns: of the smallest id, a null id only if the class has no other.
+
+    Rows are judged by id and set, so rows that share an id, or have none, don't
+    go with each other. Texts without words stay, once for each id and text.
+    """
+    _, named = _named(docs, k, percent)
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("kept")).select(
+        F.col("kept.first").alias("__first"), F.col("kept.fp").alias("__kept"))
+
+    @F.pandas_udf("binary")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        memo = WordHash()
+        return pd.Series([_fingerprint(shingles(t, k, memo)) for t in texts], dtype=object)
+
+    wordless = F.col("__fp") == F.lit(_fingerprint(np.zeros(0, np.uint64)))
+    marked = docs.withColumn("__fp", fingerprints(as_bytes())).withColumn("__row", F.when(wordless, F.struct("doc_id", "text")))
+    found = marked.join(kept, (F.col("__fp") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left")
+    return found.where(F.col("__kept").isNotNull() | wordless).dropDuplicates(["__fp", "__row"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,23 @@ def test_one_of_each_and_empty(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert op1.classes(df.limit(0), 3, 90).count() == 0
     assert op1.classes(df.where("text is null"), 3, 90).count() == 1
+
+
+def test_one_of_each_decides_by_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, long), (None, long + " end"), (None, "a text of its own"), (None, "one more text of its own"),
+            (7, long + " more"), (7, "another text under seven"),                       # one id, two texts
+            (None, other), (None, other + " end"), (None, other),                        # a class of null ids only
+            (5, third), (5, third), (5, third + " end"),                                 # a class of one id
+            (None, None), (None, None), (8, ""), (8, " "), (8, "")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, first string")
+    kept = op1.one_of_each(df, 3, 90)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sure = [(1, long), (None, "a text of its own"), (None, "one more text of its own"), (7, "another text under seven"),
+            (None, None), (8, ""), (8, " ")]
+    ours = [g for g in got if g not in sure]
+    assert sorted((g for g in got if g in sure), key=str) == sorted(sure, key=str)
+    assert len(ours) == 2 and {(d, t[:2]) for d, t in ours} == {(None, "v0"), (5, "u0")}
