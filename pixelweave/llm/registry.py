@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import (op10_topk, op1_jaccard, op2_passages, op3_mix, op4_lm, op5_license, op6_shard, op7_warc, op8_quality, op9_decontaminate)
+from . import (op10_topk, op11_spelling, op12_huffman, op13_centroids, op1_jaccard, op2_passages, op3_mix, op4_lm, op5_license, op6_shard, op7_warc, op8_quality, op9_decontaminate)
 
-_OPERATORS = (op1_jaccard, op2_passages, op3_mix, op4_lm, op5_license, op6_shard, op7_warc, op8_quality, op9_decontaminate, op10_topk)
+_OPERATORS = (op1_jaccard, op2_passages, op3_mix, op4_lm, op5_license, op6_shard, op7_warc, op8_quality, op9_decontaminate, op10_topk,
+              op11_spelling, op12_huffman, op13_centroids)
 
 
 def queries() -> dict:
