@@ -6,7 +6,9 @@ words that are one edit apart have reduced words at most one edit apart:
 * Generate: every word gives the keys of its reduced word and of the full
   one-edit neighbourhood of it (each deletion, replacement and insertion of a
   symbol). Keys are polynomial hashes, computed for all words of one length at
-  once from prefix sums; a word gives a key once.
+  once from prefix sums; a word gives a key once. A bitmap of the reduced words
+  that exist, of a fixed size, drops most keys that meet nothing before they
+  are shuffled; it only saves work, as the join decides.
 * Join: keys meet the reduced words of the vocabulary, one row per word.
 * Verify: the meeting words are compared as written, by edit distance.
 
@@ -43,6 +45,8 @@ RATIO = 10
 SYMBOLS = 8
 HELD = 200_000        # words counted in a task before they are passed on
 CELLS = 1 << 20       # keys made at once
+BITMAP = 27           # 2**27 bits, 16 MB
+CHUNK = 16            # made in chunks of 2**16 bits
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -118,8 +122,9 @@ def neighbourhood(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[:, 0], every
 
 
-def _keys(vocabulary: DataFrame, around: bool) -> DataFrame:
-    """(key, id) of the reduced words, or of them and their neighbourhoods."""
+def _keys(vocabulary: DataFrame, around=None) -> DataFrame:
+    """(key, id) of the reduced words; with the broadcast bitmap ``around`` also
+    of their neighbourhoods, as far as the bitmap has them."""
     def run(batches):
         for batch in batches:
             texts = batch.column("word").to_pylist()
@@ -132,24 +137,55 @@ def _keys(vocabulary: DataFrame, around: bool) -> DataFrame:
                     some = rows[at:at + step]
                     points = np.frombuffer("".join(texts[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), -1)
                     own, every = neighbourhood(reduced(points))
-                    if around:
-                        every.sort(1)
-                        new = np.concatenate([np.ones((len(some), 1), bool), every[:, 1:] != every[:, :-1]], 1)
-                        row, col = np.nonzero(new)
-                        key, who = every[row, col], ids[some][row]
-                    else:
-                        key, who = own, ids[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(who)], names=["key", "id"])
+                    key, who = mix(own), ids[some]
+                    if around is not None:
+                        every = mix(every)
+                        bit = every & np.uint64((1 << BITMAP) - 1)
+                        row, col = np.nonzero(around.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                        key = every[row, col]
+                        order = np.lexsort((key, row))
+                        row, key = row[order], key[order]
+                        new = np.ones(len(key), bool)
+                        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                        key, who = key[new], who[row[new]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who)], names=["key", "id"])
 
     return vocabulary.select("id", "word").mapInArrow(run, "key bigint, id bigint")
 
 
-def near_pairs(vocabulary: DataFrame) -> DataFrame:
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which low ends of keys exist; a task makes whole chunks, the driver puts at most 2**(BITMAP - CHUNK) together."""
+    def run(batches):
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            at = np.sort(at)
+            for part in np.split(at, np.flatnonzero(np.diff(at >> CHUNK)) + 1):
+                if len(part):
+                    chunks.setdefault(int(part[0] >> CHUNK), np.zeros(1 << CHUNK, bool))[part & ((1 << CHUNK) - 1)] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(chunks), pa.int32()), pa.array([np.packbits(c, bitorder="little").tobytes() for c in chunks.values()], pa.binary())],
+            names=["chunk", "bits"])
+
+    places = keys.select(F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1)).alias("at"))
+    out = np.zeros((1 << BITMAP - CHUNK, 1 << CHUNK - 3), np.uint8)
+    for r in places.repartition(F.shiftright("at", CHUNK)).mapInArrow(run, "chunk int, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def bitmap(vocabulary: DataFrame):
+    """The broadcast bitmap of the vocabulary's reduced words, 2**BITMAP bits."""
+    return vocabulary.sparkSession.sparkContext.broadcast(_bitmap(_keys(vocabulary)))
+
+
+def near_pairs(vocabulary: DataFrame, exist) -> DataFrame:
     """(id, other, n): every word of ``vocabulary`` (id, word, n) with each word
-    that is exactly one insertion, deletion or replacement away."""
-    reduced_words = _keys(vocabulary, False).join(vocabulary, "id").select(
+    that is exactly one insertion, deletion or replacement away. ``exist`` is
+    the vocabulary's ``bitmap``."""
+    reduced_words = _keys(vocabulary).join(vocabulary, "id").select(
         "key", F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = _keys(vocabulary, True).join(reduced_words.hint("merge"), "key").where(F.col("id") != F.col("other_id"))
+    met = _keys(vocabulary, exist).join(reduced_words.hint("merge"), "key").where(F.col("id") != F.col("other_id"))
     both = met.join(vocabulary.select("id", "word").hint("merge"), "id")
     return both.where(F.levenshtein("word", "other", 1) == 1).select("id", "other", F.col("other_n").alias("n"))
 
@@ -175,13 +211,15 @@ def _share(n: Column, other: Column) -> Column:
 def variants(docs: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word."""
     vocabulary = cut_lineage(words(docs).withColumn("id", F.monotonically_increasing_id()))
-    best = near_pairs(vocabulary).groupBy("id").agg(
+    exist = bitmap(vocabulary)
+    best = near_pairs(vocabulary, exist).groupBy("id").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("m"), F.col("other").alias("w"))).alias("b"))
     other_n = -F.col("b.m")
     near = cut_lineage(vocabulary.join(best.hint("merge"), "id", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(_share(F.col("n"), other_n), F.col("b.w")).alias("form"),
         F.when(_share(F.col("n"), other_n), other_n).alias("form_n")))
+    exist.destroy()
     drop_tables(vocabulary)
     ends = roots(near.where("form is not null"))
     return near.join(ends.hint("merge"), "word", "left").select(
