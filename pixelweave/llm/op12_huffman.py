@@ -18,8 +18,8 @@ rows, and one document is read from its checkpoint without those before it.
 The code book and the decoding table are bounded by the vocabulary.
 
 Tokenising is exact by cutting texts where the vocabulary's own split always
-cuts: before a space or line feed between two visible Latin characters. The
-pieces are remembered by each worker up to ``MEMORY`` pieces.
+cuts: before a space or line feed between two visible Latin characters. Each
+worker remembers the ids of up to ``MEMORY`` words.
 
 Defined results: a null text is empty and has only the end id. Null ids come
 after all others; rows that repeat an id are ordered by length, checksum, then
@@ -34,6 +34,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,31 +48,76 @@ END = 2
 LONGEST = 16
 BLOCK_IDS = 1 << 16
 EVERY = 128
-MEMORY = 500_000
+MEMORY = 800_000
 _VISIBLE = "[!-~¡-ɏ]"      # no white space among them
 _CUT = re.compile(f"(?<={_VISIBLE})(?=[ \n]{_VISIBLE})")
+_WORD = re.compile(f"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL).fullmatch
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!,.:;?]*)").fullmatch
+_LINES = re.compile(f"{_VISIBLE}(?:[^\n]*{_VISIBLE})?(?:\n{_VISIBLE}(?:[^\n]*{_VISIBLE})?)*").fullmatch
 _encoders: dict[str, _Encoder] = {}
 
 
-class _Encoder(dict):
-    """Ids of text pieces, as little-endian bytes, remembered up to ``MEMORY`` pieces."""
+class _Words(dict):
+    """Ids of words after a space or line feed, as little-endian bytes,
+    remembered up to ``MEMORY`` words; None for a word that doesn't begin and
+    end visibly, as its ids depend on what stands around it."""
 
-    def __init__(self, path: str):
+    def __init__(self, encoder: _Encoder, lead: str):
         super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes | None:
+        plain = _LETTERS(word)
+        if plain and plain[2]:
+            ids = self[plain[1]] + self.encoder.piece(plain[2])
+        elif plain:
+            ids = self.encoder.after(self.lead, word)
+        elif "\n" in word and _LINES(word):
+            first, *lines = word.split("\n")
+            return self[first] + b"".join(map(self.encoder.lines.__getitem__, lines))
+        elif _WORD(word):
+            ids = self.encoder.whole(self.lead + word)
+        else:
+            return None
+        if len(self) < MEMORY and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+class _Encoder:
+    """The vocabulary's ids of texts, with remembered words."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(id_type(self.tokenizer.get_vocab_size()))
+        self.words, self.lines = _Words(self, " "), _Words(self, "\n")
+        # how the vocabulary writes letters and spaces
+        signs = [chr(c) for c in range(0x21, 0x100) if _LETTERS(chr(c))]
+        self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *signs]})
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) < MEMORY and len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that the vocabulary's split leaves in one piece."""
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(text.translate(self.written))])
+
+    def after(self, lead: str, letters: str) -> bytes:
+        """Ids of letters after a space, which joins them, or a line feed, which doesn't."""
+        return self.piece(" " + letters) if lead == " " else self.piece(lead) + self.piece(letters)
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CUT.split(text))) if text else b""
+        first, *rest = text.split(" ")
+        ids = list(map(self.words.__getitem__, rest))
+        if None in ids or not (_LINES(first) if first else not rest):
+            return b"".join(map(self.whole, _CUT.split(text))) if text else b""
+        return self.whole(first) + b"".join(ids)
 
 
 def id_type(vocabulary: int) -> str:
