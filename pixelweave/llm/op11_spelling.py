@@ -42,7 +42,7 @@ NAME = "op11_spelling_forms"
 LEAST = 7             # code points of a word
 SLIP = 31             # one run of this many loses a code point
 RATIO = 10
-SYMBOLS = 8
+SYMBOLS = 12
 HELD = 200_000        # words counted in a task before they are passed on
 CELLS = 1 << 20       # keys made at once
 BITMAP = 27           # 2**27 bits, 16 MB
