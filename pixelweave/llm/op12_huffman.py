@@ -35,6 +35,7 @@ import re
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,21 @@ NAME = "op12_huffman_ids"
 END = 2
 LONGEST = 16
 BLOCK_IDS = 1 << 16
-EVERY = 128
-MEMORY = 800_000
+EVERY = 64
+MEMORY = 500_000
 _VISIBLE = "[!-~¡-ɏ]"      # no white space among them
 _CUT = re.compile(f"(?<={_VISIBLE})(?=[ \n]{_VISIBLE})")
 _WORD = re.compile(f"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL).fullmatch
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!,.:;?]*)").fullmatch
 _LINES = re.compile(f"{_VISIBLE}(?:[^\n]*{_VISIBLE})?(?:\n{_VISIBLE}(?:[^\n]*{_VISIBLE})?)*").fullmatch
+_U5, _U8, _U31, _U255 = (np.uint64(v) for v in (5, 8, 31, 255))
 _encoders: dict[str, _Encoder] = {}
 
 
 class _Words(dict):
-    """Ids of words after a space or line feed, as little-endian bytes,
-    remembered up to ``MEMORY`` words; None for a word that doesn't begin and
-    end visibly, as its ids depend on what stands around it."""
+    """Ids of words after a space or line feed, as little-endian bytes; None for
+    a word that doesn't begin and end visibly, as its ids depend on what stands
+    around it. Up to ``MEMORY`` words are remembered."""
 
     def __init__(self, encoder: _Encoder, lead: str):
         super().__init__()
@@ -69,7 +71,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes | None:
         plain = _LETTERS(word)
         if plain and plain[2]:
-            ids = self[plain[1]] + self.encoder.piece(plain[2])
+            ids = self[plain[1]] + self.encoder.marks(plain[2])
         elif plain:
             ids = self.encoder.after(self.lead, word)
         elif "\n" in word and _LINES(word):
@@ -93,7 +95,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(id_type(self.tokenizer.get_vocab_size()))
-        self.words, self.lines = _Words(self, " "), _Words(self, "\n")
+        self.words, self.lines, self.marks = _Words(self, " "), _Words(self, "\n"), lru_cache(4096)(self.piece)
         # how the vocabulary writes letters and spaces
         signs = [chr(c) for c in range(0x21, 0x100) if _LETTERS(chr(c))]
         self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *signs]})
@@ -138,7 +140,7 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def run(batches):
         encoder = _encoder(path)
         last = np.array([end], encoder.kind).tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             ids = [encoder.of((t or b"").decode("utf-8", "replace")) + last for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(i) // encoder.kind.itemsize for i in ids], pa.int64()),
@@ -153,8 +155,8 @@ def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                seen = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+            for at in range(0, batch.num_rows, 1000):
+                seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(at, 1000).to_pylist()), kind))
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[:len(seen)] += seen
@@ -211,10 +213,8 @@ class Code:
         first = np.cumsum(span) - span
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = first >> (self.bits - lengths[order].astype(np.int64))
-        self.table_id = np.zeros(1 << self.bits, np.uint32)
-        self.table_length = np.ones(1 << self.bits, np.int64)
-        self.table_id[:span.sum()] = np.repeat(order, span)
-        self.table_length[:span.sum()] = np.repeat(lengths[order], span)
+        self.table = np.ones(1 << self.bits, np.uint64)                  # id << 8 | length
+        self.table[:span.sum()] = np.repeat((order << 8 | lengths[order]).astype(np.uint64), span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit stream, in 32-bit words, and the bit offset of every ``EVERY``-th id."""
@@ -232,13 +232,13 @@ class Code:
         words = np.frombuffer(stream, ">u4").astype(np.uint64)
         pair = words << np.uint64(32)
         pair[:-1] |= words[1:]
-        at = offsets.astype(np.int64)
+        at = offsets.astype(np.uint64)
         out = np.zeros((EVERY, len(at)), np.uint32)
-        mask, spare, last = np.uint64((1 << self.bits) - 1), 64 - self.bits, len(pair) - 1
+        spare, last = np.uint64(64 - self.bits), np.uint64(len(pair) - 1)
         for step in range(min(EVERY, n)):
-            look = (pair[np.minimum(at >> 5, last)] >> (spare - (at & 31)).astype(np.uint64)) & mask
-            out[step] = self.table_id[look]
-            at = at + self.table_length[look]
+            found = self.table[pair[np.minimum(at >> _U5, last)] << (at & _U31) >> spare]
+            out[step] = found >> _U8
+            at += found & _U255
         return out.T.ravel()[:n]
 
 
