@@ -82,11 +82,16 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 2.0) ->
     model = Ranker(middle, np.where(scale > 1e-9, scale, 1), np.zeros(size), 0.0)
     z = np.clip((x - model.middle) / model.scale, -8, 8)
     r = np.random.default_rng(0)
-    d = z[r.choice(good, pairs)] - z[r.choice(bad, pairs)]
+    ahead, behind = r.choice(good, pairs), r.choice(bad, pairs)
     w = np.zeros(size)
     for _ in range(12):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))      # probability of the wrong order
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(size), d.T @ p - ridge * w)
+        curve, slope = ridge * np.eye(size), -ridge * w
+        for at in range(0, pairs, 4096):
+            d = z[ahead[at:at + 4096]] - z[behind[at:at + 4096]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))      # probability of the wrong order
+            curve += (d * (p * (1 - p))[:, None]).T @ d
+            slope += d.T @ p
+        step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -108,16 +113,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranker:
     # at most 2 * rows ids, so they can be broadcast
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).limit(2 * rows)
     chosen = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "quality")
-    chosen = chosen.limit(4 * rows)      # ids may repeat
 
     def measure(batches):
         for b in batches:
             x = [measures(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("quality")], names=["x", "y"])
 
-    got = chosen.mapInArrow(measure, "x array<double>, y int").toPandas().sort_values("x", key=lambda c: c.map(tuple))
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(measures(None)))
-    return fit(x, got["y"].to_numpy())
+    # ids may repeat; the numbers of a bounded count of rows come back
+    got = chosen.mapInArrow(measure, "x array<double>, y int").limit(4 * rows).toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(measures(None)))
+    y = got.column("y").to_numpy()
+    order = np.lexsort((y, *x.T[::-1]))
+    return fit(x[order], y[order])
 
 
 def scored(docs: DataFrame, model: Ranker) -> DataFrame:
