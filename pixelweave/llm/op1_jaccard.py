@@ -44,10 +44,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.components import solve_edges
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_tables
 from .text import WordHash, as_bytes, gram_hashes, spaced_words
 
 NAME = "op1_jaccard_groups"
@@ -69,9 +69,9 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp, sketch): a row per document, and one with the frequency sketch per task."""
+    """(doc_id, hash, n, fp, sketch): a row per document, and one with the frequency sketch per task."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n bigint, fp binary, sketch binary"
+    schema = f"doc_id {kind}, hash bigint, n bigint, fp binary, sketch binary"
 
     def run(batches):
         memo, sketch, ids = WordHash(), np.zeros(SKETCH, np.uint32), None
@@ -83,14 +83,18 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 fp.append(_fingerprint(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.binary())],
-                names=["doc_id", "n", "fp", "sketch"])
+                [b.column("doc_id"), b.column("hash"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.nulls(len(n), pa.binary())],
+                names=["doc_id", "hash", "n", "fp", "sketch"])
         if ids is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_packed(sketch)], pa.binary())],
-                names=["doc_id", "n", "fp", "sketch"])
+                [pa.nulls(1, ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_packed(sketch)], pa.binary())],
+                names=["doc_id", "hash", "n", "fp", "sketch"])
 
-    return docs.select("doc_id", as_bytes().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", _text_hash().alias("hash"), as_bytes().alias("text")).mapInArrow(run, schema)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(as_bytes())
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -124,10 +128,12 @@ def _depth(n):
     return n * 3 // 100 + 1
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(fp, tokens) of every document with words."""
-    rank = np.minimum(counts, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)      # SKETCH numbers
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
+
+
+def _signatures(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """(fp, tokens) of every document with words; ``shared`` has the broadcast ranks, SKETCH numbers."""
 
     def run(batches):
         memo, rank = WordHash(), shared.value
@@ -157,25 +163,25 @@ def _routes(tokens: DataFrame, percent: int) -> DataFrame:
     best = tokens.groupBy("sid", "n", "pivot").agg(F.count("*").alias("c")).groupBy("sid", "n").agg(
         F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
     parts = best.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count("*") / PART_SETS)).alias("parts"))
-    member = cut_lineage(best.join(parts, "pivot").select(
+    member = cut_lineage(best.join(parts.hint("merge"), "pivot").select(
         "sid", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("sid"), "parts")).alias("g")))
     groups = cut_lineage(member.groupBy("g").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"), F.sum("n").alias("volume")))
-    held = cut_lineage(tokens.select("token", "sid").join(member.join(groups.select("g", "volume"), "g"), "sid"))
+    held = cut_lineage(tokens.select("token", "sid").join(member.join(groups.select("g", "volume").hint("merge"), "g").hint("merge"), "sid"))
     # the token-group matrix
-    matrix = held.select("token", "g").distinct().join(groups, "g").select(
+    matrix = held.select("token", "g").distinct().join(groups.hint("merge"), "g").select(
         "token", F.col("g").alias("to"), "least", "most", F.col("volume").alias("to_volume"))
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    met = held.join(matrix, "token").where((F.struct("to_volume", "to") > F.struct("volume", "g")) & fits)
+    met = held.join(matrix.hint("merge"), "token").where((F.struct("to_volume", "to") > F.struct("volume", "g")) & fits)
     depth = F.floor(F.least(F.col("n"), F.greatest(F.col("least"), F.floor((F.col("n") * percent + 99) / 100))) * 3 / 100) + 1
     asks = cut_lineage(met.groupBy("sid", "n", "to", "least").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select(
         "sid", "n", F.col("to").alias("g")))
     slices = asks.groupBy("g").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("slices"))
-    opened = groups.select("g", "sets").join(slices, "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
+    opened = groups.select("g", "sets").join(slices.hint("merge"), "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
         "g", F.coalesce("slices", F.lit(1)).alias("slices"))
-    as_member = member.join(opened, "g").select(
+    as_member = member.join(opened.hint("merge"), "g").select(
         "sid", "g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
-    as_query = asks.join(opened, "g").select(
+    as_query = asks.join(opened.hint("merge"), "g").select(
         "sid", "g", F.pmod(F.xxhash64("sid", "g"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"))
     return as_member.unionByName(as_query).groupBy("sid").agg(F.collect_list(F.struct("g", "slice", "asks")).alias("routes"))
 
@@ -255,9 +261,12 @@ def _forest(members, queries, percent: int, among: bool):
 
 
 def _links(docs: DataFrame, needed: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v) links of set ids; ``needed`` has (first, fp, sid, routes)."""
-    pairs = docs.select("doc_id", as_bytes().alias("text")).join(
-        needed, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "fp", "sid", "routes")
+    """(u, v) links of set ids; ``needed`` has (first, text, fp, sid, routes): a
+    set comes from a row with its first id and that text hash, so that rows
+    which share an id, or have none, meet only their own set."""
+    rows = docs.select("doc_id", _text_hash().alias("_hash"), as_bytes().alias("_text"))
+    pairs = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("_hash") == F.col("text"))).select(
+        F.col("_text").alias("text"), "fp", "sid", "routes")
 
     def send(batches):
         memo = WordHash()
@@ -265,7 +274,7 @@ def _links(docs: DataFrame, needed: DataFrame, k: int, percent: int) -> DataFram
             out = {c: [] for c in ("g", "slice", "asks", "sid", "tokens")}
             for t, fp, sid, routes in zip(*(b.column(c).to_pylist() for c in ("text", "fp", "sid", "routes")), strict=True):
                 s = shingles(t, k, memo)
-                if _fingerprint(s) != fp:      # another text with the same id
+                if _fingerprint(s) != fp:      # another text with the same id and hash
                     continue
                 for r in routes:
                     for c in ("g", "slice", "asks"):
@@ -319,24 +328,29 @@ def _named(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     """(doc_id, n, fp) of every row, and (fp, first, root) of every set with words: its smallest id and its class."""
     described = cut_lineage(_described(docs, k))
     counts = _frequencies(described.where("sketch is not null").select("sketch"))
-    rows = described.where("sketch is null").select("doc_id", "n", "fp")
-    sets = cut_lineage(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    rows = described.where("sketch is null").select("doc_id", "hash", "n", "fp")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    sets = cut_lineage(rows.where("n > 0").groupBy("fp").agg(one.alias("one"), F.max("n").alias("n"))
+                       .select("fp", F.col("one.doc_id").alias("first"), F.col("one.hash").alias("text"), "n")
                        .withColumn("sid", F.monotonically_increasing_id()))
-    signed = _signatures(docs, k, percent, counts).groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    each = signed.join(sets, "fp").select("sid", "n", F.explode("tokens").alias("token"))
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
+    signed = _signatures(docs, k, percent, shared).groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    each = signed.join(sets.hint("merge"), "fp").select("sid", "n", F.explode("tokens").alias("token"))
     many = each.groupBy("token").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    tokens = cut_lineage(each.join(many, "token").select("token", "sid", "n", "pivot"))
-    needed = sets.join(_routes(tokens, percent), "sid").select("first", "fp", "sid", "routes")
+    tokens = cut_lineage(each.join(many.hint("merge"), "token").select("token", "sid", "n", "pivot"))
+    shared.destroy()
+    needed = sets.join(_routes(tokens, percent).hint("merge"), "sid").select("first", "text", "fp", "sid", "routes")
     links = cut_lineage(_links(docs, needed, k, percent))
+    drop_tables(tokens)
     root = solve_edges(links.select(F.lit(0).alias("scene_id"), "u", "v")).select(F.col("u").alias("sid"), F.col("v").alias("root"))
-    return rows, sets.join(root, "sid", "left").select("fp", "first", F.coalesce("root", "sid").alias("root"))
+    return rows, sets.join(root.hint("merge"), "sid", "left").select("fp", "first", F.coalesce("root", "sid").alias("root"))
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     rows, named = _named(docs, k, percent)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select(
+    return rows.join(named.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -358,7 +372,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     wordless = F.col("__fp") == F.lit(_fingerprint(np.zeros(0, np.uint64)))
     marked = docs.withColumn("__fp", fingerprints(as_bytes())).withColumn("__row", F.when(wordless, F.struct("doc_id", "text")))
-    found = marked.join(kept, (F.col("__fp") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left")
+    found = marked.join(kept.hint("merge"), (F.col("__fp") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left")
     return found.where(F.col("__kept").isNotNull() | wordless).dropDuplicates(["__fp", "__row"]).select(docs.columns)
 
 

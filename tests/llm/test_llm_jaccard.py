@@ -8,6 +8,11 @@ from pixelweave.llm import op1_jaccard as op1
 
 
 def brute(rows, k, percent):
+    return sorted(by_row(rows, k, percent), key=str)
+
+
+def by_row(rows, k, percent):
+    """(id, shingles, component) of each row, in order."""
     def grams(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -29,7 +34,7 @@ def brute(rows, k, percent):
     for i, (d, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
         out.append((d, len(sets[i]), min(ids, default=None) if sets[i] else d))
-    return sorted(out, key=str)
+    return out
 
 
 def corpus(seed, n=260):
@@ -73,7 +78,9 @@ def test_one_of_each_and_empty(spark):
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, component_id string")
     kept = op1.one_of_each(df, 3, 90)
     assert kept.columns == df.columns
-    want = {(d, t) for (d, t) in rows if d not in {x for x, _, c in brute(rows, 3, 90) if x != c}}
+    # a row goes if its own set has a row of a smaller id, whatever other rows of its id do
+    want = {row for row, (d, n, c) in zip(rows, by_row(rows, 3, 90), strict=True) if not n or d == c}
+    assert (None, "only null id here") in want
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert op1.classes(df.limit(0), 3, 90).count() == 0
     assert op1.classes(df.where("text is null"), 3, 90).count() == 1
@@ -97,3 +104,16 @@ def test_one_of_each_decides_by_row(spark):
     ours = [g for g in got if g not in sure]
     assert sorted((g for g in got if g in sure), key=str) == sorted(sure, key=str)
     assert len(ours) == 2 and {(d, t[:2]) for d, t in ours} == {(None, "v0"), (5, "u0")}
+
+
+@pytest.mark.parametrize("same", [None, 3])
+def test_rows_of_one_id(spark, same):
+    # every row has the same id or none: a set meets its own rows only
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghij") * 3 for _ in range(30)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:100]]
+    rows = [(same, t) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op1.classes(df, 3, 90).collect()]
+    assert sorted(got, key=str) == brute(rows, 3, 90)
+    assert op1.one_of_each(df, 3, 90).count() == 300
