@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import features as ft
+from ..operators import features as ft, nearest
 from ..operators.stats import top_per_group
 from ..session import cut_lineage
 from . import fixtures as fx
@@ -203,7 +203,7 @@ kd AS (SELECT q.vec_id, t.vec_id AS tk, t.label, list_distance(q.feature, t.feat
 def _knn(spark, sf, k):
     e = ft.split_80_20(fx.embeddings(spark, sf), "vec_id")
     train, val = e.where(F.col("part") == "train"), e.where(F.col("part") == "val")
-    return ft.knn_classify(val, train, "vec_id", "feature", "label", k, block_rows=128)
+    return nearest.knn_classify(val, train, "vec_id", "feature", "label", k, block_rows=128)
 
 
 @query("knn_classify", fx.with_(fx.EMB, _PART) + "SELECT vec_id, CAST(arg_min(label, d) AS INT) AS prediction FROM kd GROUP BY vec_id")

@@ -45,3 +45,4 @@ PERIMETER_WEIGHTS = {
 # --- fixed values: clusters ------------------------------------------------
 COVERAGE_BOUNDS = (0.01, 0.7)
 COVERAGE_EXTREME = 0.95
+KMEANS_STARTS = 5

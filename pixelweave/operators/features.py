@@ -154,16 +154,21 @@ def kmeans_iterate(df: DataFrame, feature: str, key: str, k: int = 2, iters: int
 
 
 def kmeans_fit(df: DataFrame, feature: str, k: int, seed: int = 0, max_iter: int = 100,
-               normalize: bool = False, sample: tuple[str, int] | None = None):
-    """Fitted k-means model and the labelled rows (column ``cluster``).
+               normalize: bool = False, sample: tuple[str, int] | None = None, starts: int = fv.KMEANS_STARTS):
+    """Fitted k-means model and the labelled rows (column ``cluster``, NULL
+    without a vector): of ``starts`` fits with k-means|| seeding the one with
+    the least sum of squared distances, the earlier one on ties.
 
     ``sample=(key, n)`` fits on a hashed sample and labels all rows.
     """
     f = vec.l2_normalize(F.col(feature)) if normalize else F.col(feature).cast("array<double>")
-    data = df.withColumn("_v", array_to_vector(f))
-    fit_on = sample_rows(df, *sample).withColumn("_v", array_to_vector(f)) if sample else data
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(fit_on)
-    return model, model.transform(data).drop("_v")
+    some = df.where(F.col(feature).isNotNull())
+    data = some.withColumn("_v", array_to_vector(f))
+    fit_on = sample_rows(some, *sample).withColumn("_v", array_to_vector(f)) if sample else data
+    models = [KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(fit_on) for s in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
+    none = df.where(F.col(feature).isNull()).withColumn("cluster", F.lit(None).cast("int"))
+    return model, model.transform(data).drop("_v").unionByName(none)
 
 
 def cluster_counts(labels: DataFrame, label: str, k: int) -> DataFrame:
@@ -173,43 +178,97 @@ def cluster_counts(labels: DataFrame, label: str, k: int) -> DataFrame:
     return ids.join(n, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def scene_centers(df: DataFrame, feature: str, key: str, k: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """(keys, cluster, center): the k rows of lowest key hash of each group, as start centres."""
-    some = df.where(F.col(feature).isNotNull()).select(*keys, key, F.col(feature).cast("array<double>").alias("center"))
-    return top_per_group(some, keys, [hash52(F.col(key), seed), F.col(key)], k, "_r").select(
-        *keys, (F.col("_r") - 1).cast("int").alias("cluster"), "center")
+def _squared(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _starts(keys: Sequence[str]) -> list[str]:
+    return [*keys, "start"]
+
+
+def scene_centers(df: DataFrame, feature: str, key: str, k: int, keys: Sequence[str], seed: int = 0, starts: int = 1) -> DataFrame:
+    """(keys, start, cluster, center): start centres of each group, by D-squared
+    sampling. The first of a start is the row of lowest key hash; each next one
+    is a row drawn with a chance in proportion to its squared distance from the
+    centres so far: the least of -ln(u) / d2, with u from the key's hash. A draw
+    is one aggregation for all groups and starts. A group with fewer distinct
+    rows has fewer centres."""
+    some = cut_lineage(df.where(F.col(feature).isNotNull()).select(*keys, F.col(key).alias("_k"), F.col(feature).cast("array<double>").alias("center")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))
+
+    def uniform(step: int) -> Column:
+        text = F.concat_ws(":", F.col("_k").cast("string"), F.lit(str(seed)), F.col("start").cast("string"), F.lit(str(step)))
+        return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    order = F.when(F.col("start") == 0, hash52(F.col("_k"), seed).cast("double")).otherwise(uniform(0))
+    first = some.withColumn("start", every).groupBy(*_starts(keys)).agg(F.min_by("center", F.struct(order, "_k")).alias("center"))
+    held = cut_lineage(first.select(*_starts(keys), F.lit(0).alias("cluster"), "center"))
+    for step in range(1, k):
+        packed = held.groupBy(*_starts(keys)).agg(F.collect_list("center").alias("_c"))      # at most k centres
+        d2 = F.array_min(F.transform("_c", lambda c: _squared(c, F.col("center"))))
+        drawn = some.join(packed, list(keys)).withColumn("_d", d2).where("_d > 0").groupBy(*_starts(keys)).agg(F.min_by("center", F.struct(-F.log(uniform(step)) / F.col("_d"), "_k")).alias("center"))
+        held = cut_lineage(held.unionByName(drawn.select(*_starts(keys), F.lit(step).alias("cluster"), "center")), held)
+    return held
+
+
+def _nearest_of(centers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The centres of each group as one array of clusters x dimensions."""
+    return centers.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_c"))
+
+
+def _gaps(f: Column, packed) -> Column:
+    return F.array_min(F.transform(packed, lambda c: F.struct(_squared(c["center"], f).alias("d"), c["cluster"].alias("cluster"))))
 
 
 def assign_scene_clusters(df: DataFrame, feature: str, centers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nearest of the group's own centres, lowest id on ties; NULL without a vector.
     Centres are a table of clusters x dimensions per group and travel as one array."""
-    packed = centers.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_c"))
     f = F.col(feature).cast("array<double>")
-    gaps = F.transform("_c", lambda c: F.struct(F.aggregate(
-        F.zip_with(c["center"], f, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v).alias("d"), c["cluster"].alias("cluster")))
-    return df.join(packed, list(keys)).withColumn("cluster", F.when(f.isNotNull(), F.array_min(gaps)["cluster"])).drop("_c")
+    return df.join(_nearest_of(centers, keys), list(keys)).withColumn(
+        "cluster", F.when(f.isNotNull(), _gaps(f, F.col("_c"))["cluster"])).drop("_c")
 
 
 def kmeans_per_scene(df: DataFrame, feature: str, centers: DataFrame, keys: Sequence[str], iters: int = 20,
-                     tol: float = 1e-4) -> DataFrame:
+                     tol: float = 1e-4, inertias: bool = False) -> DataFrame:
     """(keys, cluster, center) after repeated updates of all groups together,
     until no centre moves by ``tol``. An empty cluster keeps its centre. An
-    update is one aggregation by (group, cluster) that combines map-side."""
-    by = [*keys, "cluster"]
+    update is one aggregation by (group, cluster) that combines map-side.
+
+    Centres with a column ``start`` are several fits of each group; all starts
+    are updated by the same aggregation, and the one with the least sum of
+    squared distances stays, the lower number on ties. ``inertias`` returns
+    (keys, start, inertia) of the fits in place of centres.
+    """
+    keys = list(keys)
+    if "start" not in centers.columns:
+        centers = centers.withColumn("start", F.lit(0))
+    by = [*_starts(keys), "cluster"]
     centers = cut_lineage(centers)
-    vector = array_to_vector(F.col(feature).cast("array<double>"))
+    rows = df.where(F.col(feature).isNotNull()).select(*keys, F.col(feature).cast("array<double>").alias("_f"))
+
+    def fitted(c: DataFrame) -> DataFrame:
+        """A row per row and start, with its nearest centre; the rows are sent once for all starts."""
+        packed = _nearest_of(c, _starts(keys)).groupBy(*keys).agg(F.collect_list(F.struct("start", "_c")).alias("_s"))
+        each = rows.join(packed, keys).withColumn("_s", F.explode("_s"))
+        return each.select(*keys, F.col("_s.start").alias("start"), "_f", _gaps(F.col("_f"), F.col("_s._c")).alias("_g")).select(
+            *keys, "start", "_f", F.col("_g.cluster").alias("cluster"), F.col("_g.d").alias("_d"))
+
     for _ in range(iters):
-        means = assign_scene_clusters(df, feature, centers, keys).where(F.col("cluster").isNotNull()).groupBy(*by).agg(
-            vector_to_array(Summarizer.mean(vector)).alias("_m"))
-        moved = F.sqrt(F.aggregate(F.zip_with("center", "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+        means = fitted(centers).groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector("_f"))).alias("_m"))
         step = cut_lineage(centers.join(means, by, "left").select(
-            *by, F.coalesce("_m", "center").alias("center"), F.when(F.col("_m").isNotNull(), moved).alias("_shift")), centers)
+            *by, F.coalesce("_m", "center").alias("center"), F.when(F.col("_m").isNotNull(), F.sqrt(_squared("center", "_m"))).alias("_shift")), centers)
         shift = step.agg(F.max("_shift")).first()[0]
         centers = step.drop("_shift")
         centers._pixelweave_table = step._pixelweave_table
         if shift is None or shift < tol:
             break
-    return centers
+    if not inertias and centers.select("start").distinct().count() < 2:      # at most the number of starts
+        return centers.drop("start")
+    sums = fitted(centers).groupBy(*_starts(keys)).agg(F.sum("_d").alias("inertia"))
+    if inertias:
+        return sums
+    best = sums.groupBy(*keys).agg(F.min_by("start", F.struct("inertia", "start")).alias("start"))
+    return centers.join(best, _starts(keys)).drop("start")
 
 
 def score_clusters(df: DataFrame, feature: str, k: int, cluster: str = "cluster",
@@ -271,12 +330,12 @@ def pick_cluster(scores: DataFrame, bounds: tuple[float, float] = fv.COVERAGE_BO
 
 def segment_unsupervised(df: DataFrame, feature: str, key: str, k: int = 2, green: str | None = None,
                          red: str | None = None, seed: int = 0, keys: Sequence[str] = ("scene_id",),
-                         centers: DataFrame | None = None, iters: int = 20) -> DataFrame:
+                         centers: DataFrame | None = None, iters: int = 20, starts: int = fv.KMEANS_STARTS) -> DataFrame:
     """Rows of the cluster most likely to be the target, decided per scene:
-    fit on all rows of the scene, label, score, pick. ``centers`` gives start
-    centres (keys, cluster, center) in place of hashed rows."""
+    fit on all rows of the scene from several starts, label, score, pick.
+    ``centers`` gives start centres (keys, cluster, center) in place of drawn ones."""
     keys = list(keys)
-    start = centers if centers is not None else scene_centers(df, feature, key, k, keys, seed)
+    start = centers if centers is not None else scene_centers(df, feature, key, k, keys, seed, starts)
     # scored and returned, so labelled once
     got = cut_lineage(assign_scene_clusters(df, feature, kmeans_per_scene(df, feature, start, keys, iters), keys))
     pick = pick_cluster(score_clusters(got.where(F.col("cluster").isNotNull()), feature, k, green=green, red=red, keys=keys), keys=keys)
@@ -289,8 +348,9 @@ def pca_project(df: DataFrame, feature: str, k: int = 3, standardize: bool = Fal
                 whiten: bool = False, l2_rows: bool = False):
     """(rows with ``projection``, explained variance ratios). Vectors are
     centred first; ``standardize`` also scales to unit variance, ``whiten``
-    scales components to unit variance."""
-    data = df.withColumn("_v", array_to_vector(F.col(feature).cast("array<double>")))
+    scales components to unit variance. Rows without a vector take no part in
+    the fit and have no projection."""
+    data = df.where(F.col(feature).isNotNull()).withColumn("_v", array_to_vector(F.col(feature).cast("array<double>")))
     scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=standardize).fit(data)
     centred = scaler.transform(data)
     model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
@@ -300,7 +360,8 @@ def pca_project(df: DataFrame, feature: str, k: int = 3, standardize: bool = Fal
         out = out.withColumn("projection", F.array(*[F.col("projection")[i] / sd[i] for i in range(k)]))
     if l2_rows:
         out = out.withColumn("projection", vec.l2_normalize(F.col("projection")))
-    return out.drop("_v", "_c", "_p"), model.explainedVariance.toArray().tolist()
+    none = df.where(F.col(feature).isNull()).withColumn("projection", F.lit(None).cast("array<double>"))
+    return out.drop("_v", "_c", "_p").unionByName(none), model.explainedVariance.toArray().tolist()
 
 
 def covariance_matrix(df: DataFrame, feature: str) -> DataFrame:
@@ -359,64 +420,6 @@ def linear_probe_fit(df: DataFrame, feature: str, label: str, max_iter: int = 20
     return m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist()
 
 
-def knn_classify(queries: DataFrame, train: DataFrame, key: str, feature: str, label: str,
-                 k: int = 1, block_rows: int = 4096) -> DataFrame:
-    """(key, prediction): majority label of the k nearest training rows
-    (Euclidean), lowest label on equal votes.
-
-    Both sides are cut into hashed blocks of about ``block_rows`` rows; a task
-    sees one block of each, computes distances as matrix products and passes
-    on k candidates per query. Neither side is broadcast or gathered, and
-    blocks follow a hash of the unique key, so they are even.
-    """
-    nq = max(1, -(-queries.count() // block_rows))
-    nt = max(1, -(-train.count() // block_rows))
-
-    def cells(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = queries.select(key, F.col(feature).cast("array<double>").alias("_f"),
-                       F.pmod(F.xxhash64(key), F.lit(nq)).cast("int").alias("_qb"), cells(nt).alias("_tb"))
-    t = train.select(F.col(key).alias("_tk"), F.col(label).cast("int").alias("_l"),
-                     F.col(feature).cast("array<double>").alias("_f"),
-                     F.pmod(F.xxhash64(key), F.lit(nt)).cast("int").alias("_tb"), cells(nq).alias("_qb"))
-    kind = dict(queries.dtypes)[key]
-
-    def near(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(ts):
-            return pd.DataFrame({key: [], "d": [], "tk": [], "l": []})
-        ts = ts.sort_values("_tk")
-        x, y = np.stack(qs["_f"].to_numpy()), np.stack(ts["_f"].to_numpy())
-        middle = y.mean(0)          # the expansion below cancels less about the middle
-        x, y = x - middle, y - middle
-        lab, ids = ts["_l"].to_numpy(), ts["_tk"].to_numpy()
-        keys, n = qs[key].to_numpy(), min(k, len(ts))
-        out = []
-        for i in range(0, len(x), 256):
-            part = x[i:i + 256]
-            d = (part ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None] - 2 * part @ y.T
-            near_n = min(len(y), 2 * n + 8)
-            some = np.sort(np.argpartition(d, near_n - 1, axis=1)[:, :near_n], axis=1)
-            exact = ((part[:, None] - y[some]) ** 2).sum(2)
-            inner = np.argsort(exact, axis=1, kind="stable")[:, :n]
-            best = np.take_along_axis(some, inner, 1)
-            d = np.full(d.shape, np.inf)
-            np.put_along_axis(d, best, np.take_along_axis(exact, inner, 1), 1)
-            out.append(pd.DataFrame({
-                key: np.repeat(keys[i:i + 256], n),
-                "d": np.take_along_axis(d, best, 1).ravel(), "tk": ids[best].ravel(), "l": lab[best].ravel()}))
-        return pd.concat(out)
-
-    cand = q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb")).applyInPandas(
-        near, f"{key} {kind}, d double, tk {kind}, l int")
-    if k == 1:
-        return cand.groupBy(key).agg(F.min_by("l", F.struct("d", "tk")).alias("prediction"))
-    # at most k rows per query and training block
-    best = top_per_group(cand, [key], [F.col("d"), F.col("tk")], k, "_r")
-    votes = best.groupBy(key, "l").agg(F.count("*").alias("n"))
-    return votes.groupBy(key).agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("prediction"))
-
-
 def map_labels(df: DataFrame, label: str, names: dict[int, str], out: str = "name") -> DataFrame:
     """Names for prediction ids from a small literal map."""
     pairs = [F.lit(v) for kv in names.items() for v in kv]

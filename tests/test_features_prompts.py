@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import align as al, features as ft, prompts as pr, resample as rs
+from pixelweave.operators import align as al, features as ft, nearest, prompts as pr, resample as rs
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def test_knn_by_brute_force(spark, points, k):
     pdf, df = points
     rng = np.random.default_rng(4)
     q = pd.DataFrame({"id": np.arange(1000, 1050), "f": rng.uniform(-1, 5, (50, 3)).tolist()})
-    got = ft.knn_classify(spark.createDataFrame(q, "id bigint, f array<double>"), df, "id", "f", "label", k, block_rows=40)
+    got = nearest.knn_classify(spark.createDataFrame(q, "id bigint, f array<double>"), df, "id", "f", "label", k, block_rows=40)
     x = np.stack(pdf["f"])
     want = {}
     for i, f in zip(q["id"], q["f"]):
@@ -29,6 +29,73 @@ def test_knn_by_brute_force(spark, points, k):
     assert {r["id"]: r["prediction"] for r in got.collect()} == want
 
 
+def plain_knn(pdf, q, k):
+    x, y = np.stack(pdf["f"]), pdf["label"].to_numpy()
+    out = {}
+    for i, f in zip(q["id"], q["f"]):
+        near = np.argsort(((x - np.array(f)) ** 2).sum(1), kind="stable")[:k]
+        out[i] = int(np.bincount(y[near]).argmax())
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_knn_opens_few_groups(spark, k):
+    """Clustered rows with a hot vector: a query is sent to groups near it only."""
+    rng = np.random.default_rng(8)
+    middles = rng.uniform(-100, 100, (40, 4))
+    f = np.concatenate([np.repeat(middles[:1], 400, 0), *(rng.normal(m, 0.5, (20, 4)) for m in middles)])
+    pdf = pd.DataFrame({"id": np.arange(len(f)), "label": rng.integers(0, 5, len(f)), "f": f.tolist()})
+    q = pd.DataFrame({"id": np.arange(300), "f": (middles[rng.integers(0, 40, 300)] + rng.normal(0, 0.5, (300, 4))).tolist()})
+    opened = []
+    got = nearest.knn_classify(spark.createDataFrame(q, "id bigint, f array<double>"),
+                               spark.createDataFrame(pdf, "id bigint, label int, f array<double>"), "id", "f", "label", k, 25, opened)
+    assert {r["id"]: r["prediction"] for r in got.collect()} == plain_knn(pdf, q, k)
+    groups = -(-len(f) // 25)
+    assert sum(opened) < 300 * groups / 4 and opened[0] >= 300
+
+
+def test_knn_without_vectors(spark, points):
+    pdf, df = points
+    bad = [(1000, None), (1001, [float("nan"), 0.0, 0.0]), (1002, []), (1003, [0.1, 0.1, 0.1])]
+    q = spark.createDataFrame(bad, "id bigint, f array<double>")
+    more = spark.createDataFrame([(900, 2, None), (901, None, [0.1, 0.1, 0.1]), (902, 2, [None, 1.0, 1.0])], "id bigint, label int, f array<double>")
+    for k in (1, 3):
+        got = {r["id"]: r["prediction"] for r in nearest.knn_classify(q, df.unionByName(more), "id", "f", "label", k, 50).collect()}
+        assert got == {1000: None, 1001: None, 1002: None, 1003: 0}
+        none = nearest.knn_classify(q, df.limit(0), "id", "f", "label", k).collect()
+        assert len(none) == 4 and all(r["prediction"] is None for r in none)
+
+
+def test_several_starts_keep_the_best(spark):
+    """Groups on which one start often ends in a bad fit."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for scene, spots in enumerate([((0, 0), (0, 1), (40, 0)), ((5, 5), (5, 9), (60, 7)), ((0, 0), (0, 0), (0, 0))]):
+        for c in spots:
+            rows += [(scene, len(rows) + i, (np.array(c, float) + (rng.normal(0, 0.05, 2) if scene < 2 else 0)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows + [(0, 9999, None)], "scene_id bigint, id bigint, f array<double>")
+    start = ft.scene_centers(df, "f", "id", 3, ["scene_id"], starts=5)
+    sums = {(r["scene_id"], r["start"]): r["inertia"] for r in ft.kmeans_per_scene(df, "f", start, ["scene_id"], inertias=True).collect()}
+    best = ft.kmeans_per_scene(df, "f", start, ["scene_id"])
+    assert best.groupBy("scene_id").count().where("scene_id < 2 and count <> 3").count() == 0
+    got = ft.assign_scene_clusters(df, "f", best, ["scene_id"])
+    assert got.where("f is null and cluster is not null").count() == 0
+    centre = {(r["scene_id"], r["cluster"]): np.array(r["center"]) for r in best.collect()}
+    for s in (0, 1, 2):
+        total = sum(((np.array(r["f"]) - centre[s, r["cluster"]]) ** 2).sum() for r in got.where(f"scene_id = {s} and f is not null").collect())
+        assert total == pytest.approx(min(v for (scene, _), v in sums.items() if scene == s), abs=1e-9)
+        assert len({st for scene, st in sums if scene == s}) == 5
+
+
+def test_null_vectors_stay_null(spark, points):
+    _, df = points
+    some = df.unionByName(spark.createDataFrame([(999, 0, None)], "id bigint, label int, f array<double>"))
+    _, rows = ft.kmeans_fit(some, "f", 3, starts=2)
+    assert rows.count() == 181 and rows.where("cluster is null").select("id").collect()[0][0] == 999
+    out, shares = ft.pca_project(some, "f", 2, whiten=True)
+    assert out.count() == 181 and out.where("projection is null").count() == 1 and len(shares) == 2
+
+
 def test_kmeans_finds_the_groups(points):
     pdf, df = points
     centers = ft.kmeans_iterate(df, "f", "id", k=3, iters=20, seed=1)
