@@ -1,8 +1,7 @@
 """Region properties, outlines and point layers.
 
-Properties are aggregates. Hull and outline take one region per group, but
-only after a reduction that bounds the group: two pixels per row for the hull,
-boundary pixels for the outline (which is what the output row holds anyway).
+Properties are aggregates. Hulls are merged in levels from hulls of bounded
+strips, and outlines are ranked as distributed lists, so no task holds a region.
 """
 
 from __future__ import annotations
@@ -16,9 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import geo
 from ..session import cut_lineage
-from .stencil import CROSS, RING
+from .outlines import outer_rings, simplified
+from .stencil import CROSS, RING, TILE
 
 REGION = ["scene_id", "label"]
+_FAN = 16       # hulls merged into one
 
 
 def region_props(labels: DataFrame) -> DataFrame:
@@ -84,16 +85,18 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chains[0] + chains[1])
 
 
-def hull_pixels(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> int:
-    """Whole positions in the hull of pixel diamonds given row extremes."""
-    pts = np.concatenate([
+def diamond_points(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Corners of the pixel diamonds at the ends of rows."""
+    return np.concatenate([
         np.stack([lows - 0.5, rows], 1), np.stack([highs + 0.5, rows], 1),
         np.stack([lows, rows - 0.5], 1), np.stack([lows, rows + 0.5], 1),
         np.stack([highs, rows - 0.5], 1), np.stack([highs, rows + 0.5], 1)])
-    hull = convex_hull(pts)
-    total = 0
-    nxt = np.roll(hull, -1, axis=0)
-    for y in range(int(rows.min()), int(rows.max()) + 1):
+
+
+def hull_row_pixels(hull: np.ndarray, low: int, high: int) -> int:
+    """Whole positions in a hull (x, y) on the rows low to high."""
+    total, nxt = 0, np.roll(hull, -1, axis=0)
+    for y in range(low, high + 1):
         y0, y1 = hull[:, 1], nxt[:, 1]
         hit = (np.minimum(y0, y1) <= y) & (np.maximum(y0, y1) >= y)
         a, b, ya, yb = hull[hit, 0], nxt[hit, 0], y0[hit], y1[hit]
@@ -104,117 +107,65 @@ def hull_pixels(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> int:
     return total
 
 
-def region_solidity(labels: DataFrame) -> DataFrame:
-    """Area over convex area. Only the row extremes of a region decide its
-    hull, so a group holds one row per image row of the region."""
+def region_solidity(labels: DataFrame, strip: int = 256) -> DataFrame:
+    """Area over convex area, by merged hulls.
+
+    Only the row ends of a region decide its hull. Strips of ``strip`` rows give
+    a hull each; hulls of ``_FAN`` neighbouring strips become one, level by level,
+    so a task holds the ends of a strip's rows or the corners of a few hulls
+    (few, as corners lie on a grid). The positions inside are counted strip by
+    strip from the corners.
+    """
     spans = labels.groupBy(*REGION, "y").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    kind = "scene_id bigint, label bigint, strip bigint, area bigint, xs array<double>, ys array<double>"
+
+    def row(pdf: pd.DataFrame, strip_: int, area, hull: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"scene_id": [pdf["scene_id"].iat[0]], "label": [pdf["label"].iat[0]], "strip": [strip_],
+                             "area": [int(area)], "xs": [hull[:, 0]], "ys": [hull[:, 1]]})
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts = diamond_points(pdf["y"].to_numpy(float), pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float))
+        return row(pdf, pdf["y"].iat[0] // strip, pdf["n"].sum(), convex_hull(pts))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts = np.stack([np.concatenate(pdf["xs"].tolist()), np.concatenate(pdf["ys"].tolist())], 1)
+        return row(pdf, pdf["strip"].iat[0] // _FAN, pdf["area"].sum(), convex_hull(pts))
+
+    hulls = cut_lineage(spans.groupBy(*REGION, F.floor(F.col("y") / strip)).applyInPandas(first, kind))
+    high, low = hulls.agg(F.max("strip"), F.min("strip")).first()
+    while high is not None and (high > 0 or low < 0):
+        hulls = cut_lineage(hulls.groupBy(*REGION, F.floor(F.col("strip") / _FAN)).applyInPandas(merge, kind), hulls)
+        high, low = high // _FAN, (low // _FAN if low < -1 else 0)
+
+    def count(batches):
+        for pdf in batches:
+            n = [hull_row_pixels(np.stack([x, y], 1), max(int(math.ceil(min(y))), a), min(int(math.floor(max(y))), a + strip - 1))
+                 for x, y, a in zip(pdf["xs"], pdf["ys"], pdf["from"], strict=True)]
+            yield pd.DataFrame({"scene_id": pdf["scene_id"], "label": pdf["label"], "n": n})
+
+    low, high = F.ceil(F.array_min("ys")), F.floor(F.array_max("ys"))
+    convex = hulls.select(*REGION, "xs", "ys", F.explode(F.sequence(low, high, F.lit(strip).cast("bigint"))).alias("from")).mapInPandas(
+        count, "scene_id bigint, label bigint, n bigint").groupBy(*REGION).agg(F.sum("n").alias("convex_area"))
+    return hulls.select(*REGION, "area").join(convex, REGION).withColumn("solidity", F.col("area") / F.col("convex_area"))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = int(pdf["n"].sum())
-        convex = hull_pixels(pdf["y"].to_numpy(float), pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float))
-        return pd.DataFrame({"scene_id": [pdf["scene_id"].iat[0]], "label": [pdf["label"].iat[0]],
-                             "area": [area], "convex_area": [convex], "solidity": [area / convex]})
-
-    return spans.groupBy(*REGION).applyInPandas(
-        run, "scene_id bigint, label bigint, area bigint, convex_area bigint, solidity double")
-
-
-_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]   # clockwise from east
-
-
-def outer_contours(pixels: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Outer border of each 8-connected part, as (y, x) steps. Following a
-    border only ever lands on border pixels, so these suffice as input."""
-    left, out = set(pixels), []
-    while left:
-        start = min(left)
-        stack, part = [start], {start}
-        while stack:
-            y, x = stack.pop()
-            for dy, dx in _AROUND:
-                q = (y + dy, x + dx)
-                if q in left and q not in part:
-                    part.add(q)
-                    stack.append(q)
-        left -= part
-        ring, here, came = [start], start, 4        # entered from the west
-        first = None
-        while True:
-            for turn in range(1, 9):
-                d = (came + turn) % 8
-                q = (here[0] + _AROUND[d][0], here[1] + _AROUND[d][1])
-                if q in part:
-                    break
-            else:
-                break
-            if first is None:
-                first = (here, q)
-            elif (here, q) == first:
-                ring.pop()
-                break
-            ring.append(q)
-            here, came = q, (d + 4) % 8
-        out.append(ring)
-    return out
-
-
-def ring_area(ring: list[tuple[int, int]]) -> float:
-    a = np.array(ring, float)
-    b = np.roll(a, -1, axis=0)
-    return abs(float((a[:, 1] * b[:, 0] - b[:, 1] * a[:, 0]).sum())) / 2
-
-
-def simplify_ring(ring: list[tuple[int, int]], tolerance: float) -> list[tuple[int, int]]:
-    """Douglas-Peucker on a closed ring, split at two far points."""
-    pts = np.array(ring, float)
-    n = len(pts)
-    if n < 3:
-        return ring
-    far = int(((pts - pts[0]) ** 2).sum(1).argmax())
-    start = int(((pts - pts[far]) ** 2).sum(1).argmax())
-    a, b = sorted((far, start))
-    if a == b:
-        return ring[:1]
-    keep = {a, b}
-    stack = [(a, b), (b, a + n)]
-    while stack:
-        i, j = stack.pop()
-        if j - i < 2:
-            continue
-        seg = pts[np.arange(i + 1, j) % n]
-        p, q = pts[i % n], pts[j % n]
-        d = q - p
-        length = math.hypot(*d)
-        off = np.abs((seg[:, 0] - p[0]) * d[1] - (seg[:, 1] - p[1]) * d[0]) / length if length else \
-            np.hypot(*(seg - p).T)
-        m = int(off.argmax())
-        if off[m] > tolerance:
-            keep.add((i + 1 + m) % n)
-            stack += [(i, i + 1 + m), (i + 1 + m, j)]
-    return [ring[i] for i in sorted(keep)]
-
-
-def polygonize(labels: DataFrame, scenes: DataFrame, min_area: int = 25) -> DataFrame:
+def polygonize(labels: DataFrame, scenes: DataFrame, min_area: int = 25, tile: int = TILE) -> DataFrame:
     """Simplified outer outline per region in map coordinates.
 
-    The largest contour is simplified to 1 % of its length; rings under three
-    points are dropped. Columns: scene_id, label, area, ring, wkt.
+    The outer border of largest area, of the region's 8-neighbour parts, is
+    simplified to 1 % of its length; rings under three points are dropped.
+    Columns: scene_id, label, area, ring, wkt. Borders are ranked and simplified
+    as distributed lists; only a region's kept points meet in a row.
     """
     area = labels.groupBy(*REGION).agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
     edge = _border(labels.join(area.select(*REGION), REGION, "left_semi"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = outer_contours(set(zip(pdf["y"].tolist(), pdf["x"].tolist())))
-        ring = max(rings, key=ring_area)
-        pts = np.array(ring, float)
-        length = float(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T).sum())
-        short = simplify_ring(ring, fv.OUTLINE_TOLERANCE * length)
-        return pd.DataFrame({"scene_id": [pdf["scene_id"].iat[0]], "label": [pdf["label"].iat[0]],
-                             "_ring": [[{"x": float(x), "y": float(y)} for y, x in short]]})
-
-    rings = edge.groupBy(*REGION).applyInPandas(
-        run, "scene_id bigint, label bigint, _ring array<struct<x:double,y:double>>").where(F.size("_ring") >= 3)
+    kept = simplified(outer_rings(edge, scenes, tile), fv.OUTLINE_TOLERANCE)
+    # the kept points are the result's own row
+    rings = kept.groupBy(*REGION).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("_ring")).where(
+        F.size("_ring") >= 3)
     placed = rings.join(area, REGION).join(scenes.select("scene_id", "transform"), "scene_id")
     t = F.struct("transform", "_ring")
     ring = F.transform(F.array(t), lambda s: F.transform(s["_ring"], lambda p: F.struct(

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_rings
 from conftest import discs
-from pixelweave.operators import boxes as bx, masks as mk, regions as rg, stencil as st
+from pixelweave.operators import boxes as bx, masks as mk, outlines as ol, regions as rg, stencil as st
 
 
 def labelled(make, a, n=1):
@@ -38,7 +39,7 @@ def test_hull_pixels_by_half_planes():
     rows = np.unique(ys)
     lo = np.array([xs[ys == y].min() for y in rows], float)
     hi = np.array([xs[ys == y].max() for y in rows], float)
-    got = rg.hull_pixels(rows.astype(float), lo, hi)
+    got = rg.hull_row_pixels(rg.convex_hull(rg.diamond_points(rows.astype(float), lo, hi)), int(rows.min()), int(rows.max()))
     pts = np.concatenate([np.stack([xs + dx, ys + dy], 1) for dx, dy in ((.5, 0), (-.5, 0), (0, .5), (0, -.5))])
     hull = rg.convex_hull(pts)
     nxt = np.roll(hull, -1, axis=0)
@@ -47,27 +48,106 @@ def test_hull_pixels_by_half_planes():
     assert got == want
 
 
+@pytest.mark.parametrize("strip", [1, 3, 256])
+def test_merged_hulls_equal_one_hull(spark, make, strip):
+    """Regions over many strips, one of them far from the first rows."""
+    rng = np.random.default_rng(strip)
+    a = np.zeros((90, 60), int)
+    for label, (y, x) in enumerate(((5, 5), (40, 20), (60, 40)), 1):
+        a[y:y + 28, x:x + 18][rng.random((28, 18)) < 0.2] = label
+    a[3:88, 58] = 4
+    df = make.values(a, "label").where("label > 0").withColumn("label", F.col("label").cast("bigint"))
+    for r in rg.region_solidity(df, strip).collect():
+        ys, xs = np.nonzero(a == r["label"])
+        rows = np.unique(ys)
+        ends = [np.array([f(xs[ys == y]) for y in rows], float) for f in (np.min, np.max)]
+        hull = rg.convex_hull(rg.diamond_points(rows.astype(float), *ends))
+        assert (r["area"], r["convex_area"]) == (len(ys), rg.hull_row_pixels(hull, int(rows.min()), int(rows.max())))
+        assert r["solidity"] == r["area"] / r["convex_area"]
+    assert rg.region_solidity(df.limit(0), strip).count() == 0
+
+
+def regions_of(seed):
+    """Ragged regions with holes, several parts, lines and lone pixels."""
+    rng = np.random.default_rng(seed)
+    a = np.zeros((40, 46), int)
+    a[2:20, 3:25] = np.where(rng.random((18, 22)) < 0.62, 1, 0)
+    a[22:38, 2:40] = np.where(rng.random((16, 38)) < 0.5, 2, 0)
+    yy, xx = np.indices(a.shape)
+    d = (yy - 11) ** 2 + (xx - 34) ** 2
+    a[(d < 80) & (d > 20)] = 3
+    a[38, 5:44] = 4
+    a[36, 43] = 5
+    a[2, 44:46] = 6
+    return a
+
+
+@pytest.mark.parametrize("seed,tile", [(0, 5), (1, 16), (2, 256)])
+def test_ranked_outlines_equal_a_plain_walk(spark, make, seed, tile):
+    a = regions_of(seed)
+    df = make.values(a, "label").where("label > 0").withColumn("label", F.col("label").cast("bigint"))
+    sc = make.scenes(a.shape)
+    rings = ol.outer_rings(rg._border(df), sc, tile)
+    got, short = {}, {}
+    for r in rings.orderBy("label", "rank").collect():
+        assert r["rank"] == len(got.setdefault(r["label"], []))
+        got[r["label"]].append((r["y"], r["x"]))
+    for r in ol.simplified(rings, 0.01).orderBy("label", "rank").collect():
+        short.setdefault(r["label"], []).append((int(r["y"]), int(r["x"])))
+    for label in range(1, 7):
+        edge = {(r["y"], r["x"]) for r in rg._border(df.where(F.col("label") == label)).collect()}
+        ring = max(plain_rings.outer_contours(edge), key=plain_rings.ring_area)
+        assert got.get(label, ring[:1]) == ring
+        pts = np.array(ring, float)
+        length = float(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T).sum())
+        want = plain_rings.simplify_ring(ring, 0.01 * length)
+        assert short.get(label, want[:1]) == want, label
+    assert 5 not in got and len(got[4]) == 76
+
+
+def test_outlines_of_nothing(spark, make):
+    df = make.values(np.zeros((4, 4)), "label").withColumn("label", F.col("label").cast("bigint")).limit(0)
+    assert rg.polygonize(df, make.scenes((4, 4)), 1, 8).count() == 0
+
+
+def test_chains_of_items():
+    r = np.random.default_rng(1)
+    order = r.permutation(200)
+    after = np.full(200, -1)
+    after[order[:79]] = order[1:80]                    # a path of 80
+    after[order[80:150]] = order[81:151]               # a path that is closed below
+    after[order[150]] = order[80]
+    head, place = ol.chains(after)
+    assert head[order[:80]].tolist() == [order[0]] * 80 and place[order[:80]].tolist() == list(range(80))
+    ring = order[80:151].tolist()
+    turn = ring.index(min(ring))
+    ring = ring[turn:] + ring[:turn]
+    assert head[ring].tolist() == [ring[0]] * 71 and place[ring].tolist() == list(range(71))
+    assert head[order[151:]].tolist() == order[151:].tolist()
+    assert ol.chains(np.zeros(0, int))[0].tolist() == []
+
+
 def test_thin_region_and_dot_have_contours():
-    assert rg.outer_contours({(3, 3)}) == [[(3, 3)]]
-    line = rg.outer_contours({(0, 0), (0, 1), (0, 2)})[0]
-    assert set(line) == {(0, 0), (0, 1), (0, 2)} and rg.ring_area(line) == 0
+    assert plain_rings.outer_contours({(3, 3)}) == [[(3, 3)]]
+    line = plain_rings.outer_contours({(0, 0), (0, 1), (0, 2)})[0]
+    assert set(line) == {(0, 0), (0, 1), (0, 2)} and plain_rings.ring_area(line) == 0
 
 
 def test_contour_ignores_holes_and_keeps_area():
     a = discs((40, 40), [(20, 20)], 12) & ~discs((40, 40), [(20, 20)], 5)
-    ring = rg.outer_contours(set(zip(*map(list, np.nonzero(a)))))
+    ring = plain_rings.outer_contours(set(zip(*map(list, np.nonzero(a)))))
     assert len(ring) == 1
     # area inside the outer pixel centres of the full disc
-    assert abs(rg.ring_area(ring[0]) - math.pi * 12 ** 2) / (math.pi * 144) < 0.12
+    assert abs(plain_rings.ring_area(ring[0]) - math.pi * 12 ** 2) / (math.pi * 144) < 0.12
     assert all((y - 20) ** 2 + (x - 20) ** 2 > 100 for y, x in ring[0])
 
 
 def test_simplified_ring_stays_close():
     a = discs((60, 60), [(30, 30)], 20)
-    ring = rg.outer_contours(set(zip(*map(list, np.nonzero(a)))))[0]
-    short = rg.simplify_ring(ring, 1.5)
+    ring = plain_rings.outer_contours(set(zip(*map(list, np.nonzero(a)))))[0]
+    short = plain_rings.simplify_ring(ring, 1.5)
     assert 4 <= len(short) < len(ring) / 4
-    assert abs(rg.ring_area(short) - rg.ring_area(ring)) / rg.ring_area(ring) < 0.15
+    assert abs(plain_rings.ring_area(short) - plain_rings.ring_area(ring)) / plain_rings.ring_area(ring) < 0.15
 
 
 def test_small_regions_are_dropped(spark, make):
