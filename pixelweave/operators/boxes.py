@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -21,77 +24,107 @@ def iou(a: str, b: str) -> Column:
     return inter / (area(a) + area(b) - inter)
 
 
-def _own_cell(t: float) -> list[Column]:
-    """Size class and cell of a box. Boxes with an overlap above t differ by
-    at most one class (sides within a factor t) and by (1-t) of the larger
-    side between centres, so partners lie in few cells."""
+_SPAN = 16      # sides of a cell, in sides of its boxes
+
+
+def _size(k: Column, t: float) -> Column:
+    """Upper end of the sides of size class k."""
+    return F.pow(F.lit(1 / t), (k + 1).cast("double"))
+
+
+def _class(t: float) -> Column:
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
-    k = F.floor(F.log(side) / math.log(1 / t)).cast("int")
-    size = F.pow(F.lit(1 / t), (k + 1).cast("double"))
-    return [k.alias("_k"), F.floor((F.col("x0") + F.col("x1")) / 2.0 / size).cast("bigint").alias("_cx"),
-            F.floor((F.col("y0") + F.col("y1")) / 2.0 / size).cast("bigint").alias("_cy")]
+    return F.floor(F.log(side) / math.log(1 / t)).cast("int")
+
+
+def _middle(lo: str, hi: str) -> Column:
+    return (F.col(lo) + F.col(hi)) / 2.0
 
 
 def _reach(df: DataFrame, t: float) -> DataFrame:
-    """One row per cell that may hold a partner of the box."""
+    """One row per cell (``_q``, ``_qx``, ``_qy``) that may hold a partner of the
+    box; ``_own`` in the cell of the box itself. Boxes with an overlap above t
+    differ by at most one size class (sides within a factor t) and by (1-t) of
+    the larger side between centres, so partners lie in few cells."""
     near = df.withColumn("_q", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
-    span = F.pow(F.lit(1 / t), (F.greatest("_k", "_q") + 1).cast("double")) * (1 - t)
-    size = F.pow(F.lit(1 / t), (F.col("_q") + 1).cast("double"))
+    span = _size(F.greatest("_k", "_q"), t) * (1 - t)
+    side = _size(F.col("_q"), t) * _SPAN
 
     def cells(lo: str, hi: str) -> Column:
-        c = (F.col(lo) + F.col(hi)) / 2.0
-        return F.explode(F.sequence(F.floor((c - span) / size).cast("bigint"), F.floor((c + span) / size).cast("bigint")))
-
-    return near.withColumn("_qx", cells("x0", "x1")).withColumn("_qy", cells("y0", "y1"))
+        c = _middle(lo, hi)
+        return F.explode(F.sequence(F.floor((c - span) / side).cast("bigint"), F.floor((c + span) / side).cast("bigint")))
+
+    own = (F.col("_q") == F.col("_k")) & (F.col("_qx") == F.floor(_middle("x0", "x1") / side)) & (F.col("_qy") == F.floor(_middle("y0", "y1") / side))
+    return near.withColumn("_qx", cells("x0", "x1")).withColumn("_qy", cells("y0", "y1")).withColumn("_own", own)
+
+
+def _settle(t: float, place: list[str], names: list[str]):
+    """Decide the boxes of each cell, best first, from sorted rows. Kept and open
+    boxes of the cell so far are all that is held; kept ones overlap little, so
+    they are few."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, boxes, kept, n = None, np.empty((64, 4)), np.empty(64, bool), 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in place), strict=True))
+            corners = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], 1)
+            state, own = batch.column("_state").to_pylist(), batch.column("_own").to_pylist()
+            new = np.full(len(keys), -1)
+            for i, key in enumerate(keys):
+                if key != cell:
+                    cell, n = key, 0
+                box = corners[i]
+                low, high = np.maximum(boxes[:n, :2], box[:2]), np.minimum(boxes[:n, 2:], box[2:])
+                inter = np.maximum(0.0, high - low).prod(1)
+                area = (boxes[:n, 2:] - boxes[:n, :2]).prod(1) + (box[2:] - box[:2]).prod()
+                over = inter / (area - inter) > t
+                if (over & kept[:n]).any():
+                    continue                    # dropped
+                # a box from another cell has partners that are not seen here
+                sure = state[i] == 1 or (own[i] and not over.any())
+                if n == len(boxes):
+                    boxes, kept = np.concatenate([boxes, boxes]), np.concatenate([kept, kept])
+                boxes[n], kept[n], n = box, sure, n + 1
+                if own[i]:
+                    new[i] = int(sure)
+            some = np.flatnonzero(new >= 0)
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(new[some], pa.int32())], names=[*names, "_state"])
+
+    return run
 
 
 def box_nms(boxes: DataFrame, threshold: float = 0.7, key: str = "mask_id", score: str = "score",
-            group: str = "patch_idx") -> DataFrame:
+            group: str = "patch_idx", rounds: list[int] | None = None) -> DataFrame:
     """Greedy suppression per group: best score first (lower key on ties), a
     box overlapping a kept one above ``threshold`` is dropped.
 
-    Rounds: a box is kept once no better undecided box overlaps it, and then
-    the boxes it overlaps are dropped; that is the greedy result, in as many
-    rounds as the longest chain of ever better overlapping boxes. Whether a
-    better one exists is a semi join on nearby cells of similar size, which
-    stops at the first hit and passes on one row per box, never the pairs.
-    Equal boxes are first reduced to their best, which is exact. Boxes without
-    an inside overlap nothing and are kept, as are boxes with a missing corner.
+    Boxes are decided in cells of similar size and place, best first: a box is
+    dropped at a kept one, kept when nothing better overlaps it, and stays open
+    while a better open one does. A cell also sees the boxes around it that
+    reach in, so only chains that cross cells need another round; ``rounds``
+    receives the open boxes after each. Equal boxes of a group are first reduced
+    to their best, which is exact. Boxes without an inside overlap nothing and
+    are kept, as are boxes with a missing corner. Keys are unique in a group.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
     t = float(threshold)
     place = [group, "x0", "y0", "x1", "y1"]
+    cell = [group, "_q", "_qx", "_qy"]
     inside = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
-    flat = boxes.where(~inside)
     todo = cut_lineage(
         boxes.where(inside).groupBy(*place).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("n"))).alias("_r"))
-        .select("*", *_own_cell(t)))
-    kept = None
-    cell = [group, "_k", "_cx", "_cy"]
-    corners = F.struct("x0", "y0", "x1", "y1")
-
-    def reached(df: DataFrame, name: str, rank: str) -> DataFrame:
-        """The box as ``name`` in every cell where a partner may lie."""
-        return _reach(df, t).select(
-            *place, corners.alias(name), F.col("_r").alias(rank), F.col("_q").alias("_k"),
-            F.col("_qx").alias("_cx"), F.col("_qy").alias("_cy"))
-
-    while not todo.isEmpty():
-        here = todo.select(*[F.col(c).alias(f"_h{c}") for c in cell], corners.alias("_b"), F.col("_r").alias("_rb"))
-        near = reached(todo, "_a", "_ra")
-        same = F.lit(True)
-        for c in cell:
-            same = same & (near[c] == here[f"_h{c}"])
-        better = same & (here["_rb"] > near["_ra"]) & (iou("_a", "_b") > t)
-        blocked = cut_lineage(near.join(here, better, "left_semi").select(*place).distinct())
-        new = cut_lineage(todo.join(blocked, place, "left_anti"))
-        kept = new if kept is None else kept.unionByName(new)
-        held = todo.join(blocked, place, "left_semi")
-        hits = held.withColumn("_b", corners).join(reached(new, "_a", "_ra").select(*cell, "_a"), cell)
-        gone = hits.where(iou("_a", "_b") > t).select(*place).distinct()
-        todo = cut_lineage(held.join(gone, place, "left_anti"), todo, blocked)
-    if kept is None:
-        return flat
-    ids = kept.select((-F.col("_r.n")).alias(key))
-    return boxes.where(inside).join(ids, key, "left_semi").unionByName(flat)
+        .select(*place, F.col("_r.s").alias("_s"), F.col("_r.n").alias("_n"), _class(t).alias("_k"), F.lit(0).alias("_state")))
+    names = [c for c in todo.columns if c != "_state"]
+    schema = ", ".join(f"{c} {kind}" for c, kind in todo.dtypes)
+    while True:
+        sent = _reach(todo, t).repartition(*cell).sortWithinPartitions(*cell, F.desc("_s"), F.desc("_n"))
+        todo = cut_lineage(sent.mapInArrow(_settle(t, cell, names), schema), todo)
+        left = todo.where("_state = 0").count()
+        if rounds is not None:
+            rounds.append(left)
+        if not left:
+            break
+    ids = todo.select(F.col(group).alias("_g"), (-F.col("_n")).alias("_id"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_id"))
+    return boxes.where(inside).join(ids, same, "left_semi").unionByName(boxes.where(~inside))

@@ -83,19 +83,23 @@ def _resize(df: DataFrame, sizes: DataFrame, cols: Sequence[str], kernel: str) -
         _sized(df, sizes)
         .withColumn("_py", F.explode(_weights(F.col("y"), F.col("src_h"), F.col("dst_h"), kernel)))
         .withColumn("_px", F.explode(_weights(F.col("x"), F.col("src_w"), F.col("dst_w"), kernel)))
-        .select("scene_id", F.col("_py.d").alias("y"), F.col("_px.d").alias("x"),
+        .select("scene_id", F.col("_py.d").alias("y"), F.col("_px.d").alias("x"), w.alias("_w"),
                 *[(w * F.col(c)).alias(c) for c in cols])
-        .groupBy("scene_id", "y", "x").agg(*[F.sum(c).alias(c) for c in cols])
+        # all weights are there, and each has a value
+        .groupBy("scene_id", "y", "x").agg(*[
+            F.when((F.count(c) == F.count("*")) & (F.abs(F.sum("_w") - 1) < 1e-6), F.sum(c)).alias(c) for c in cols])
     )
 
 
 def resize_bilinear(df: DataFrame, sizes: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Half-pixel centres, edges clamped."""
+    """Half-pixel centres, edges clamped. An output is NULL if a source that it
+    draws on is NULL or missing."""
     return _resize(df, sizes, cols, "bilinear")
 
 
 def resize_bicubic(df: DataFrame, sizes: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Half-pixel centres, 16 neighbours, edge pixels repeated."""
+    """Half-pixel centres, 16 neighbours, edge pixels repeated. An output is NULL
+    if a source that it draws on is NULL or missing."""
     return _resize(df, sizes, cols, "bicubic")
 
 

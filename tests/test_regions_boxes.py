@@ -195,6 +195,24 @@ def test_box_nms_equals_greedy(spark, t):
     assert got == greedy(rows, t)
 
 
+def test_equal_mask_ids_in_several_patches(spark):
+    rows = [(0, 0, 0, 10, 10, 1, 2.0), (0, 0, 0, 10, 11, 2, 1.0), (1, 50, 50, 60, 60, 2, 1.0), (None, 0, 0, 10, 10, 2, 1.0), (None, 0, 0, 10, 11, 1, 2.0)]
+    df = spark.createDataFrame(rows, "patch_idx int, x0 int, y0 int, x1 int, y1 int, mask_id bigint, score double")
+    got = bx.box_nms(df, 0.7)
+    assert got.columns == df.columns
+    assert {(r["patch_idx"], r["mask_id"]) for r in got.collect()} == {(0, 1), (1, 2), (None, 1)}
+
+
+def test_long_chain_ends_in_few_rounds(spark):
+    # each box is better than the next one and overlaps it
+    rows = [(0, i, 0, i + 10, 10, i, float(2000 - i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "patch_idx int, x0 int, y0 int, x1 int, y1 int, mask_id bigint, score double")
+    rounds = []
+    got = sorted(r["mask_id"] for r in bx.box_nms(df, 0.7, rounds=rounds).collect())
+    assert got == greedy([r[1:] for r in rows], 0.7) and len(got) > 300
+    assert len(rounds) <= 12 and rounds[-1] == 0
+
+
 def test_blank_tiles_and_areas(spark):
     df = spark.createDataFrame([(0, 0.0), (0, 0.0), (1, 0.0), (1, float("nan")), (2, 3.0)], "t int, v double")
     assert {r["t"] for r in mk.drop_blank_tiles(df, ["t"], ["v"]).collect()} == {1, 2}
