@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..operators import boxes as bx, masks as mk, merge as mg, prompts as pr, regions as rg, stencil as st
+from ..operators import boxes as bx, masks as mk, merge as mg, outlines as ol, prompts as pr, regions as rg, stencil as st
 from ..operators.tiles import assign_tiles, tile_stride
 from . import fixtures as fx
 from .registry import query, r6
@@ -118,6 +118,30 @@ def _(spark, sf):
         "scene_id", "label", "area", "on_region", (F.size(F.split("wkt", ",")) == F.size("ring") + 1).alias("wkt_matches"))
 
 
+_WALK = """o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) t(d, dy, dx)),
+bd AS MATERIALIZED (SELECT a.scene_id, a.label, a.y, a.x FROM lab a LEFT JOIN lab t ON t.scene_id = a.scene_id AND t.label = a.label AND abs(t.y - a.y) + abs(t.x - a.x) = 1
+  GROUP BY ALL HAVING count(t.y) < 4),
+oc AS MATERIALIZED (SELECT a.scene_id, a.label, a.y, a.x, list(d) AS ds FROM bd a JOIN bd t ON t.scene_id = a.scene_id AND t.label = a.label
+  JOIN o ON t.y = a.y + dy AND t.x = a.x + dx GROUP BY ALL),
+nx AS MATERIALIZED (SELECT *, (came + list_min(list_filter(range(1, 9), lambda t: list_contains(ds, (came + t) % 8)))) % 8 AS dir
+  FROM (SELECT *, unnest(range(0, 8)) AS came FROM oc)),
+wk AS (SELECT scene_id, label, y AS sy, x AS sx, 0 AS rank, y, x, CAST(4 AS BIGINT) AS came FROM oc WHERE list_max(ds) < 4
+  UNION ALL SELECT w.scene_id, w.label, sy, sx, rank + 1, w.y + dy, w.x + dx, (dir + 4) % 8 FROM wk w
+  JOIN nx n ON n.scene_id = w.scene_id AND n.label = w.label AND n.y = w.y AND n.x = w.x AND n.came = w.came JOIN o ON o.d = n.dir
+  WHERE NOT (rank > 0 AND w.y = sy AND w.x = sx AND w.came = list_max(n.ds))),
+st AS (SELECT *, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM wk WINDOW w AS (PARTITION BY scene_id, label, sy, sx ORDER BY rank)),
+cy AS (SELECT scene_id, label, sy, sx, max(rank) AS n, abs(sum(x * y2 - x2 * y)) AS a FROM st GROUP BY ALL HAVING min((y, x)) = (sy, sx)),
+top AS (SELECT scene_id, label, arg_min((sy, sx), (-a, sy, sx)) AS s FROM cy GROUP BY ALL)"""
+
+
+@query("outline_rings", fx.with_(fx.PX, fx.REGIONS, _WALK, recursive=True) + """SELECT scene_id, label, CAST(rank AS BIGINT) AS rank, CAST(y AS INT) AS y, CAST(x AS INT) AS x
+  FROM st JOIN cy USING (scene_id, label, sy, sx) JOIN top USING (scene_id, label) WHERE (sy, sx) = s AND rank < n""")
+def _(spark, sf):
+    """Every border pixel of each region's largest outline, in walking order; the SQL walks each border."""
+    labels = fx.block_regions(spark, sf)
+    return ol.outer_rings(rg.border(labels), fx.scenes(spark, sf), 16).select("scene_id", "label", "rank", "y", "x")
+
+
 @query("label_boundaries", fx.with_(fx.PX, fx.REGIONS, fx.SCENES, """o AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)),
 nb AS (SELECT lab.*, height, width, dy, dx FROM lab JOIN scenes USING (scene_id) JOIN o ON lab.y + dy BETWEEN 0 AND height - 1 AND lab.x + dx BETWEEN 0 AND width - 1)""") +
        """SELECT DISTINCT nb.scene_id, nb.y, nb.x, nb.label FROM nb LEFT JOIN lab t ON t.scene_id = nb.scene_id AND t.y = nb.y + dy AND t.x = nb.x + dx

@@ -175,6 +175,14 @@ def _(spark, sf):
         F.count("*").alias("pixels"), F.count_distinct("label").alias("instances"))
 
 
+@query("split_instance_pixels")
+def _(spark, sf):
+    """The label of every pixel of the touching blobs."""
+    sc = fx.scenes(spark, sf)
+    mask = cp.clean_tree_mask(_seeds(spark, sf), sc, 12, 10000, _TILE)
+    return ins.split_instances(mask, sc, 3, _TILE).select(*_KEY, "label")
+
+
 def _level_sql(q: float, name: str) -> list[str]:
     return [f"""{name}_m AS (SELECT px.scene_id, y, x FROM px JOIN (SELECT scene_id, quantile_cont(b1, {q}) AS q FROM px GROUP BY scene_id) t ON t.scene_id = px.scene_id WHERE b1 > q)""",
             _erode(f"{name}_m", f"{name}_e", _SQUARE1), _dilate(f"{name}_e", f"{name}_d", _SQUARE1)]

@@ -84,6 +84,24 @@ def _(spark, sf):
     return rs.resize_bilinear(fx.pixels(spark, sf), _sizes(spark, sf, 47, 61), ["b2"]).select(*_KEY, r6("b2"))
 
 
+_GAPS = fx.PX.replace("CAST(o_custkey AS DOUBLE) AS b2", "CASE WHEN o_custkey % 29 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS b2")
+_TERMS = (("(1 - ty) * (1 - tx)", "a"), ("(1 - ty) * tx", "b"), ("ty * (1 - tx)", "c"), ("ty * tx", "e"))
+
+
+def _gaps(spark, sf):
+    """Pixels without a value every so often."""
+    return fx.pixels(spark, sf).withColumn("b2", F.when(F.col("b2") % 29 != 0, F.col("b2")))
+
+
+@query("resize_bilinear_nodata", fx.with_(_GAPS, fx.SCENES, _DST.format(h=47, w=61), _BIL.format(h=47, w=61)) + f"""SELECT k.scene_id, CAST(k.y AS INT) AS y, CAST(k.x AS INT) AS x,
+  round({" + ".join(f"CASE WHEN {w} = 0 THEN 0 ELSE {w} * {t}.b2 END" for w, t in _TERMS)}, 6) AS b2 FROM k
+  JOIN px a ON a.scene_id = k.scene_id AND a.y = y0 AND a.x = x0 JOIN px b ON b.scene_id = k.scene_id AND b.y = y0 AND b.x = least(x0 + 1, sw - 1)
+  JOIN px c ON c.scene_id = k.scene_id AND c.y = least(y0 + 1, sh - 1) AND c.x = x0
+  JOIN px e ON e.scene_id = k.scene_id AND e.y = least(y0 + 1, sh - 1) AND e.x = least(x0 + 1, sw - 1)""")
+def _(spark, sf):
+    return rs.resize_bilinear(_gaps(spark, sf), _sizes(spark, sf, 47, 61), ["b2"]).select(*_KEY, r6("b2"))
+
+
 _CUB = """CASE WHEN abs({t} - {k}) <= 1 THEN (1.25 * abs({t} - {k}) - 2.25) * abs({t} - {k}) * abs({t} - {k}) + 1
   WHEN abs({t} - {k}) < 2 THEN ((-0.75 * abs({t} - {k}) + 3.75) * abs({t} - {k}) - 6.0) * abs({t} - {k}) + 3.0 ELSE 0 END"""
 
@@ -98,6 +116,16 @@ def _(spark, sf):
     return rs.resize_bicubic(fx.pixels(spark, sf), _sizes(spark, sf, 47, 61), ["b2"]).select(*_KEY, r6("b2"))
 
 
+@query("resize_bicubic_nodata", fx.with_(_GAPS, fx.SCENES, _DST.format(h=47, w=61), f"""p AS (SELECT *, (y + 0.5) * sh / 47 - 0.5 AS sy, (x + 0.5) * sw / 61 - 0.5 AS sx FROM d),
+q AS (SELECT *, CAST(floor(sy) AS INT) AS iy, CAST(floor(sx) AS INT) AS ix, sy - floor(sy) AS ty, sx - floor(sx) AS tx FROM p),
+ky AS (SELECT *, unnest([-1, 0, 1, 2]) AS a FROM q), kx AS (SELECT *, unnest([-1, 0, 1, 2]) AS b FROM ky),
+w AS (SELECT scene_id, y, x, greatest(0, least(iy + a, sh - 1)) AS yy, greatest(0, least(ix + b, sw - 1)) AS xx,
+  ({_CUB.format(t='ty', k='a')}) * ({_CUB.format(t='tx', k='b')}) AS w FROM kx)""") + """SELECT w.scene_id, CAST(w.y AS INT) AS y, CAST(w.x AS INT) AS x, CASE WHEN count(b2) = count(*) THEN round(sum(w * b2), 6) END AS b2
+  FROM w JOIN px ON px.scene_id = w.scene_id AND px.y = yy AND px.x = xx GROUP BY ALL""")
+def _(spark, sf):
+    return rs.resize_bicubic(_gaps(spark, sf), _sizes(spark, sf, 47, 61), ["b2"]).select(*_KEY, r6("b2"))
+
+
 @query("upsample_repeat", fx.with_(fx.PX) + """SELECT scene_id, CAST(y * 3 + dy AS INT) AS y, CAST(x * 3 + dx AS INT) AS x, b2
   FROM px, (SELECT unnest([0, 1, 2]) AS dy) a, (SELECT unnest([0, 1, 2]) AS dx) b""")
 def _(spark, sf):

@@ -36,7 +36,7 @@ def region_props(labels: DataFrame) -> DataFrame:
     return r.withColumn("eccentricity", ecc).drop("_vy", "_vx", "_vxy")
 
 
-def _border(labels: DataFrame) -> DataFrame:
+def border(labels: DataFrame) -> DataFrame:
     """Region pixels with a 4-neighbour outside their region; the scene's
     outside counts as such."""
     offs = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 0), *CROSS)])
@@ -51,7 +51,7 @@ def _border(labels: DataFrame) -> DataFrame:
 def region_perimeter(labels: DataFrame) -> DataFrame:
     """Perimeter: border pixels weighted by the pattern of their border
     neighbours (1 for itself, 2 per side, 10 per corner)."""
-    edge = _border(labels)
+    edge = border(labels)
     sent = edge.withColumn("_o", F.explode(F.array(*[
         F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w"))
         for a, b, w in [(0, 0, 1)] + [(a, b, 2) for a, b in CROSS] + [(a, b, 10) for a, b in RING[4:]]])))
@@ -159,7 +159,7 @@ def polygonize(labels: DataFrame, scenes: DataFrame, min_area: int = 25, tile: i
     as distributed lists; only a region's kept points meet in a row.
     """
     area = labels.groupBy(*REGION).agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
-    edge = _border(labels.join(area.select(*REGION), REGION, "left_semi"))
+    edge = border(labels.join(area.select(*REGION), REGION, "left_semi"))
 
     kept = simplified(outer_rings(edge, scenes, tile), fv.OUTLINE_TOLERANCE)
     # the kept points are the result's own row

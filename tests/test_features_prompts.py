@@ -204,6 +204,30 @@ def test_plane_survives_resizing(spark, make):
     assert np.allclose(flat, 3.0)
 
 
+@pytest.mark.parametrize("kernel", ["bilinear", "bicubic"])
+def test_resizing_keeps_nodata(spark, make, kernel):
+    """An output is NULL where a source that it draws on is NULL or missing, else as without gaps."""
+    a = np.arange(48.0).reshape(6, 8) ** 1.5
+    sizes = spark.createDataFrame([(0, 6, 8, 13, 21)], "scene_id bigint, src_h int, src_w int, dst_h int, dst_w int")
+    fn = rs.resize_bilinear if kernel == "bilinear" else rs.resize_bicubic
+    whole = make.array(fn(make.values(a), sizes, ["v"]), (13, 21), "v")
+    df = make.values(a)
+    holes = df.withColumn("v", F.when(~((F.col("y") == 2) & (F.col("x") == 3)), F.col("v"))).where("not (y = 5 and x = 7)")
+    got = {(r["y"], r["x"]): r["v"] for r in fn(holes, sizes, ["v"]).collect()}
+    for y in range(13):
+        for x in range(21):
+            sy, sx = (y + .5) * 6 / 13 - .5, (x + .5) * 8 / 21 - .5
+            if kernel == "bilinear":
+                sy, sx = min(max(sy, 0), 5), min(max(sx, 0), 7)
+                near = lambda s, p: abs(s - p) < 1
+                uses = (near(sy, 2) and near(sx, 3)) or (near(sy, 5) and near(sx, 7))
+            else:
+                taps = lambda s, n: {min(max(int(np.floor(s)) + k, 0), n - 1) for k in (-1, 0, 1, 2)}
+                uses = (2 in taps(sy, 6) and 3 in taps(sx, 8)) or (5 in taps(sy, 6) and 7 in taps(sx, 8))
+            v = got.get((y, x))
+            assert (v is None) if uses else v == pytest.approx(whole[y, x]), (y, x)
+
+
 def test_block_shift_finds_the_move(spark, make):
     rng = np.random.default_rng(11)
     a = rng.random((128, 128))

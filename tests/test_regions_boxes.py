@@ -87,7 +87,7 @@ def test_ranked_outlines_equal_a_plain_walk(spark, make, seed, tile):
     a = regions_of(seed)
     df = make.values(a, "label").where("label > 0").withColumn("label", F.col("label").cast("bigint"))
     sc = make.scenes(a.shape)
-    rings = ol.outer_rings(rg._border(df), sc, tile)
+    rings = ol.outer_rings(rg.border(df), sc, tile)
     got, short = {}, {}
     for r in rings.orderBy("label", "rank").collect():
         assert r["rank"] == len(got.setdefault(r["label"], []))
@@ -95,7 +95,7 @@ def test_ranked_outlines_equal_a_plain_walk(spark, make, seed, tile):
     for r in ol.simplified(rings, 0.01).orderBy("label", "rank").collect():
         short.setdefault(r["label"], []).append((int(r["y"]), int(r["x"])))
     for label in range(1, 7):
-        edge = {(r["y"], r["x"]) for r in rg._border(df.where(F.col("label") == label)).collect()}
+        edge = {(r["y"], r["x"]) for r in rg.border(df.where(F.col("label") == label)).collect()}
         ring = max(plain_rings.outer_contours(edge), key=plain_rings.ring_area)
         assert got.get(label, ring[:1]) == ring
         pts = np.array(ring, float)
