@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import geo
 from ..operators import align as al, merge as mg, resample as rs, stencil as st
 from . import fixtures as fx
@@ -43,10 +44,36 @@ def _(spark, sf):
                                 _images(spark, sf).withColumn("epsg", F.lit(25832)))
 
 
-@query("reproject_nearest_across_zones")
+def _forward_sql(src: str, middle: int) -> str:
+    """Add ce, cn: the projected place of lat, lon about a central meridian."""
+    r, ecc = fv.UTM_K0 * geo._R, geo._ECC
+    east = "eta" + "".join(f" + ({c!r}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(geo._FORWARD, 1))
+    north = "xi" + "".join(f" + ({c!r}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(geo._FORWARD, 1))
+    return f"""{src}_s AS (SELECT *, sin(radians(lat)) AS s FROM {src}),
+{src}_t AS (SELECT *, sinh(atanh(s) - {ecc!r} * atanh({ecc!r} * s)) AS t, radians(lon - {middle}.0) AS d FROM {src}_s),
+{src}_u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM {src}_t),
+{src}_f AS MATERIALIZED (SELECT * EXCLUDE (s, t, d, xi, eta), 500000.0 + {r!r} * ({east}) AS ce, {r!r} * ({north}) AS cn FROM {src}_u)"""
+
+
+def _inverse_sql(src: str, middle: int, out: str, steps: int = 14) -> str:
+    """Add lat, lon of te, tn: the forward projection, corrected until it meets the place."""
+    parts = [f"""{out}0 AS (SELECT *, tn / 111000.0 AS lat, {middle}.0 + (te - 500000.0) / (111000.0 * cos(radians(tn / 111000.0))) AS lon FROM {src})"""]
+    for k in range(steps):
+        parts += [_forward_sql(f"{out}{k}", middle), f"""{out}{k + 1} AS (SELECT * EXCLUDE (ce, cn) REPLACE (
+  lat + degrees((tn - cn) / 6380000.0) AS lat, lon + degrees((te - ce) / (6380000.0 * cos(radians(lat)))) AS lon) FROM {out}{k}_f)"""]
+    return ", ".join(parts) + f", {out} AS (SELECT * FROM {out}{steps})"
+
+
+@query("reproject_nearest_across_zones", fx.with_(fx.PX1, """im AS (SELECT DISTINCT CAST((o_orderkey // 100) // 30 AS BIGINT) AS scene_id FROM orders),
+o AS (SELECT scene_id, 500002.0 AS te, 5899996.0 - 6.0 * scene_id AS tn FROM im)""", _inverse_sql("o", 9, "oi"), _forward_sql("oi", 3),
+    """g AS (SELECT scene_id, y, unnest(range(0, 40)) AS x, ce, cn FROM (SELECT *, unnest(range(0, 20)) AS y FROM oi_f)),
+gt AS (SELECT scene_id, y, x, ce + 0.2 * (x + 0.5) AS te, cn - 0.2 * (y + 0.5) AS tn FROM g)""", _inverse_sql("gt", 3, "gi"), _forward_sql("gi", 9),
+    "c AS (SELECT scene_id, CAST(floor((ce - 500000.0) / 0.2) AS INT) AS sx, CAST(floor((5900000.0 - cn) / 0.2) AS INT) AS sy FROM gi_f)") +
+       """SELECT c.scene_id, coalesce(CAST(b2 AS INT) % 2, -1) AS label, count(*) AS n FROM c LEFT JOIN px ON px.y = sy AND px.x = sx GROUP BY ALL""")
 def _(spark, sf):
     """Targets in the neighbouring zone: each image is laid out around the
-    place its label pixels have there."""
+    place its label pixels have there. The SQL inverts the projection by
+    correcting a guess with the forward series."""
     s = fx.scenes(spark, sf).select(
         "scene_id", F.lit(20).alias("height"), F.lit(40).alias("width"), F.lit(500002.0).alias("e0"),
         (F.lit(5899996.0) - 6.0 * F.col("scene_id")).alias("n0"), F.lit(25832).alias("epsg0"), F.lit(32631).alias("epsg"))

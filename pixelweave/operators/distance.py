@@ -29,27 +29,36 @@ def _to_gap(pos: np.ndarray, length: np.ndarray, cuts: np.ndarray) -> np.ndarray
 
 
 def _envelope(g: np.ndarray) -> np.ndarray:
-    """min over j of g[j] + (i - j)**2 by the lower envelope of parabolas, in linear time."""
-    n, top = len(g), -1
-    at, start = [0] * n, [0.0] * (n + 1)
-    v = g.tolist()
-    for j in range(n):
-        if v[j] >= _FAR:
-            continue
-        while top >= 0:
-            k = at[top]
-            cross = (v[j] + j * j - v[k] - k * k) / (2 * (j - k))
-            if cross > start[top]:
-                break
-            top -= 1
-        top += 1
-        at[top] = j
-        start[top] = cross if top else float("-inf")
-    if top < 0:
+    """min over j of g[j] + (i - j)**2.
+
+    The first best j does not fall as i grows, so positions are settled by
+    halving steps: one between two settled ones only looks between their bests.
+    A level is a few array operations and looks at about twice as many values
+    as there are positions.
+    """
+    n, j = len(g), np.flatnonzero(g < _FAR)
+    if not len(j):
         return g
-    which = np.searchsorted(np.array(start[1:top + 1]), np.arange(n), "left")
-    j = np.array(at[:top + 1])[which]
-    return g[j] + (np.arange(n) - j) ** 2
+    v, best = g[j], np.zeros(n, np.int64)
+    step = 1 << max(0, n - 1).bit_length()
+    i = np.zeros(1, np.int64)
+    low, high = np.zeros(1, np.int64), np.full(1, len(j) - 1)
+    while True:
+        size = high - low + 1
+        start = np.cumsum(size) - size
+        who = np.repeat(np.arange(len(i)), size)
+        at = np.arange(size.sum()) - start[who] + low[who]
+        value = v[at] + (i[who] - j[at]) ** 2
+        hit = np.flatnonzero(value == np.minimum.reduceat(value, start)[who])
+        best[i] = at[hit[np.searchsorted(who[hit], np.arange(len(i)))]]
+        if step == 1:
+            return v[best] + (np.arange(n) - j[best]) ** 2
+        step >>= 1
+        i = np.arange(step, n, 2 * step)
+        if not len(i):
+            i = np.zeros(1, np.int64)      # nothing new at this step
+        low = np.where(i >= step, best[np.maximum(i - step, 0)], 0)
+        high = np.where((i > 0) & (i + step < n), best[np.minimum(i + step, n - 1)], len(j) - 1)
 
 
 def _nearest(g: np.ndarray, side: np.ndarray, cuts: np.ndarray) -> np.ndarray:

@@ -108,6 +108,16 @@ def test_distance_of_long_runs(spark, make):
     assert np.array_equal(got[a], want[a])
 
 
+def test_envelope_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 64, 65, 300):
+        for share in (0.0, 0.1, 1.0):
+            g = np.where(rng.random(n) < share, rng.integers(0, n * n // 3 + 2, n), ds._FAR)
+            i = np.arange(n)
+            want = (g[None] + (i[:, None] - i[None]) ** 2).min(1)
+            assert (ds._envelope(g) == np.where((g < ds._FAR).any(), want, g)).all(), (n, share)
+
+
 def test_distance_of_a_full_wide_row(spark, make):
     n = 100_000
     row = spark.range(1, n).select(F.lit(0).cast("bigint").alias("scene_id"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"))
