@@ -2,6 +2,7 @@
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import sources as src
@@ -10,6 +11,7 @@ from ..functions.scalar import response_ok
 from ..operators.pixels import pick_bands
 from ..operators.tiles import assign_tiles, tile_shifted
 from ..session import checkpoint_folder
+from ..sources.listing import open_folder
 from . import fixtures as fx
 from .registry import query, r6
 
@@ -33,6 +35,31 @@ def _(spark, sf):
     return src.chip_manifest(files)
 
 
+@query("list_files", fx.with_(_CHIPS) + """SELECT substr(path, 8) AS path, CAST(length % 97 AS BIGINT) AS length FROM ch WHERE path LIKE '%.tif' OR path LIKE '%.TIFF'""")
+def _(spark, sf):
+    """A tree of files, a folder for each segment and one below it for each last
+    digit's half, is written by tasks and listed by tasks."""
+    c, k = fx.table(spark, sf, "customer"), F.col("c_custkey") % 5
+    end = F.when(k == 0, ".tif").when(k == 1, ".TIFF").when(k == 2, ".tif.aux.xml").when(k == 3, ".png").otherwise("_tif")
+    at = _folder(spark)
+    c.select(F.lower("c_mktsegment").alias("folder"), F.concat(F.lit("c"), "c_custkey", end).alias("name"),
+             ((F.col("c_nationkey") * 1000 + F.col("c_custkey")) % 97).cast("int").alias("n")).repartition("folder").mapInArrow(
+        lambda batches: _put_files(at, batches), "files bigint").agg(F.sum("files")).collect()
+    got = src.read_manifest(spark, at)
+    return got.select(F.regexp_replace("path", "^.*/([^/]+)/(?:odd|even)/([^/]+)$", "$1/$2").alias("path"), "length")
+
+
+def _put_files(at, batches):
+    system, top = open_folder(at)
+    for b in batches:
+        for folder, name, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            where = f"{top}/{folder}/{'odd' if n % 2 else 'even'}"
+            system.create_dir(where)
+            with system.open_output_stream(f"{where}/{name}") as f:
+                f.write(b"x" * n)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([b.num_rows], pa.int64())})
+
+
 @query("read_pixels", fx.with_(fx.PX8) + "SELECT scene_id, y, x, b1, CASE WHEN b3 <> 50 THEN b3 END AS b3, CASE WHEN b8 <> 50 THEN b8 END AS b8 FROM px")
 def _(spark, sf):
     """Pixels are written with a nodata value and NaN and read back with three of eight bands."""

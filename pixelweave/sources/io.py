@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions.scalar import fetch_ok
+from .listing import list_files
 
 BLOCK = 256                   # rows and columns of a block of stored pixels
 SCENES = ("scene_id bigint, height int, width int, n_bands int, dtype string, epsg int, "
@@ -19,10 +20,10 @@ TRAINING_TILES = ("tile_name string, height int, width int, image array<array<do
 
 
 def read_manifest(spark: SparkSession, folder: str, recursive: bool = True, limit: int | None = None,
-                  suffixes: Sequence[str] = fv.CHIP_SUFFIXES) -> DataFrame:
-    """Paths and lengths of raster chips, sorted. Contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
-    return chip_manifest(files, limit, suffixes)
+                  suffixes: Sequence[str] = fv.CHIP_SUFFIXES, depth: int = 1) -> DataFrame:
+    """Paths and lengths of raster chips, sorted. Contents are never read, and
+    tasks list the folders: one for each of the first ``depth`` levels."""
+    return chip_manifest(list_files(spark, folder, recursive, depth, suffixes), limit, suffixes)
 
 
 def chip_manifest(files: DataFrame, limit: int | None = None, suffixes: Sequence[str] = fv.CHIP_SUFFIXES) -> DataFrame:

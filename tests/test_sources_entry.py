@@ -14,6 +14,21 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+def test_listing_is_split_by_folder(spark, tmp_path):
+    for i, name in enumerate(["a.tif", "x/b.tif", "x/deep/c.tiff", "y/d.png", "z/e.TIF", "x/deep/deeper/f.tif"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" * i)
+    for depth, parts in ((1, 4), (2, 5)):
+        got = src.list_files(spark, f"file://{tmp_path}", depth=depth)
+        assert sorted((r["path"].removeprefix(str(tmp_path)), r["length"]) for r in got.collect()) == sorted(
+            [("/a.tif", 0), ("/x/b.tif", 1), ("/x/deep/c.tiff", 2), ("/y/d.png", 3), ("/z/e.TIF", 4), ("/x/deep/deeper/f.tif", 5)])
+        assert got.rdd.getNumPartitions() == parts
+    assert src.list_files(spark, str(tmp_path), suffixes=["tif"]).count() == 3
+    assert src.list_files(spark, str(tmp_path), recursive=False).count() == 1
+    (tmp_path / "none").mkdir()
+    assert src.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_manifest_lists_four_spellings(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for n in ("b.tif", "a.TIFF", "c.tiff", "d.TIF", "e.png", "f.tif.aux.xml", "sub/g.tif"):
