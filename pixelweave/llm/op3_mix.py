@@ -56,29 +56,38 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return per.select("source", "source_size", "source_rows", target.alias("target"))
 
 
-def mix(sizes: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of (doc_id, source, size)."""
-    goal = targets(sizes, repeats)
-    rows = sizes.withColumn("_key", random_key("doc_id", seed))
+def _taken(rows: DataFrame, goal: DataFrame, order: list[str]) -> DataFrame:
+    """Rows (source, size, _key and others) with source_size, target and taken."""
     # a few sources: the join side is one row per source
     rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    rows = running_sum(rows, ["source"], "_key", "source_rows", ["_key", "doc_id", "size"], F.col("size"), "_start")
+    rows = running_sum(rows, ["source"], "_key", "source_rows", order, F.col("size"), "_start")
     budget = F.floor(F.col("target")).cast("bigint")
     some = F.col("source_size") > 0
     epochs = F.when(some, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = budget - epochs * F.col("source_size")
     cut = F.least(F.greatest(rest - F.col("_start"), F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target",
-                       (epochs * F.col("size") + cut).cast("bigint").alias("taken"))
+    return rows.withColumn("taken", (epochs * F.col("size") + cut).cast("bigint"))
+
+
+def mix(sizes: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of (doc_id, source, size)."""
+    rows = sizes.withColumn("_key", random_key("doc_id", seed))
+    return _taken(rows, targets(sizes, repeats), ["_key", "doc_id", "size"]).select(
+        "doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The documents of the mix: each as often as an epoch takes words of it.
-    Texts stay whole. Documents are matched by doc_id."""
-    plan = mix(sized(docs), repeats).where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("__mix_id")).agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__mix_copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__mix_id"])).withColumn(
-        "__mix_copies", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
+    """The documents of the mix: each row as often as an epoch takes words of it.
+
+    Texts stay whole. Every row is planned by itself, whatever its id: its key
+    is a hash of all its columns, and the row goes through the plan as a value.
+    """
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_REGEX)), F.lit(0)).cast("bigint")
+    key = F.md5(F.concat(F.lit(seed), F.xxhash64("doc").cast("string")).cast("binary"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("_key", key)
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    plan = _taken(rows, targets(sized(docs), repeats), ["_key", "size"]).where(F.col("taken") > 0)
+    return plan.select("doc", F.explode(F.sequence(F.lit(1), copies))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,26 @@ def test_mix_edge_cases(spark):
     assert whole.columns == [*df.columns, "_id"] and whole.where("doc_id is null").count() == 0 and whole.count() == 2
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_mixed_meets_its_targets_by_row(spark, same):
+    """Half of the rows share one id or have none; every row counts by itself."""
+    r = random.Random(3)
+    rows = [(same if i % 2 else 1000 + i, " ".join(f"w{i}" for _ in range(r.randint(1, 20))), r.choice(["a", "a", "b", "b", "b", "b", "c"])) for i in range(400)]
+    df = docs(spark, rows).withColumn("n", F.monotonically_increasing_id()).withColumn("_b", F.lit(2)).withColumn("size", F.lit("x"))
+    goal = {g["source"]: g["target"] for g in op3_mix.targets(op3_mix.sized(df)).collect()}
+    out = op3_mix.mixed(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    for s, t in goal.items():
+        words = sum(len(g["text"].split()) for g in got if g["source"] == s)
+        assert t - 20 <= words <= t + 20                         # the row at the cut stays whole
+    copies = {}
+    for g in got:
+        copies[g["n"]] = copies.get(g["n"], 0) + 1
+    assert max(copies.values()) <= 3
+    assert sorted(map(str, op3_mix.mixed(df).collect())) == sorted(map(str, got))
+
+
 def smallest_capacity(sizes, shards):
     def fits(c):
         n, at = 1, 0
@@ -113,6 +133,13 @@ def test_archive_round_trip(spark):
             (7, "u", small), (8, "u", small), (9, "u", None), (10, "u", ""), (None, "u", "y" * 300), (11, "u", "z" * 2_000_000)]
     df = spark.createDataFrame([(*r, "clash", "c2") for r in rows],
                                "page_id bigint, url string, html string, digest string, payload string")
+    odd = [f"http://x{sep}WARC-Refers-To: <urn:page:77>{sep}y" for sep in ("\u2028", "\u2029", "\u0085", "\x0b", "\x0c")] + ["", None]
+    more = spark.createDataFrame([(100 + i, u, f"page {i} " * 30, "c", "c2") for i, u in enumerate(odd)], df.schema)
+    folder = f"{checkpoint_folder(spark)}/test-archive-{random.random()}"
+    op7_warc.write_archive(more, folder)
+    back = {g["page_id"]: g for g in op7_warc.read_records(spark, folder).collect()}
+    assert [back[100 + i]["url"] for i in range(len(odd))] == odd
+    assert all(g["record_type"] == "response" and g["refers_to"] is None for g in back.values())
     folder = f"{checkpoint_folder(spark)}/test-archive-{random.random()}"
     op7_warc.write_archive(df, folder)
     got = op7_warc.read_records(spark, folder).collect()
