@@ -58,6 +58,14 @@ PART_SETS = 1024          # sets of a group's part
 FEW = 64                  # pairs that are looked up one by one
 
 
+def _table(df: DataFrame) -> DataFrame:
+    """``df`` as a table; the shuffles behind it are deleted as soon as the
+    driver's collector has let go of their plans, so it runs here."""
+    out = cut_lineage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def shingles(text: bytes | None, k: int, memo: WordHash) -> np.ndarray:
     """Sorted distinct shingle hashes of the lower-cased text."""
     h = np.sort(gram_hashes(memo.of(spaced_words(text.lower() if text else None)), k))
@@ -154,8 +162,8 @@ def _signatures(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
     return docs.select(as_bytes().alias("text")).mapInArrow(run, "fp binary, tokens array<bigint>")
 
 
-def _routes(tokens: DataFrame, percent: int) -> DataFrame:
-    """(sid, routes): the opened groups each set goes to, as member or query, from (token, sid, n, pivot).
+def _routes(tokens: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(sid, routes) and the tables that it reads: the opened groups each set goes to, as member or query, from (token, sid, n, pivot).
 
     Of two groups the sets of the one of less volume ask the other, so those of
     a large group don't ask the many small ones around it.
@@ -167,15 +175,16 @@ def _routes(tokens: DataFrame, percent: int) -> DataFrame:
         "sid", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("sid"), "parts")).alias("g")))
     groups = cut_lineage(member.groupBy("g").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"), F.sum("n").alias("volume")))
-    held = cut_lineage(tokens.select("token", "sid").join(member.join(groups.select("g", "volume").hint("merge"), "g").hint("merge"), "sid"))
+    held = _table(tokens.select("token", "sid").join(member.join(groups.select("g", "volume").hint("merge"), "g").hint("merge"), "sid"))
     # the token-group matrix
     matrix = held.select("token", "g").distinct().join(groups.hint("merge"), "g").select(
         "token", F.col("g").alias("to"), "least", "most", F.col("volume").alias("to_volume"))
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
     met = held.join(matrix.hint("merge"), "token").where((F.struct("to_volume", "to") > F.struct("volume", "g")) & fits)
     depth = F.floor(F.least(F.col("n"), F.greatest(F.col("least"), F.floor((F.col("n") * percent + 99) / 100))) * 3 / 100) + 1
-    asks = cut_lineage(met.groupBy("sid", "n", "to", "least").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select(
+    asks = _table(met.groupBy("sid", "n", "to", "least").agg(F.count("*").alias("c")).where(F.col("c") >= depth).select(
         "sid", "n", F.col("to").alias("g")))
+    drop_tables(held)
     slices = asks.groupBy("g").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("slices"))
     opened = groups.select("g", "sets").join(slices.hint("merge"), "g", "left").where((F.col("sets") > 1) | F.col("slices").isNotNull()).select(
         "g", F.coalesce("slices", F.lit(1)).alias("slices"))
@@ -183,7 +192,8 @@ def _routes(tokens: DataFrame, percent: int) -> DataFrame:
         "sid", "g", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
     as_query = asks.join(opened.hint("merge"), "g").select(
         "sid", "g", F.pmod(F.xxhash64("sid", "g"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"))
-    return as_member.unionByName(as_query).groupBy("sid").agg(F.collect_list(F.struct("g", "slice", "asks")).alias("routes"))
+    routes = as_member.unionByName(as_query).groupBy("sid").agg(F.collect_list(F.struct("g", "slice", "asks")).alias("routes"))
+    return routes, [member, groups, asks]
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -326,7 +336,7 @@ def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
 
 def _named(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, fp) of every row, and (fp, first, root) of every set with words: its smallest id and its class."""
-    described = cut_lineage(_described(docs, k))
+    described = _table(_described(docs, k))
     counts = _frequencies(described.where("sketch is not null").select("sketch"))
     rows = described.where("sketch is null").select("doc_id", "hash", "n", "fp")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
@@ -337,11 +347,12 @@ def _named(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     signed = _signatures(docs, k, percent, shared).groupBy("fp").agg(F.first("tokens").alias("tokens"))
     each = signed.join(sets.hint("merge"), "fp").select("sid", "n", F.explode("tokens").alias("token"))
     many = each.groupBy("token").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    tokens = cut_lineage(each.join(many.hint("merge"), "token").select("token", "sid", "n", "pivot"))
+    tokens = _table(each.join(many.hint("merge"), "token").select("token", "sid", "n", "pivot"))
     shared.destroy()
-    needed = sets.join(_routes(tokens, percent).hint("merge"), "sid").select("first", "text", "fp", "sid", "routes")
-    links = cut_lineage(_links(docs, needed, k, percent))
-    drop_tables(tokens)
+    routes, used = _routes(tokens, percent)
+    needed = sets.join(routes.hint("merge"), "sid").select("first", "text", "fp", "sid", "routes")
+    links = _table(_links(docs, needed, k, percent))
+    drop_tables(tokens, *used)
     root = solve_edges(links.select(F.lit(0).alias("scene_id"), "u", "v")).select(F.col("u").alias("sid"), F.col("v").alias("root"))
     return rows, sets.join(root.hint("merge"), "sid", "left").select("fp", "first", F.coalesce("root", "sid").alias("root"))
 
