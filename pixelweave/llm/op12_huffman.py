@@ -49,7 +49,7 @@ END = 2
 LONGEST = 16
 BLOCK_IDS = 1 << 16
 EVERY = 64
-MEMORY = 500_000
+MEMORY = 800_000
 _VISIBLE = "[!-~¡-ɏ]"      # no white space among them
 _CUT = re.compile(f"(?<={_VISIBLE})(?=[ \n]{_VISIBLE})")
 _WORD = re.compile(f"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL).fullmatch
@@ -70,21 +70,25 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes | None:
         plain = _LETTERS(word)
-        if plain and plain[2]:
+        if plain is None:
+            ids = self._mixed(word)
+            if ids is None:
+                return None
+        elif plain[2]:
             ids = self[plain[1]] + self.encoder.marks(plain[2])
-        elif plain:
-            ids = self.encoder.after(self.lead, word)
-        elif "\n" in word and _LINES(word):
-            first, *lines = word.split("\n")
-            return self[first] + b"".join(map(self.encoder.lines.__getitem__, lines))
-        elif _WORD(word):
-            ids = self.encoder.whole(self.lead + word)
         else:
-            return None
-        if len(self) < MEMORY and len(word) <= 64:
+            ids = self.encoder.after(self.lead, word)
+        if len(self) < MEMORY and len(word) <= 64 and "\n" not in word:
             self[word] = ids
         return ids
 
+    def _mixed(self, word: str) -> bytes | None:
+        if "\n" in word:
+            first, *lines = word.split("\n")
+            if all(map(_WORD, (first, *lines))):
+                return self[first] + b"".join(map(self.encoder.lines.__getitem__, lines))
+        return self.encoder.whole(self.lead + word) if _WORD(word) else None
+
 
 class _Encoder:
     """The vocabulary's ids of texts, with remembered words."""
@@ -99,6 +103,7 @@ class _Encoder:
         # how the vocabulary writes letters and spaces
         signs = [chr(c) for c in range(0x21, 0x100) if _LETTERS(chr(c))]
         self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in [" ", "\n", *signs]})
+        self.space = self.written[ord(" ")]
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.kind.char, ids).tobytes()
@@ -112,7 +117,11 @@ class _Encoder:
 
     def after(self, lead: str, letters: str) -> bytes:
         """Ids of letters after a space, which joins them, or a line feed, which doesn't."""
-        return self.piece(" " + letters) if lead == " " else self.piece(lead) + self.piece(letters)
+        if lead == "\n":
+            return self.marks(lead) + self.piece(letters)
+        if not letters.isascii():
+            return self.piece(" " + letters)
+        return array(self.kind.char, [t.id for t in self.tokenizer.model.tokenize(self.space + letters)]).tobytes()
 
     def of(self, text: str) -> bytes:
         first, *rest = text.split(" ")
