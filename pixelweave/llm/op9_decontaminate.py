@@ -1,26 +1,31 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Every run of ``window`` consecutive words of a benchmark item is a pattern; an
-item of fewer words is one pattern. For patterns of one length m a table gives
-for each block of two words how far the search may jump: m - (the last place
-where the block ends in a pattern), and a word that no pattern holds lets it
-jump by m. Only a block that ends a pattern stops the search; the bucket of
-that block lists the patterns to compare directly with the words before it.
+item of fewer words is one pattern. Words are numbers. For patterns of one
+length m a table of one byte per hashed block of two words tells how far the
+search may jump: m - (the last place where a block of that hash ends in a
+pattern), and a word that no pattern holds lets it jump by m. Only a block that
+may end a pattern stops the search; the bucket of its hash lists the patterns to
+compare directly with the words before it.
 
 Each task streams its documents once. The tables are broadcast, a block of
-items of at most ``BLOCK_BYTES`` of text at a time (by hash of the text); a
-larger benchmark is searched block after block in one pipeline of passes over
-the same rows, without a shuffle.
+items of about ``BLOCK_BYTES`` of text and ids at a time (rows that repeat text
+and id are taken once); a larger benchmark is searched block after block in one
+pipeline of passes over the same rows, without a shuffle. A block keeps its
+distinct words and four bytes a word of each distinct pattern, whatever the
+number of items that share it.
 
 Defined results: null or wordless texts have no words, hits or windows. An item
 without an id marks words but isn't listed. Items that repeat an id count once.
-Texts are whole whatever their length; other columns don't matter.
+Texts are whole whatever their length; an empty benchmark hits nothing and an
+empty corpus gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,55 +33,102 @@ from .text import alnum_words, as_bytes
 
 NAME = "op9_decontaminate"
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _STATE = "n_words bigint, spans array<bigint>, items array<string>"
+_ODD = 0x9E3779B1
 
 
 class WuManber:
-    """Patterns of one length: jumps by block and buckets by last block."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.m = len(next(iter(patterns)))
-        self.block = min(2, self.m)
-        self.words: set[bytes] = set()
-        self.jump: dict = {}
-        self.bucket = defaultdict(list)
-        for p, items in patterns.items():
-            self.words.update(p)
-            for end in range(self.block, self.m + 1):
-                b = p[end - self.block:end]
-                self.jump[b] = min(self.jump.get(b, self.m), self.m - end)
-            self.bucket[p[self.m - self.block:]].append((list(p), items))
-
-    def search(self, words: list[bytes]):
-        """(start, items) of every occurrence, in order."""
-        m, n, known, jump, far = self.m, len(words), self.words, self.jump, self.m - self.block + 1
-        i, back = m - 1, self.block - 1
+    """Patterns of one length: jumps by hashed block and buckets by hashed last block.
+
+    ``texts`` holds (owner, word numbers) of the texts; equal patterns are kept
+    once, with all their owners.
+    """
+
+    def __init__(self, texts: list[tuple[int, np.ndarray]], m: int):
+        self.m, self.block = m, min(2, m)
+        runs = [np.lib.stride_tricks.sliding_window_view(ids, m) for _, ids in texts]
+        owners = np.repeat(np.array([o for o, _ in texts], np.int32), [len(r) for r in runs])
+        patterns, which = np.unique(np.concatenate(runs), axis=0, return_inverse=True)
+        self.mask = max(1 << 12, 1 << (8 * len(patterns)).bit_length()) - 1
+        self.far = m - self.block + 1
+        jump = np.full(self.mask + 1, min(self.far, 255), np.uint8)
+        for end in range(self.block, m + 1):
+            np.minimum.at(jump, self._hash(patterns, end), np.uint8(min(m - end, 255)))
+        self.jump = jump.tobytes()
+        # buckets: patterns in the order of the hash of their last block
+        last = self._hash(patterns, m)
+        order = np.argsort(last, kind="stable")
+        self.bucket, first = np.unique(last[order], return_index=True)
+        self.first = np.append(first, len(order)).astype(np.int32)
+        self.patterns = patterns[order].astype(np.int32).tobytes()
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        pairs = np.unique(np.stack([place[which.ravel()], owners], axis=1), axis=0)
+        self.owners = pairs[:, 1].copy()
+        self.held = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)).astype(np.int32)
+
+    def _hash(self, patterns: np.ndarray, end: int) -> np.ndarray:
+        """Hash of the block that ends before word ``end`` of each pattern."""
+        last = patterns[:, end - 1].astype(np.int64)
+        return (last + _ODD * patterns[:, end - 2].astype(np.int64) if self.block == 2 else last) & self.mask
+
+    def search(self, words: list[bytes], number: dict[bytes, int]):
+        """(start, owners) of every occurrence, in order."""
+        m, n, jump, mask, two, width = self.m, len(words), self.jump, self.mask, self.block == 2, 4 * self.m
+        i = m - 1
         while i < n:
-            if words[i] not in known:
+            h = number.get(words[i])
+            if h is None:
                 i += m
                 continue
-            block = tuple(words[i - back:i + 1])
-            step = jump.get(block, far)
-            if step:
-                i += step
+            if two:
+                before = number.get(words[i - 1])
+                if before is None:
+                    i += self.far
+                    continue
+                h += _ODD * before
+            h &= mask
+            if jump[h]:
+                i += jump[h]
                 continue
             start = i - m + 1
-            for pattern, items in self.bucket[block]:
-                if words[start] == pattern[0] and words[start:i + 1] == pattern:
-                    yield start, items
+            ids = [number.get(w, -1) for w in words[start:i + 1]]
+            if min(ids) >= 0:
+                b = int(np.searchsorted(self.bucket, h))
+                key = np.array(ids, np.int32).tobytes()
+                for k in range(self.first[b], self.first[b + 1]):
+                    if self.patterns[k * width:(k + 1) * width] == key:
+                        yield start, self.owners[self.held[k]:self.held[k + 1]]
+                        break
             i += 1
 
 
-def tables(items: list[tuple[str | None, bytes | None]], window: int) -> list[WuManber]:
-    """One searcher per pattern length."""
-    by_length: dict = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        w = alnum_words(text)
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            by_length[m][tuple(w[i:i + m])].update([] if item is None else [item])
-    return [WuManber(p) for p in by_length.values()]
+class Tables:
+    """One searcher per pattern length, the numbers of the words, and the items of each text."""
+
+    def __init__(self, rows: list[tuple[str | None, bytes | None]], window: int):
+        of_text = defaultdict(list)
+        for item, text in rows:
+            of_text[text].append(item)
+        self.number: dict[bytes, int] = {}
+        self.items, by_length = [], defaultdict(list)
+        for text, items in of_text.items():
+            words = alnum_words(text)
+            if words:
+                ids = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32)
+                by_length[min(window, len(ids))].append((len(self.items), ids))
+                self.items.append([i for i in items if i is not None])
+        self.searchers = [WuManber(texts, m) for m, texts in by_length.items()]
+
+    def look(self, words: list[bytes]):
+        """Spans of the occurrences, and the items that have some."""
+        spans, texts = [], set()
+        for s in self.searchers:
+            for start, owners in s.search(words, self.number):
+                spans.append((start, start + s.m))
+                texts.update(owners.tolist())
+        return spans, {i for t in texts for i in self.items[t]}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -90,25 +142,17 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _look(searchers: list[WuManber], text: bytes | None):
-    words = alnum_words(text)
-    spans, items = [], set()
-    for s in searchers:
-        for start, found in s.search(words):
-            spans.append((start, start + s.m))
-            items |= found
-    return len(words), spans, items
-
-
 def _blocks(benchmark: DataFrame, window: int):
-    """Broadcast searchers, one block of items after the other."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes().alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Broadcast tables, one block of items after the other."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes().alias("text")).where(
+        F.octet_length("text") > 0).distinct()
+    size = bench.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     sc = benchmark.sparkSession.sparkContext
     for b in range(n):
-        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield sc.broadcast(tables([(r["item"], r["text"]) for r in part.collect()], window))
+        # by text and id: many items of one text are spread too
+        part = bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == b)
+        yield sc.broadcast(Tables([(r["item"], r["text"]) for r in part.collect()], window))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -123,9 +167,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             for batch in batches:
                 got = []
                 for text, spans, items in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
-                    n, more, found = _look(shared.value, text)
+                    words = alnum_words(text)
+                    more, found = shared.value.look(words)
                     old = list(zip(spans[::2], spans[1::2], strict=True))
-                    got.append((n, _merged(old + more), sorted(found.union(items))))
+                    got.append((len(words), _merged(old + more), sorted(found.union(items))))
                 n, spans, items = zip(*got, strict=True) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()),
@@ -133,7 +178,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     names=["doc_id", "text", "n_words", "spans", "items"])
         return run
 
-    found = list(_blocks(benchmark, window)) or [benchmark.sparkSession.sparkContext.broadcast([])]
+    found = list(_blocks(benchmark, window)) or [benchmark.sparkSession.sparkContext.broadcast(Tables([], window))]
     for shared in found:
         out = out.mapInArrow(scan(shared), f"doc_id {kind}, text binary, {_STATE}")
     return out.drop("text")
@@ -145,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         def run(batches):
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not _look(shared.value, t)[1] for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.look(alnum_words(t))[0] for t in texts], pa.bool_()))
         return run
 
     for shared in _blocks(benchmark, window):

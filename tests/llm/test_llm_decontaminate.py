@@ -1,6 +1,8 @@
 """Decontamination against brute force."""
 
+import pickle
 import random
+import tracemalloc
 
 import pytest
 
@@ -43,3 +45,21 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert op9.find(df.limit(0), bf, 4).count() == 0
     assert op9.clean(df, bf.limit(0), 4).count() == len(docs)
     assert [g["items"] for g in op9.find(df, bf.limit(0), 4).where("size(spans) > 0").collect()] == []
+
+
+def test_tables_are_small():
+    """A full block of the benchmark: 4 MB of text, and one text under many items."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(1 << 40):x}" for _ in range(60_000)]
+    rows, size = [], 0
+    while size < op9.BLOCK_BYTES:
+        rows.append((str(len(rows)), " ".join(r.choice(words) for _ in range(200)).encode()))
+        size += len(rows[-1][1])
+    rows += [(f"same {i}", rows[0][1]) for i in range(20_000)]
+    tracemalloc.start()
+    tables = op9.Tables(rows, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100e6 and len(pickle.dumps(tables)) < 60e6
+    spans, items = tables.look([b"zz", *rows[0][1].split()[5:30], b"yy"])
+    assert spans[0] == (1, 11) and spans[-1] == (16, 26) and len(spans) == 16 and len(items) == 20_001
