@@ -6,7 +6,9 @@ order of the keys; running word counts are the sum over earlier buckets plus a
 running sum inside the bucket. No source is sorted in one task. A source's
 budget is cut from its rows in key order, and taken again from the start while
 it exceeds what the source holds (epochs); the row at the cut gives its first
-words only, so a source is short of its budget by less than one word.
+words only, so a source is short of its budget by less than one word. Rows of
+equal id and size are planned as one with a count, so a bucket holds no more than
+its share of the keys and, for an id (or none) that many rows share, its sizes.
 
 Targets: source weights share all words; a source stops at ``repeats`` times
 its own size and the excess is shared anew by weight. The fixed point is
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .prefix import random_key, running_sum
+from .prefix import each_row, equal_rows, random_key, running_sum
 from .text import WORD_REGEX
 
 NAME = "op3_mix_sources"
@@ -56,11 +58,15 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return per.select("source", "source_size", "source_rows", target.alias("target"))
 
 
-def _taken(rows: DataFrame, goal: DataFrame, order: list[str]) -> DataFrame:
-    """Rows (source, size, _key and others) with source_size, target and taken."""
+def _taken(rows: DataFrame, goal: DataFrame, order: list[str], many: str | None = None) -> DataFrame:
+    """Rows (source, size, _key and others) with source_size, target and taken;
+    a row that stands for ``many`` is written as often."""
     # a few sources: the join side is one row per source
     rows = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    rows = running_sum(rows, ["source"], "_key", "source_rows", order, F.col("size"), "_start")
+    words = F.col("size") * F.col(many) if many else F.col("size")
+    rows = running_sum(rows, ["source"], "_key", "source_rows", order, words, "_start")
+    if many:
+        rows = each_row(rows, many, "_k").withColumn("_start", F.col("_start") + F.col("_k") * F.col("size"))
     budget = F.floor(F.col("target")).cast("bigint")
     some = F.col("source_size") > 0
     epochs = F.when(some, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -71,8 +77,8 @@ def _taken(rows: DataFrame, goal: DataFrame, order: list[str]) -> DataFrame:
 
 def mix(sizes: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of (doc_id, source, size)."""
-    rows = sizes.withColumn("_key", random_key("doc_id", seed))
-    return _taken(rows, targets(sizes, repeats), ["_key", "doc_id", "size"]).select(
+    rows = equal_rows(sizes.select("doc_id", "source", "size"), "_many").withColumn("_key", random_key(seed, "doc_id"))
+    return _taken(rows, targets(sizes, repeats), ["_key", "doc_id", "size"], "_many").select(
         "doc_id", "source", "size", "source_size", "target", "taken")
 
 

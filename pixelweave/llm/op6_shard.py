@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .prefix import random_key, running_sum
+from .prefix import each_row, equal_rows, random_key, running_sum
 
 NAME = "op6_shard_minimax"
 SHARDS = 24
@@ -158,9 +158,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumn("shard", shard_of(own, cuts, shards)).drop("key")
     # one row per shard
     counts = rows.groupBy("shard").agg(F.count("*").alias("_rows"))
-    rows = rows.join(F.broadcast(counts), "shard").withColumn("_key", random_key("doc_id", "slot"))
-    rows = running_sum(rows, ["shard"], "_key", "_rows", ["_key", "doc_id", "size", "text_crc32"],
-                       F.lit(1).cast("bigint"), "slot")
+    # slots by a hash of id and text; rows of equal id and text are counted as one
+    some = equal_rows(rows, "_many").join(F.broadcast(counts), "shard").withColumn(
+        "_key", random_key("slot", "doc_id", "size", "text_crc32"))
+    some = running_sum(some, ["shard"], "_key", "_rows", ["_key", "doc_id", "size", "text_crc32"], F.col("_many"), "slot")
+    rows = each_row(some, "_many", "_k").withColumn("slot", F.col("slot") + F.col("_k"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                        F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

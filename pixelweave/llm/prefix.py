@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKET_ROWS = 4096
+CHUNK = 4096     # equal rows written by one step
 
 
-def random_key(column: str, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(column).cast("string"), F.lit(""))).cast("binary"))
+def random_key(seed: str, *columns: str) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    between = [x for p in parts for x in (F.lit(":"), p)][1:]
+    return F.md5(F.concat(F.lit(seed), *between).cast("binary"))
+
+
+def equal_rows(df: DataFrame, name: str) -> DataFrame:
+    """The distinct rows, with their number in ``name``: rows that repeat are
+    combined before any shuffle, however many there are."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias(name))
+
+
+def each_row(df: DataFrame, name: str, index: str) -> DataFrame:
+    """Every row ``name`` times, with its ``index`` from 0, spread in chunks."""
+    keys = [c for c in df.columns if c != name]
+    chunks = df.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1, F.lit(CHUNK).cast("bigint"))))
+    last = F.least(F.col("_c") + CHUNK, F.col(name)) - 1
+    return chunks.repartition("_c", *keys).withColumn(index, F.explode(F.sequence("_c", last))).drop("_c", name)
 
 
 def running_sum(df: DataFrame, group: list[str], key: str, rows: str, order: list[str], value: Column,

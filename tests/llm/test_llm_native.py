@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.llm import op3_mix, op6_shard, op7_warc
+from pixelweave.llm import op3_mix, op6_shard, op7_warc, prefix
 from pixelweave.session import checkpoint_folder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -157,3 +157,26 @@ def test_archive_round_trip(spark):
     empty = f"{folder}-empty"
     op7_warc.write_archive(df.limit(0), empty)
     assert op7_warc.read_records(spark, empty).count() == 0
+
+
+def test_hot_ids_are_spread(spark, monkeypatch):
+    """A third of the rows without id, a third equal in id and text: no bucket grows with them."""
+    r = random.Random(8)
+    rows = [(None, "w " * r.randint(0, 9) + str(i), "a") for i in range(9_000)] + [(7, "same text", "a")] * 9_000 + [(100 + i, f"x {i}", "a") for i in range(9_000)]
+    df = docs(spark, rows)
+    held, plain = [], prefix.running_sum
+
+    def watched(df, group, key, size, order, value, name):
+        head = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.ceil(F.col(size) / prefix.BUCKET_ROWS).cast("bigint"), 32)
+        held.append(df.groupBy(*group, head.alias("b")).count().agg(F.max("count")).first()[0])
+        return plain(df, group, key, size, order, value, name)
+
+    for module in (op3_mix, op6_shard):
+        monkeypatch.setattr(module, "running_sum", watched)
+    mixed = op3_mix.mix(op3_mix.sized(df))
+    assert mixed.count() == len(rows) and mixed.agg(F.sum("taken")).first()[0] == sum(len(t.split()) for _, t, _ in rows)
+    by = {}
+    for g in op6_shard.shard(df, 4).collect():
+        by.setdefault(g["shard"], []).append(g["slot"])
+    assert sum(map(len, by.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(held) <= 1.2 * prefix.BUCKET_ROWS
