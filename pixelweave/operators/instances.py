@@ -6,8 +6,9 @@ follow their steepest neighbour to a peak (pointer jumping), and unmarked
 basins join through their highest pass (Boruvka rounds). No component is
 gathered anywhere, so its size is not bounded. An edge weighs as the lower of
 its heights, then as the higher one: of several labelled neighbours a pixel
-takes the label of the highest, where a queue-based flood takes the first one
-flooded. Unique heights thus determine the result; ties follow (height, id).
+takes the label of the highest. Unique heights thus determine the result; ties
+follow (height, id). ``flood.queue_watershed`` keeps the order of a queue, which
+also decides plateaus; ``split_instances`` uses that one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .distance import distance_transform
+from .flood import queue_watershed
 from .stats import number_rows
 from .stencil import CROSS, TILE, local_peaks
 
@@ -113,9 +115,10 @@ def marker_watershed(heights: DataFrame, markers: DataFrame, scenes: DataFrame,
 
 
 def split_instances(mask: DataFrame, scenes: DataFrame, min_distance: int = 10,
-                    tile: int = TILE) -> DataFrame:
-    """Instance labels 1..n per scene for touching regions."""
+                    tile: int = TILE, max_pixels: int = 1_000_000) -> DataFrame:
+    """Instance labels 1..n per scene for touching regions, flooded in the order
+    of a queue; parts above ``max_pixels`` are flooded by rounds of joins."""
     dist = cut_lineage(distance_transform(mask, scenes))
     peaks = local_peaks(dist, scenes, min_distance, tile=tile)
     markers = number_rows(peaks, ["y", "x"], "label", keys=["scene_id"])
-    return marker_watershed(dist, markers, scenes)
+    return queue_watershed(dist, markers, scenes, max_pixels=max_pixels, tile=tile)

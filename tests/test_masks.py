@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import discs
-from pixelweave.operators import components as cp, distance as ds, instances as ins, merge as mg, stencil as st
+from pixelweave.operators import components as cp, distance as ds, flood as fl, instances as ins, merge as mg, stencil as st
 
 
 def brute_labels(a, conn):
@@ -184,6 +184,70 @@ def test_watershed_is_the_flood_of_unique_heights(spark, make):
     assert np.array_equal(lab, want)
 
 
+def plain_flood(h, marks):
+    """Priority queue with first in, first out among equal heights; NaN lies outside."""
+    import heapq
+
+    lab, heap, age = np.zeros(h.shape, int), [], 0
+    for (y, x), n in sorted(marks.items()):
+        lab[y, x] = n
+        heapq.heappush(heap, (-h[y, x], 0, y, x))
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        for p, q in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= p < h.shape[0] and 0 <= q < h.shape[1] and not lab[p, q] and not np.isnan(h[p, q]):
+                age += 1
+                lab[p, q] = lab[y, x]
+                heapq.heappush(heap, (-h[p, q], age, p, q))
+    return lab
+
+
+def test_flood_in_queue_order_with_plateaus(spark, make):
+    rng = np.random.default_rng(12)
+    shape = (40, 41)
+    rows, marks, hs = [], {}, {}
+    for scene, levels in enumerate((1, 2, 4, 9)):
+        h = rng.integers(1, levels + 1, shape).astype(float)
+        h[rng.random(shape) < 0.25] = np.nan
+        h[20, :] = np.nan if scene == 3 else h[20, :]
+        free = np.argwhere(~np.isnan(h))
+        marks[scene] = {tuple(map(int, c)): n + 1 for n, c in enumerate(free[rng.choice(len(free), 9, False)])}
+        hs[scene] = h
+        rows += [(scene, y, x, n) for (y, x), n in marks[scene].items()]
+    hd = make.values(hs[0], "d2", 0)
+    for scene in (1, 2, 3):
+        hd = hd.unionByName(make.values(hs[scene], "d2", scene))
+    m = spark.createDataFrame(rows, "scene_id bigint, y int, x int, label bigint")
+    got = fl.queue_watershed(hd, m, make.scenes(*[shape] * 4), tile=16).collect()
+    for scene, h in hs.items():
+        lab = np.zeros(shape, int)
+        for r in got:
+            if r["scene_id"] == scene:
+                lab[r["y"], r["x"]] = r["label"]
+        assert np.array_equal(lab, plain_flood(h, marks[scene])), scene
+    none = fl.queue_watershed(hd, m.limit(0), make.scenes(*[shape] * 4), tile=16)
+    assert none.isEmpty()
+
+
+def test_flood_of_large_parts_equals_the_queue(spark, make):
+    rng = np.random.default_rng(4)
+    h = rng.integers(1, 4, (5, 6)).astype(float)
+    h[2, :2] = np.nan
+    marks = {(0, 0): 5, (1, 5): 2, (4, 4): 9}
+    m = spark.createDataFrame([(0, y, x, n) for (y, x), n in marks.items()], "scene_id bigint, y int, x int, label bigint")
+    got = fl.queue_watershed(make.values(h, "d2"), m, make.scenes(h.shape), max_pixels=1, tile=4)
+    assert np.array_equal(make.array(got, h.shape, "label"), plain_flood(h, marks))
+
+
+def test_split_pixels_equal_a_plain_flood(spark, make):
+    a = discs((48, 48), [(14, 14), (14, 25), (30, 30), (37, 38)], 8)
+    d2 = make.array(ds.distance_transform(make.mask(a), make.scenes(a.shape)), a.shape, "d2")
+    marks = {p: n + 1 for n, p in enumerate(greedy_peaks(np.where(a, d2, 0), 5))}
+    want = plain_flood(np.where(a, d2, np.nan), marks)
+    got = ins.split_instances(make.mask(a), make.scenes(a.shape), 5, 16)
+    assert np.array_equal(make.array(got, a.shape, "label"), want)
+
+
 def test_paint_first_come(spark):
     masks = spark.createDataFrame([(0, 7, 100)], "patch_idx int, mask_id bigint, area bigint")
     px = spark.createDataFrame([(7, y, x) for y in range(10, 20) for x in range(10, 20)], "mask_id bigint, y int, x int")
